@@ -60,7 +60,7 @@ def js_round(x: Column) -> Column:
 def bucket_percent(n, total) -> Column:
     """Share of one bucket in percent, NULL when there is no feedback."""
     total = _c(total)
-    return F.when(total > 0, js_round(F.lit(100.0) * _c(n) / total).cast("bigint"))
+    return F.when(total > 0, js_round((_c(n) / total) * F.lit(100.0)).cast("bigint"))
 
 
 def age_days(ts, as_of: Column) -> Column:
