@@ -49,3 +49,4 @@ def logs(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 # Import the modules that register queries (order = listing order).
 from . import queries_core  # noqa: E402,F401
 from . import queries_serve  # noqa: E402,F401
+from . import queries_meta  # noqa: E402,F401
