@@ -50,3 +50,4 @@ def logs(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 from . import queries_core  # noqa: E402,F401
 from . import queries_serve  # noqa: E402,F401
 from . import queries_meta  # noqa: E402,F401
+from . import queries_names  # noqa: E402,F401

@@ -292,14 +292,15 @@ def nation_name(n_name: Column) -> Column:
 
 def names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """address -> name-or-null (+ resolved flag): one row per nation owner
-    (null name for n_nationkey % 3 = 2) and per supplier (unresolved when
-    s_suppkey % 10 = 9)."""
+    (no name for n_nationkey % 3 = 2, lookup error for n_nationkey % 7 = 6)
+    and per supplier (lookup error when s_suppkey % 10 = 9)."""
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
+    k = F.col("n_nationkey")
     n = nation.select(
-        owner_address(F.col("n_nationkey")).alias("address"),
-        F.when(F.col("n_nationkey") % 3 == 2, F.lit(None).cast("string")).otherwise(nation_name(F.col("n_name"))).alias("name"),
-        F.lit(True).alias("resolved"),
+        owner_address(k).alias("address"),
+        F.when((k % 3 == 2) | (k % 7 == 6), F.lit(None).cast("string")).otherwise(nation_name(F.col("n_name"))).alias("name"),
+        (k % 7 != 6).alias("resolved"),
     )
     s = supplier.select(
         supplier_address(F.col("s_suppkey")).alias("address"),
@@ -332,3 +333,21 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                    attestation_key(F.col("c_custkey")).alias("key"),
                    F.lit("1").alias("value")))
     return rec.unionByName(att)
+
+
+def lookup_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs for the unified lookup, derived from nation and supplier:
+    owner addresses (upper-case hex for even nations), nation names (padded
+    with spaces for n % 4 = 0), upper-cased supplier names, raw supplier
+    names (no dot: invalid) and one blank input."""
+    nation = table(spark, sf_dir, "nation")
+    supplier = table(spark, sf_dir, "supplier")
+    k = F.col("n_nationkey")
+    addr = owner_address(k)
+    a = nation.select(F.when(k % 2 == 0, F.concat(F.lit("0x"), F.upper(F.substr(addr, F.lit(3))))).otherwise(addr).alias("input"))
+    nm = nation.select(F.when(k % 4 == 0, F.concat(F.lit("  "), nation_name(F.col("n_name")), F.lit(" ")))
+                       .otherwise(nation_name(F.col("n_name"))).alias("input"))
+    sn = supplier.select(F.upper(F.concat(F.replace(F.lower(F.col("s_name")), F.lit("#"), F.lit("-")), F.lit(".eth"))).alias("input"))
+    raw = supplier.select(F.col("s_name").alias("input"))
+    blank = nation.where(k == 0).select(F.lit("   ").alias("input"))
+    return a.unionByName(nm).unionByName(sn).unionByName(raw).unionByName(blank)
