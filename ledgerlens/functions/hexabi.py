@@ -46,6 +46,20 @@ def hex_digits_to_long(digits) -> Column:
     )
 
 
+def stripped_digits(digits) -> Column:
+    """Digits without leading zeros, or NULL when not pure hex. Projecting
+    this once lets ``long_from_stripped`` avoid re-trimming in every branch."""
+    d = _c(digits)
+    return F.when(d.rlike(_HEX_RE), F.ltrim(d, F.lit("0")))
+
+
+def long_from_stripped(stripped) -> Column:
+    """BIGINT from ``stripped_digits`` ('' is zero; > 16 digits overflows)."""
+    s = _c(stripped)
+    return (F.when(s == "", F.lit(0).cast("bigint"))
+            .when(F.length(s) <= 16, F.conv(s, 16, 10).try_cast("bigint")))
+
+
 def hex_to_long(h) -> Column:
     """``0x``-prefixed hex word -> BIGINT (NULL on overflow or garbage)."""
     return hex_digits_to_long(hex_body(h))
@@ -87,17 +101,23 @@ def int128_word_to_double(data, i: int) -> Column:
     and -2^64 decode exactly, then the value is assembled in DOUBLE."""
     low = F.substring(_c(data), 3 + WORD * i + 32, 32)
     ok = low.rlike("^[0-9a-fA-F]{32}$")
-    hi0 = F.conv(F.substring(low, 1, 16), 16, 10).cast("decimal(20,0)")
+    hi_hex = F.lower(F.substring(low, 1, 16))
     lo = F.conv(F.substring(low, 17, 16), 16, 10).cast("decimal(20,0)")
-    hi = F.when(hi0 >= _dec(2**63), hi0 - _dec(2**64)).otherwise(hi0)
+    # The top half is 0 or all f's for every value within +-2^64.
     value = (
-        F.when(hi == 0, lo.cast("double"))
-        .when(hi == -1, (lo - _dec(2**64)).cast("double"))
-        .otherwise(hi.cast("double") * F.lit(float(2**64)) + lo.cast("double"))
+        F.when(hi_hex == "0000000000000000", lo.cast("double"))
+        .when(hi_hex == "ffffffffffffffff", (lo - _dec(2**64)).cast("double"))
+        .otherwise(_signed_high(F.conv(hi_hex, 16, 10).cast("decimal(20,0)")).cast("double")
+                   * F.lit(float(2**64)) + lo.cast("double"))
     )
     return F.when(ok, value)
 
 
+def _signed_high(hi0: Column) -> Column:
+    """Unsigned 64-bit half (DECIMAL) -> its two's-complement signed value."""
+    return F.when(hi0 >= _dec(2**63), hi0 - _dec(2**64)).otherwise(hi0)
+
+
 def scale_fixed(raw, decimals) -> Column:
     """raw / 10^decimals; NULL decimals count as 0, zero divisor -> NULL."""
     return F.try_divide(_c(raw), F.pow(F.lit(10.0), F.coalesce(_c(decimals), F.lit(0))))

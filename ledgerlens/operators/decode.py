@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..config import EVENT_TOPICS, IDENTITY_REGISTRY, REPUTATION_REGISTRY, TOPIC
 from ..functions.hexabi import (
     abi_string,
+    data_word,
+    hex_body,
     hex_to_long,
+    long_from_stripped,
+    stripped_digits,
     int128_word_to_double,
     scale_fixed,
     topic_to_address,
-    word_to_long,
 )
 from ..sources.logs import scan_logs
 from .latest import earliest_per_key, latest_per_key
@@ -82,18 +85,29 @@ def decode_feedback(logs: DataFrame, since: str | None = None) -> DataFrame:
     value_decimals, score, created_at, feedback_tx). int128 values are decoded
     with their sign; zero words decode to 0."""
     fb = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=3, topic0=TOPIC["NewFeedback"])
-    raw_value = int128_word_to_double("data", 1)
-    decimals = F.coalesce(word_to_long("data", 2), F.lit(0).cast("bigint"))
-    return fb.select(
-        hex_to_long(_topic(1)).alias("agent_id"),
-        topic_to_address(_topic(2)).alias("client_address"),
-        word_to_long("data", 0).alias("feedback_index"),
-        raw_value.alias("raw_value"),
-        decimals.alias("value_decimals"),
-        scale_fixed(raw_value, decimals).alias("score"),
+    # Slice the hex once; the decoders then work on short, named columns.
+    words = fb.select(
+        stripped_digits(hex_body(_topic(1))).alias("_agent"),
+        _topic(2).alias("_client"),
+        stripped_digits(data_word("data", 0)).alias("_w0"),
+        F.substring("data", 3 + 64, 64).alias("_w1"),
+        stripped_digits(data_word("data", 2)).alias("_w2"),
+        "block_timestamp", "transaction_hash",
+    )
+    decoded = words.select(
+        long_from_stripped("_agent").alias("agent_id"),
+        topic_to_address("_client").alias("client_address"),
+        long_from_stripped("_w0").alias("feedback_index"),
+        int128_word_to_double(F.concat(F.lit("0x"), F.col("_w1")), 0).alias("raw_value"),
+        F.coalesce(long_from_stripped("_w2"), F.lit(0).cast("bigint")).alias("value_decimals"),
         F.col("block_timestamp").alias("created_at"),
         F.col("transaction_hash").alias("feedback_tx"),
     )
+    return decoded.select(
+        "agent_id", "client_address", "feedback_index", "raw_value", "value_decimals",
+        scale_fixed("raw_value", "value_decimals").alias("score"),
+        "created_at", "feedback_tx",
+    )
 
 
 def decode_revocations(logs: DataFrame, since: str | None = None) -> DataFrame:
@@ -127,7 +141,8 @@ def event_census(spark: SparkSession, logs: DataFrame, since: str | None = None)
     per_topic = logs
     if since is not None:
         per_topic = per_topic.where(F.col("block_timestamp") >= F.lit(since).cast("timestamp"))
-    per_topic = (per_topic.where(F.size("topics") >= 1)
+    arity = F.col("topic_count") if "topic_count" in logs.columns else F.size("topics")
+    per_topic = (per_topic.where(arity >= 1)
                  .groupBy("address", "topic0").agg(F.count(F.lit(1)).alias("n")))
     cat = event_topics(spark).withColumn(
         "address", F.when(F.col("contract") == "IdentityRegistry", F.lit(IDENTITY_REGISTRY))

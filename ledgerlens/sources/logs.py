@@ -1,9 +1,10 @@
 """Raw log table: bronze layout and the filtered scans every decoder starts from.
 
-Bronze layout = the raw columns plus two derived top-level columns:
+Bronze layout = the raw columns plus three derived top-level columns:
 ``topic0`` (so the event-type predicate is a pushed Parquet filter; a predicate
-on ``topics[0]`` is not pushed) and ``block_date`` (the partition column, so a
-time floor prunes whole directories). Hex is stored lowercase.
+on ``topics[0]`` is not pushed), ``topic_count`` (so the arity guard is pushed
+too) and ``block_date`` (the partition column, so a time floor prunes whole
+directories). Hex is stored lowercase.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ LOG_SCHEMA = StructType([
     StructField("log_index", LongType(), True),
 ])
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
+BRONZE_COLUMNS = LOG_COLUMNS + ["topic0", "topic_count", "block_date"]
 
 
 def to_bronze(raw: DataFrame) -> DataFrame:
@@ -34,6 +36,7 @@ def to_bronze(raw: DataFrame) -> DataFrame:
         F.col("log_index").cast("bigint").alias("log_index"),
     ).withColumns({
         "topic0": F.get(F.col("topics"), 0),
+        "topic_count": F.size("topics"),
         "block_date": F.to_date("block_timestamp"),
     })
 
@@ -66,5 +69,6 @@ def scan_logs(logs: DataFrame, address: str, since: str | None = None,
     if topic0 is not None:
         col0 = F.col("topic0") if "topic0" in logs.columns else F.get(F.col("topics"), 0)
         cond = cond & (col0 == F.lit(topic0))
-    cond = cond & (F.size("topics") >= min_topics)
+    arity = F.col("topic_count") if "topic_count" in logs.columns else F.size("topics")
+    cond = cond & (arity >= min_topics)
     return logs.where(cond)
