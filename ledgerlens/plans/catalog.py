@@ -51,3 +51,4 @@ from . import queries_core  # noqa: E402,F401
 from . import queries_serve  # noqa: E402,F401
 from . import queries_meta  # noqa: E402,F401
 from . import queries_names  # noqa: E402,F401
+from . import queries_stream  # noqa: E402,F401

@@ -54,6 +54,7 @@ def local_session(app: str = "ledgerlens", cores: str = "*", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerlens-wh-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
