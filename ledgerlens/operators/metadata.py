@@ -32,27 +32,37 @@ METADATA_COLUMNS = ["token_uri", "resolved_uri", "raw", "x402", "name", "descrip
 def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:
     """K4 core: distinct token URIs -> metadata records.
 
-    * data: URIs decode inline (F15); an unparseable or falsy result is an
-      error entry.
+    * data: URIs decode inline (F15) and never touch the documents table; an
+      unparseable or falsy result is an error entry.
     * other URIs resolve through the gateway (F14) and take their body from
       ``documents``; a missing body is a 404 entry, a body that is not JSON
       under a '.json' URI is an invalid-JSON entry, any other non-JSON body
       is a document without metadata (no error).
+
+    Documents are first semi-joined to the URIs actually needed, so only
+    those bodies are read into the join (a small target set is broadcast by
+    Spark's size check and the documents are filtered without a shuffle).
     """
     u = uris.select(F.col("token_uri")).where(F.col("token_uri").isNotNull()).distinct()
-    u = u.withColumn("resolved_uri", F.when(is_data_uri("token_uri"), F.col("token_uri"))
-                     .otherwise(resolve_uri("token_uri")))
-    docs = documents.select(F.col("uri").alias("resolved_uri"), F.col("body"), F.lit(True).alias("_found"))
-    joined = u.join(docs, "resolved_uri", "left")
-    inline = is_data_uri("token_uri")
-    text = F.when(inline, data_uri_text("token_uri")).otherwise(F.col("body"))
-    parsed = joined.withColumn("_v", parse_json_or_null(text)).withColumn("_found", F.coalesce("_found", F.lit(False)))
+    inline = (u.where(is_data_uri("token_uri"))
+              .select("token_uri", F.col("token_uri").alias("resolved_uri"),
+                      data_uri_text("token_uri").alias("_text"), F.lit(True).alias("_inline"),
+                      F.lit(True).alias("_found")))
+    remote = u.where(~is_data_uri("token_uri")).withColumn("resolved_uri", resolve_uri("token_uri"))
+    needed = remote.select(F.col("resolved_uri").alias("uri")).distinct()
+    bodies = documents.select("uri", "body").join(needed, "uri", "left_semi")
+    fetched = (remote.join(bodies.select(F.col("uri").alias("resolved_uri"), F.col("body").alias("_text"),
+                                         F.lit(True).alias("_found")), "resolved_uri", "left")
+               .select("token_uri", "resolved_uri", "_text", F.lit(False).alias("_inline"),
+                       F.coalesce("_found", F.lit(False)).alias("_found")))
+    parsed = inline.unionByName(fetched).withColumn("_v", parse_json_or_null(F.col("_text")))
     v = F.col("_v")
     truthy = is_truthy_root(v)
-    error = (F.when(inline, F.when(~truthy, F.lit(DATA_URI_ERROR)))
+    is_inline = F.col("_inline")
+    error = (F.when(is_inline, F.when(~truthy, F.lit(DATA_URI_ERROR)))
              .when(~F.col("_found"), F.lit(NOT_FOUND_ERROR))
              .when(v.isNull() & F.col("resolved_uri").endswith(".json"), F.lit(INVALID_JSON_ERROR)))
-    raw = F.when(inline & ~truthy, F.lit(None).cast("variant")).otherwise(v)
+    raw = F.when(is_inline & ~truthy, F.lit(None).cast("variant")).otherwise(v)
     return parsed.select(
         "token_uri", "resolved_uri",
         raw.alias("raw"),

@@ -25,25 +25,53 @@ class Entry:
     fn: QueryFn
     sql: str | None
     doc: str
+    # For serving queries: the same query over an already materialized summary.
+    serve: Callable[[SparkSession, DataFrame], DataFrame] | None = None
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: str | None, serve=None):
     def deco(fn: QueryFn) -> QueryFn:
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
             return fn(spark, sf_dir)
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__
-        REGISTRY[name] = Entry(wrapped, sql, (fn.__doc__ or "").strip().splitlines()[0] if fn.__doc__ else "")
+        doc = (fn.__doc__ or "").strip().splitlines()[0] if fn.__doc__ else ""
+        REGISTRY[name] = Entry(wrapped, sql, doc, serve)
         return wrapped
     return deco
 
 
+def serving(name: str, sql: str, serve: Callable[[SparkSession, DataFrame], DataFrame], summary_fn):
+    """Register a query that runs over the agent summary: the registered
+    callable derives the summary from the tables; ``serve`` takes a
+    materialized summary (how the serving layer runs in production)."""
+    def fn(spark, sf):
+        return serve(spark, summary_fn(spark, sf))
+    fn.__doc__ = serve.__doc__
+    fn.__name__ = name
+    return register(name, sql, serve)(fn)
+
+
+def serving_query(name: str, sql: str, summary_fn):
+    def deco(serve):
+        serving(name, sql, serve, summary_fn)
+        return serve
+    return deco
+
+
+_LOGS: dict[tuple, DataFrame] = {}
+
+
 def logs(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return fixture_logs(spark, sf_dir, **kw)
+    """The fixture log plan (memoized per session: the plan, not data)."""
+    key = (id(spark), sf_dir.rstrip("/"), tuple(sorted(kw.items())))
+    if key not in _LOGS:
+        _LOGS[key] = fixture_logs(spark, sf_dir, **kw)
+    return _LOGS[key]
 
 
 # Import the modules that register queries (order = listing order).

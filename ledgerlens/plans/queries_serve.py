@@ -8,7 +8,7 @@ from ..config import AS_OF, DEFAULT_CONFIG
 from ..operators import serve as S
 from ..plans.summary import build_agent_summary
 from . import oracle as O
-from .catalog import logs, register
+from .catalog import logs, serving_query
 
 CFG = DEFAULT_CONFIG
 
@@ -17,79 +17,79 @@ def summary(spark, sf):
     return build_agent_summary(logs(spark, sf), CFG)
 
 
-@register("list_rank_page", O.with_summary("SELECT * FROM summary ORDER BY rank LIMIT 50"))
-def list_rank_page(spark, sf):
+@serving_query("list_rank_page", O.with_summary("SELECT * FROM summary ORDER BY rank LIMIT 50"), summary)
+def list_rank_page(spark, s):
     """P6 default: first page (50) in rank order."""
-    return S.list_agents(summary(spark, sf), S.ListRequest())
+    return S.list_agents(s, S.ListRequest())
 
 
-@register("list_rated_reputation", O.with_summary("""SELECT * FROM summary WHERE feedback_count > 0
-ORDER BY reputation_score DESC, feedback_count DESC, rank LIMIT 200 OFFSET 10"""))
-def list_rated_reputation(spark, sf):
+@serving_query("list_rated_reputation", O.with_summary("""SELECT * FROM summary WHERE feedback_count > 0
+ORDER BY reputation_score DESC, feedback_count DESC, rank LIMIT 200 OFFSET 10"""), summary)
+def list_rated_reputation(spark, s):
     """Rated only, sort=reputation, limit=500 (clamped to 200), offset=10."""
-    return S.list_agents(summary(spark, sf), S.ListRequest(rated=True, sort="reputation", limit="500", offset="10"))
+    return S.list_agents(s, S.ListRequest(rated=True, sort="reputation", limit="500", offset="10"))
 
 
-@register("list_search_feedback", O.with_summary("""SELECT * FROM summary
+@serving_query("list_search_feedback", O.with_summary("""SELECT * FROM summary
 WHERE CAST(agent_id AS VARCHAR) LIKE '%example.org/agent/1%'
    OR lower(owner_address) LIKE '%example.org/agent/1%'
    OR COALESCE(lower(token_uri) LIKE '%example.org/agent/1%', false)
-ORDER BY feedback_count DESC, reputation_score DESC, rank LIMIT 50"""))
-def list_search_feedback(spark, sf):
+ORDER BY feedback_count DESC, reputation_score DESC, rank LIMIT 50"""), summary)
+def list_search_feedback(spark, s):
     """Search (trimmed, case-folded), sort=feedback, junk limit -> 50, offset -1 -> 0."""
     req = S.ListRequest(q="  Example.ORG/Agent/1 ", sort="feedback", limit="junk", offset="-1")
-    return S.list_agents(summary(spark, sf), req)
+    return S.list_agents(s, req)
 
 
-@register("list_owner_search", O.with_summary("""SELECT * FROM summary
+@serving_query("list_owner_search", O.with_summary("""SELECT * FROM summary
 WHERE CAST(agent_id AS VARCHAR) LIKE '%0000000004%' OR lower(owner_address) LIKE '%0000000004%'
    OR COALESCE(lower(token_uri) LIKE '%0000000004%', false)
-ORDER BY rank LIMIT 200"""))
-def list_owner_search(spark, sf):
+ORDER BY rank LIMIT 200"""), summary)
+def list_owner_search(spark, s):
     """Search by owner-address fragment, limit 200."""
-    return S.list_agents(summary(spark, sf), S.ListRequest(q="0000000004", limit=200))
+    return S.list_agents(s, S.ListRequest(q="0000000004", limit=200))
 
 
-@register("list_recent_page", O.with_summary("""SELECT * FROM summary
-ORDER BY last_activity_at DESC, rank LIMIT 25 OFFSET 100"""))
-def list_recent_page(spark, sf):
+@serving_query("list_recent_page", O.with_summary("""SELECT * FROM summary
+ORDER BY last_activity_at DESC, rank LIMIT 25 OFFSET 100"""), summary)
+def list_recent_page(spark, s):
     """sort=recency (UI spelling, treated as recent), limit 25, offset 100."""
-    return S.list_agents(summary(spark, sf), S.ListRequest(sort="recency", limit=25, offset=100))
+    return S.list_agents(s, S.ListRequest(sort="recency", limit=25, offset=100))
 
 
-@register("list_unknown_sort", O.with_summary("SELECT * FROM summary ORDER BY rank LIMIT 1 OFFSET 3"))
-def list_unknown_sort(spark, sf):
+@serving_query("list_unknown_sort", O.with_summary("SELECT * FROM summary ORDER BY rank LIMIT 1 OFFSET 3"), summary)
+def list_unknown_sort(spark, s):
     """S3: unknown sort mode falls back to rank; limit -5 -> 1."""
-    return S.list_agents(summary(spark, sf), S.ListRequest(sort="bogus", limit="-5", offset="3"))
+    return S.list_agents(s, S.ListRequest(sort="bogus", limit="-5", offset="3"))
 
 
-@register("list_x402_filter", O.with_summary("SELECT * FROM summary WHERE x402 ORDER BY rank LIMIT 50"))
-def list_x402_filter(spark, sf):
+@serving_query("list_x402_filter", O.with_summary("SELECT * FROM summary WHERE x402 ORDER BY rank LIMIT 50"), summary)
+def list_x402_filter(spark, s):
     """x402 filter on the freshly built summary (placeholder false -> empty)."""
-    return S.list_agents(summary(spark, sf), S.ListRequest(x402=True))
+    return S.list_agents(s, S.ListRequest(x402=True))
 
 
-@register("list_envelope", O.with_summary("""SELECT 'live' AS source, max(computed_at) AS computed_at,
+@serving_query("list_envelope", O.with_summary("""SELECT 'live' AS source, max(computed_at) AS computed_at,
   CAST(count(*) AS BIGINT) AS total,
   CAST(greatest(0, least(50, count(*) - 100)) AS BIGINT) AS count,
   (100 + greatest(0, least(50, count(*) - 100)) < count(*)) AS has_more
-FROM summary WHERE feedback_count > 0"""))
-def list_envelope(spark, sf):
+FROM summary WHERE feedback_count > 0"""), summary)
+def list_envelope(spark, s):
     """Total / count / has_more for rated agents, page 3 of 50."""
-    return S.list_envelope(summary(spark, sf), S.ListRequest(rated=True, limit=50, offset=100))
+    return S.list_envelope(s, S.ListRequest(rated=True, limit=50, offset=100))
 
 
-@register("stats_kpis", O.with_summary("""SELECT CAST(count(*) AS BIGINT) AS total_agents,
+@serving_query("stats_kpis", O.with_summary("""SELECT CAST(count(*) AS BIGINT) AS total_agents,
   CAST(count(*) FILTER (WHERE feedback_count > 0) AS BIGINT) AS rated_agents,
   CAST(count(token_uri) AS BIGINT) AS with_token_uri,
   CAST(count(*) FILTER (WHERE x402) AS BIGINT) AS x402_count,
   CAST(COALESCE(sum(feedback_count), 0) AS BIGINT) AS total_feedback,
   COALESCE(greatest(max(reputation_score), 0.0), 0.0) AS top_score,
   COALESCE(round(avg(reputation_score), 2), 0.0) AS avg_score
-FROM summary"""))
-def stats_kpis(spark, sf):
+FROM summary"""), summary)
+def stats_kpis(spark, s):
     """Network KPIs."""
-    return S.network_kpis(summary(spark, sf))
+    return S.network_kpis(s)
 
 
 HIST_SQL = """labels AS (
@@ -99,12 +99,12 @@ counts AS (
   FROM summary WHERE reputation_score >= 0 AND reputation_score <= 100 GROUP BY 1)"""
 
 
-@register("stats_histogram", O.with_summary(f""", {HIST_SQL}
+@serving_query("stats_histogram", O.with_summary(f""", {HIST_SQL}
 SELECT l.bucket, l.label, CAST(COALESCE(c.n, 0) AS BIGINT) AS agents
-FROM labels l LEFT JOIN counts c USING (bucket)""").replace("summary AS (", "summary AS (", 1))
-def stats_histogram(spark, sf):
+FROM labels l LEFT JOIN counts c USING (bucket)""").replace("summary AS (", "summary AS (", 1), summary)
+def stats_histogram(spark, s):
     """Score histogram, all ten buckets."""
-    return S.score_histogram(summary(spark, sf))
+    return S.score_histogram(s)
 
 
 SERIES_SQL = """series AS (
@@ -112,13 +112,13 @@ SERIES_SQL = """series AS (
   FROM summary WHERE registered_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 90 DAY GROUP BY 1)"""
 
 
-@register("stats_series", O.with_summary(f", {SERIES_SQL}\nSELECT * FROM series"))
-def stats_series(spark, sf):
+@serving_query("stats_series", O.with_summary(f", {SERIES_SQL}\nSELECT * FROM series"), summary)
+def stats_series(spark, s):
     """Daily registrations over the last 90 days."""
-    return S.activity_series(summary(spark, sf), AS_OF)
+    return S.activity_series(s, AS_OF)
 
 
-@register("network_stats", O.with_summary(f""", {HIST_SQL}, {SERIES_SQL},
+@serving_query("network_stats", O.with_summary(f""", {HIST_SQL}, {SERIES_SQL},
 kpi AS (
   SELECT CAST(count(*) AS BIGINT) AS total_agents,
     CAST(count(*) FILTER (WHERE feedback_count > 0) AS BIGINT) AS rated_agents,
@@ -135,24 +135,24 @@ hist AS (
 ser AS (
   SELECT COALESCE('[' || string_agg('{{"date":"' || date || '","count":' || count || '}}', ',' ORDER BY date) || ']', '[]') AS activity_series
   FROM series)
-SELECT 'live' AS source, kpi.*, hist.score_distribution, ser.activity_series FROM kpi, hist, ser"""))
-def network_stats(spark, sf):
+SELECT 'live' AS source, kpi.*, hist.score_distribution, ser.activity_series FROM kpi, hist, ser"""), summary)
+def network_stats(spark, s):
     """The stats document (histogram and series as JSON text)."""
-    return S.stats_document_json(summary(spark, sf), AS_OF)
+    return S.stats_document_json(s, AS_OF)
 
 
 TIER_CASE = """CASE WHEN reputation_score >= 70 THEN 'high (>=70)'
             WHEN reputation_score >= 40 THEN 'medium (40-70)' ELSE 'low (<40)' END"""
 
 
-@register("tier_summary", O.with_summary(f"""SELECT {TIER_CASE} AS tier, CAST(count(*) AS BIGINT) AS agents,
-  round(avg(feedback_count), 1) AS avg_feedbacks FROM summary GROUP BY 1"""))
-def tier_summary(spark, sf):
+@serving_query("tier_summary", O.with_summary(f"""SELECT {TIER_CASE} AS tier, CAST(count(*) AS BIGINT) AS agents,
+  round(avg(feedback_count), 1) AS avg_feedbacks FROM summary GROUP BY 1"""), summary)
+def tier_summary(spark, s):
     """Agents per score tier."""
-    return S.tier_summary(summary(spark, sf))
+    return S.tier_summary(s)
 
 
-@register("viz_sample", O.with_summary("""SELECT agent_id, rank, reputation_score, feedback_count, last_activity_at,
+@serving_query("viz_sample", O.with_summary("""SELECT agent_id, rank, reputation_score, feedback_count, last_activity_at,
   round(d, 6) AS age_days, (feedback_count > 0 AND d < 7) AS recent,
   round(CASE WHEN feedback_count > 0 THEN least(2.0 + 4.0 * log10(feedback_count + 1), 12.0) ELSE 1.5 END, 6) AS size,
   round(CASE WHEN reputation_score >= 70 THEN 45.0 + (reputation_score - 70) * (165.0 / 30.0)
@@ -161,13 +161,13 @@ def tier_summary(spark, sf):
   CASE WHEN feedback_count > 0 THEN 90 ELSE 45 END AS saturation,
   CASE WHEN feedback_count > 0 THEN 95 ELSE 60 END AS brightness
 FROM (SELECT *, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(last_activity_at)) / 86400000000.0 AS d
-      FROM summary ORDER BY (feedback_count > 0) DESC, rank LIMIT 500)"""))
-def viz_sample(spark, sf):
+      FROM summary ORDER BY (feedback_count > 0) DESC, rank LIMIT 500)"""), summary)
+def viz_sample(spark, s):
     """Rated-first sample of 500 with node features."""
-    return S.viz_sample(summary(spark, sf), AS_OF)
+    return S.viz_sample(s, AS_OF)
 
 
-@register("agent_cards", O.with_summary("""SELECT agent_id, rank,
+@serving_query("agent_cards", O.with_summary("""SELECT agent_id, rank,
   CASE WHEN reputation_score >= 70 THEN 'high (>=70)' WHEN reputation_score >= 40 THEN 'medium (40-70)' ELSE 'low (<40)' END AS tier,
   left(owner_address, 6) || '…' || right(owner_address, 4) AS owner_short,
   left(registered_tx, 10) || '…' || right(registered_tx, 8) AS tx_short,
@@ -182,10 +182,10 @@ def viz_sample(spark, sf):
   'https://etherscan.io/address/' || owner_address AS owner_link
 FROM (SELECT *, CAST(positive_count + neutral_count + negative_count AS DOUBLE) AS t,
              CAST(floor((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(last_activity_at)) / 86400000000.0) AS BIGINT) AS d
-      FROM summary)"""))
-def agent_cards(spark, sf):
+      FROM summary)"""), summary)
+def agent_cards(spark, s):
     """Display fields for every agent."""
-    return S.agent_cards(summary(spark, sf), AS_OF)
+    return S.agent_cards(s, AS_OF)
 
 
 SNAPSHOT_SQL = """SELECT agent_id AS agentId, lower(owner_address) AS ownerAddress, token_uri AS tokenURI,
@@ -201,13 +201,21 @@ def _snapshot_json_breakdown(df):
     return df.withColumn("scoreBreakdown", F.to_json("scoreBreakdown"))
 
 
-@register("snapshot_rows", O.with_summary(SNAPSHOT_SQL))
-def snapshot_rows(spark, sf):
+@serving_query("snapshot_rows", O.with_summary(SNAPSHOT_SQL), summary)
+def snapshot_rows(spark, s):
     """camelCase API rows for the full snapshot (breakdown as JSON text)."""
-    return _snapshot_json_breakdown(S.snapshot_rows(summary(spark, sf)))
+    return _snapshot_json_breakdown(S.snapshot_rows(s))
 
 
-@register("snapshot_sample", O.with_summary(SNAPSHOT_SQL + " ORDER BY rank LIMIT 50"))
-def snapshot_sample(spark, sf):
+@serving_query("snapshot_sample", O.with_summary(SNAPSHOT_SQL + " ORDER BY rank LIMIT 50"), summary)
+def snapshot_sample(spark, s):
     """The top-50 sample file rows."""
-    return _snapshot_json_breakdown(S.snapshot_rows(summary(spark, sf)).orderBy("rank").limit(50))
+    return _snapshot_json_breakdown(S.snapshot_rows(s).orderBy("rank").limit(50))
+
+
+@serving_query("list_deep_page", O.with_summary("""SELECT * FROM summary
+ORDER BY feedback_count DESC, reputation_score DESC, rank LIMIT 100 OFFSET 12000"""), summary)
+def list_deep_page(spark, s):
+    """S4 deep page: offset 12000 is past the per-task top-k bound, so the
+    page comes from the scaled global row number instead."""
+    return S.list_agents(s, S.ListRequest(sort="feedback", limit=100, offset=12000))

@@ -1,8 +1,9 @@
 """Session settings every public entry relies on.
 
 The driver hands us its own session, so each public entry calls
-``prepare(spark)`` first: timestamps are read and bucketed in UTC and JSON with
-duplicate keys keeps the last value (as a JavaScript ``JSON.parse`` does).
+``prepare(spark)`` first: timestamps are read and bucketed in UTC, JSON with
+duplicate keys keeps the last value (as a JavaScript ``JSON.parse`` does) and
+constraint propagation is off (see below).
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from pyspark.sql import SparkSession
 _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Decoded keys are long expressions over hex strings. Constraint
+    # propagation would copy them into inferred IS NOT NULL filters, push
+    # those below exchanges (evaluating the decoders twice) and spend seconds
+    # planning; no scan column benefits from the inferred filters here.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
