@@ -12,6 +12,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def round_half_up(x, digits: int) -> Column:
+    """ROUND(x, digits), half away from zero, as exact decimal arithmetic would.
+
+    Means and weighted sums are computed in floating point, whose last bits
+    depend on summation order; a mean of cents that is exactly on a tie (say
+    41.605) can come out as ...4999 or ...5001. The value is first fixed at
+    9 decimals (far above the float noise), then rounded in DECIMAL."""
+    return F.round(_c(x).cast("decimal(38,9)"), digits).cast("double")
+
+
 def clamp01(x) -> Column:
     """clamp to [0, 1], NULL stays NULL (greatest/least would skip it)."""
     x = _c(x)
@@ -41,7 +51,7 @@ def shrunk_score(eff_n, wq, k_prior: float, prior_q: float) -> Column:
     eff = F.coalesce(_c(eff_n), F.lit(0.0))
     k = F.lit(float(k_prior))
     prior = F.lit(float(prior_q))
-    return F.round(F.lit(100.0) * ((eff / (eff + k)) * F.coalesce(_c(wq), prior) + (k / (eff + k)) * prior), 4)
+    return round_half_up(F.lit(100.0) * ((eff / (eff + k)) * F.coalesce(_c(wq), prior) + (k / (eff + k)) * prior), 4)
 
 
 def score_tier(score) -> Column:

@@ -33,8 +33,10 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
                       partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = (df.repartitionByRange(n, *order)
+    # Without an explicit count AQE may coalesce adjacent range partitions,
+    # which keeps them in key order; the partition id is read afterwards.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    sorted_df = (ranged
                    .sortWithinPartitions(*order)
                    .withColumn("_pid", F.spark_partition_id())
                    .withColumn("_mid", F.monotonically_increasing_id())

@@ -15,7 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, ScoreConfig
-from ..functions.scoring import clamp01, decay_weight, is_negative, is_neutral, is_positive, shrunk_score
+from ..functions.scoring import (
+    clamp01,
+    decay_weight,
+    is_negative,
+    is_neutral,
+    is_positive,
+    round_half_up,
+    shrunk_score,
+)
 
 
 def as_of_col(cfg: ScoreConfig):
@@ -79,9 +87,9 @@ def score_agents(agents: DataFrame, agg: DataFrame, cfg: ScoreConfig = DEFAULT_C
         F.coalesce("positive_count", zero).alias("positive_count"),
         F.coalesce("neutral_count", zero).alias("neutral_count"),
         F.coalesce("negative_count", zero).alias("negative_count"),
-        F.round("avg_raw_score", 2).alias("avg_raw_score"),
+        round_half_up("avg_raw_score", 2).alias("avg_raw_score"),
         shrunk_score("eff_n", "wq", cfg.k_prior, cfg.prior_q).alias("reputation_score"),
-        F.round(F.coalesce(F.col("eff_n"), F.lit(0.0)), 4).alias("effective_feedback"),
+        round_half_up(F.coalesce(F.col("eff_n"), F.lit(0.0)), 4).alias("effective_feedback"),
         "last_feedback_at",
         F.greatest(F.col("registered_at"), F.coalesce(F.col("last_feedback_at"), F.col("registered_at"))).alias("last_activity_at"),
     )

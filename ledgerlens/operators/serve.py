@@ -27,6 +27,7 @@ from ..functions.scoring import (
     bucket_percent,
     gateway_url,
     relative_age,
+    round_half_up,
     score_tier,
     shorten,
     tx_url,
@@ -156,7 +157,7 @@ def network_kpis(summary: DataFrame) -> DataFrame:
         F.count_if(F.col("x402")).cast("bigint").alias("x402_count"),
         F.coalesce(F.sum("feedback_count"), F.lit(0)).cast("bigint").alias("total_feedback"),
         F.coalesce(F.greatest(F.max("reputation_score"), F.lit(0.0)), F.lit(0.0)).alias("top_score"),
-        F.coalesce(F.round(F.avg("reputation_score"), 2), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(round_half_up(F.avg("reputation_score"), 2), F.lit(0.0)).alias("avg_score"),
     )
 
 
@@ -216,7 +217,7 @@ def tier_summary(summary: DataFrame) -> DataFrame:
     """Agents and mean feedback count per score tier."""
     return (summary.groupBy(score_tier("reputation_score").alias("tier"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("agents"),
-                 F.round(F.avg("feedback_count"), 1).alias("avg_feedbacks"))
+                 round_half_up(F.avg("feedback_count"), 1).alias("avg_feedbacks"))
             .orderBy("tier"))
 
 

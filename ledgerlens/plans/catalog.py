@@ -6,6 +6,7 @@ fixture mapping and returns a DataFrame whose column names equal the oracle's.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -63,15 +64,16 @@ def serving_query(name: str, sql: str, summary_fn):
     return deco
 
 
-_LOGS: dict[tuple, DataFrame] = {}
+_LOGS: "weakref.WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def logs(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """The fixture log plan (memoized per session: the plan, not data)."""
-    key = (id(spark), sf_dir.rstrip("/"), tuple(sorted(kw.items())))
-    if key not in _LOGS:
-        _LOGS[key] = fixture_logs(spark, sf_dir, **kw)
-    return _LOGS[key]
+    """The fixture log plan (memoized per live session: the plan, not data)."""
+    plans = _LOGS.setdefault(spark, {})
+    key = (sf_dir.rstrip("/"), tuple(sorted(kw.items())))
+    if key not in plans:
+        plans[key] = fixture_logs(spark, sf_dir, **kw)
+    return plans[key]
 
 
 # Import the modules that register queries (order = listing order).

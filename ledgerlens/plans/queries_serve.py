@@ -85,7 +85,7 @@ def list_envelope(spark, s):
   CAST(count(*) FILTER (WHERE x402) AS BIGINT) AS x402_count,
   CAST(COALESCE(sum(feedback_count), 0) AS BIGINT) AS total_feedback,
   COALESCE(greatest(max(reputation_score), 0.0), 0.0) AS top_score,
-  COALESCE(round(avg(reputation_score), 2), 0.0) AS avg_score
+  COALESCE(CAST(round(CAST(avg(reputation_score) AS DECIMAL(38,9)), 2) AS DOUBLE), 0.0) AS avg_score
 FROM summary"""), summary)
 def stats_kpis(spark, s):
     """Network KPIs."""
@@ -126,7 +126,7 @@ kpi AS (
     CAST(count(*) FILTER (WHERE x402) AS BIGINT) AS x402_count,
     CAST(COALESCE(sum(feedback_count), 0) AS BIGINT) AS total_feedback,
     COALESCE(greatest(max(reputation_score), 0.0), 0.0) AS top_score,
-    COALESCE(round(avg(reputation_score), 2), 0.0) AS avg_score,
+    COALESCE(CAST(round(CAST(avg(reputation_score) AS DECIMAL(38,9)), 2) AS DOUBLE), 0.0) AS avg_score,
     max(computed_at) AS computed_at
   FROM summary),
 hist AS (
@@ -146,7 +146,7 @@ TIER_CASE = """CASE WHEN reputation_score >= 70 THEN 'high (>=70)'
 
 
 @serving_query("tier_summary", O.with_summary(f"""SELECT {TIER_CASE} AS tier, CAST(count(*) AS BIGINT) AS agents,
-  round(avg(feedback_count), 1) AS avg_feedbacks FROM summary GROUP BY 1"""), summary)
+  CAST(round(CAST(avg(feedback_count) AS DECIMAL(38,9)), 1) AS DOUBLE) AS avg_feedbacks FROM summary GROUP BY 1"""), summary)
 def tier_summary(spark, s):
     """Agents per score tier."""
     return S.tier_summary(s)

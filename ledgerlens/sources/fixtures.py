@@ -20,6 +20,8 @@ compute every answer straight from the driver tables:
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ IPFS_URI_PREFIX = "ipfs://bafyagent"
 ZERO_ADDRESS = "0x" + "0" * 40
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     its leading key (one cheap exchange) before the per-row encoding work. Handles are reused
     per session so the footer and file listing are read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
+    handles = _TABLES.setdefault(spark, {})
+    df = handles.get(path)
     if df is None:
         df = spark.read.parquet(path)
         width = spark.sparkContext.defaultParallelism
         if len(df.inputFiles()) < width:
             # hash on the table's leading key: deterministic, no pre-sort
             df = df.repartition(width, df.columns[0])
-        _TABLES[key] = df
+        handles[path] = df
     return df
 
 
