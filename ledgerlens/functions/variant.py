@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import X402_BOOLEAN_KEYS, X402_MAX_DEPTH, X402_PRESENCE_KEYS
 
 _NUMERIC_SCHEMA = "^(DECIMAL|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT)"
-# Characters JavaScript's String.prototype.trim removes.
-_JS_SPACE = "[\\s\\u00A0\\uFEFF\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+# Characters JavaScript's String.prototype.trim removes (fixed values).
+_JS_SPACE = ("\t\n\u000b\u000c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+             "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def _c(x) -> Column:
@@ -36,13 +37,24 @@ def as_array(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
-def is_truthy_root(v) -> Column:
-    """JS truthiness of a parsed root: null, false, 0 and "" are falsy."""
+def _scalar_truthy(v: Column) -> Column:
+    """Truthiness of a scalar: false, 0 and "" are falsy."""
+    return ~F.to_json(v).isin("false", '""') & ~(
+        F.schema_of_variant(v).rlike(_NUMERIC_SCHEMA) & (F.try_variant_get(v, "$", "double") == 0.0))
+
+
+def is_truthy_root(v, obj=None, arr=None) -> Column:
+    """JS truthiness of a parsed root: null, false, 0 and "" are falsy.
+
+    Objects and arrays are recognised by their map / array view, so the
+    serialising checks only ever run on scalars (a document is never
+    re-serialised). Pass precomputed views to share them with the detector."""
     v = _c(v)
-    js = F.to_json(v)
-    return v.isNotNull() & ~F.is_variant_null(v) & ~js.isin("false", '""') & ~(
-        F.schema_of_variant(v).rlike(_NUMERIC_SCHEMA) & (F.try_variant_get(v, "$", "double") == 0.0)
-    )
+    obj = as_object(v) if obj is None else _c(obj)
+    arr = as_array(v) if arr is None else _c(arr)
+    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
+            .when(obj.isNotNull() | arr.isNotNull(), F.lit(True))
+            .otherwise(_scalar_truthy(v)))
 
 
 def _truthy_flag(v: Column) -> Column:
@@ -57,36 +69,51 @@ def _present(v: Column) -> Column:
     return ~F.is_variant_null(v) & ~F.to_json(v).isin('""', "[]")
 
 
-def _detect(v: Column, depth: int) -> Column:
-    if depth > X402_MAX_DEPTH:
-        return F.lit(False)
-    obj = as_object(v)
-    arr = as_array(v)
-    scalar_hit = obj.isNull() & arr.isNull() & F.coalesce(
-        F.lower(F.try_variant_get(v, "$", "string")).contains("x402"), F.lit(False))
-    children = F.coalesce(
+def _children(obj: Column, arr: Column) -> Column:
+    """(lowercase key, value) of an object's members or (NULL, item) of an
+    array's items; NULL for a scalar."""
+    return F.coalesce(
         F.transform(F.map_entries(obj), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))),
         F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("k"), x.alias("v"))),
     )
 
+
+def _scalar_hit(v: Column) -> Column:
+    return F.coalesce(F.lower(F.try_variant_get(v, "$", "string")).contains("x402"), F.lit(False))
+
+
+def _level(v: Column, obj: Column, arr: Column, depth: int) -> Column:
+    """Hit at this node: any child hits (containers) or the scalar mentions
+    x402. The children array is built once; it is NULL only for scalars."""
     def child_hit(c: Column) -> Column:
         return (F.when(c["k"].isin(*X402_BOOLEAN_KEYS), _truthy_flag(c["v"]))
                 .when(c["k"].isin(*X402_PRESENCE_KEYS), _present(c["v"]))
                 .otherwise(_detect(c["v"], depth + 1)))
 
-    return scalar_hit | F.coalesce(F.exists(children, child_hit), F.lit(False))
+    return F.coalesce(F.exists(_children(obj, arr), child_hit), _scalar_hit(v))
+
+
+def _detect(v: Column, depth: int) -> Column:
+    if depth > X402_MAX_DEPTH:
+        return F.lit(False)
+    return _level(v, as_object(v), as_array(v), depth)
 
 
-def detect_x402(v) -> Column:
+def detect_x402(v, obj=None, arr=None) -> Column:
     """does a parsed registration file signal x402 payment support?
 
-    Falsy roots are never inspected (the caller treats them as no document)."""
+    Falsy roots are never inspected (the caller treats them as no document).
+    ``obj`` / ``arr`` may carry the root's precomputed map / array views."""
     v = _c(v)
-    return F.when(is_truthy_root(v), _detect(v, 0)).otherwise(F.lit(False))
+    obj = as_object(v) if obj is None else _c(obj)
+    arr = as_array(v) if arr is None else _c(arr)
+    return F.when(is_truthy_root(v, obj, arr), _level(v, obj, arr, 0)).otherwise(F.lit(False))
 
 
 def js_trim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{_JS_SPACE}+|{_JS_SPACE}+$", "")
+    """String.prototype.trim: strips the whitespace set from both ends only
+    (looks at the ends, never scans the whole text)."""
+    return F.trim(s, F.lit(_JS_SPACE))
 
 
 def first_string(v, keys: list[str]) -> Column:

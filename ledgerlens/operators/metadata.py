@@ -21,7 +21,14 @@ from ..config import (
     TTL_METADATA_ERROR,
 )
 from ..functions.uri import data_uri_text, is_data_uri, resolve_uri
-from ..functions.variant import detect_x402, first_string, is_truthy_root, parse_json_or_null
+from ..functions.variant import (
+    as_array,
+    as_object,
+    detect_x402,
+    first_string,
+    is_truthy_root,
+    parse_json_or_null,
+)
 
 NOT_FOUND_ERROR = "HTTP 404 Not Found"
 INVALID_JSON_ERROR = "Invalid JSON"
@@ -55,9 +62,12 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
                                          F.lit(True).alias("_found")), "resolved_uri", "left")
                .select("token_uri", "resolved_uri", "_text", F.lit(False).alias("_inline"),
                        F.coalesce("_found", F.lit(False)).alias("_found")))
-    parsed = inline.unionByName(fetched).withColumn("_v", parse_json_or_null(F.col("_text")))
+    parsed = (inline.unionByName(fetched)
+              .withColumn("_v", parse_json_or_null(F.col("_text")))
+              .withColumns({"_obj": as_object(F.col("_v")), "_arr": as_array(F.col("_v"))})
+              .withColumn("_truthy", is_truthy_root("_v", "_obj", "_arr")))
     v = F.col("_v")
-    truthy = is_truthy_root(v)
+    truthy = F.col("_truthy")
     is_inline = F.col("_inline")
     error = (F.when(is_inline, F.when(~truthy, F.lit(DATA_URI_ERROR)))
              .when(~F.col("_found"), F.lit(NOT_FOUND_ERROR))
@@ -66,7 +76,7 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
     return parsed.select(
         "token_uri", "resolved_uri",
         raw.alias("raw"),
-        detect_x402(v).alias("x402"),
+        F.when(truthy, detect_x402(v, "_obj", "_arr")).otherwise(F.lit(False)).alias("x402"),
         F.when(truthy, first_string(v, NAME_KEYS)).alias("name"),
         F.when(truthy, first_string(v, DESCRIPTION_KEYS)).alias("description"),
         as_of.alias("fetched_at"),

@@ -168,3 +168,9 @@ def test_names_helpers(spark):
     df = spark.createDataFrame([(s,) for s in ["  0x" + "aB" * 20 + " ", "alice.eth", "bob", "", None, "0x123"]], "q string")
     assert [r[0] for r in df.select(classify_identifier(F.col("q"))).collect()] == [
         "address", "name", "invalid", "invalid", "invalid", "invalid"]
+
+
+def test_js_trim(spark):
+    raw = " \t　 a b ﻿\n "
+    assert one(spark, variant.js_trim, raw) == "a b"
+    assert one(spark, variant.js_trim, "   ") == ""
