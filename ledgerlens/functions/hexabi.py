@@ -159,3 +159,51 @@ def abi_string_tail(s) -> Column:
 def abi_string_data(s) -> Column:
     """``data`` holding a single dynamic string: offset 0x20, length, bytes."""
     return F.concat(F.lit("0x"), uint_word(F.lit(32)), abi_string_tail(s))
+
+
+# ---------------------------------------------------------------------------
+# The same decoders as SQL text, for ``selectExpr``: a whole projection is one
+# round trip to the JVM instead of one per expression node. Arguments are SQL
+# expressions (usually column names); results equal the Column versions.
+# ---------------------------------------------------------------------------
+
+def sql_stripped_digits(d: str) -> str:
+    return f"CASE WHEN ({d}) RLIKE '^[0-9a-fA-F]+$' THEN TRIM(LEADING '0' FROM ({d})) END"
+
+
+def sql_long_from_stripped(s: str) -> str:
+    return (f"CASE WHEN ({s}) = '' THEN CAST(0 AS BIGINT) "
+            f"WHEN length({s}) <= 16 THEN try_cast(conv({s}, 16, 10) AS BIGINT) END")
+
+
+def sql_hex_body(h: str) -> str:
+    return f"substr({h}, 3)"
+
+
+def sql_data_word(data: str, i: int) -> str:
+    return f"substring({data}, {3 + WORD * i}, {WORD})"
+
+
+def sql_topic_to_address(t: str) -> str:
+    return f"concat('0x', substr({t}, 27))"
+
+
+def sql_abi_string(data: str, length: str, head_words: int = 1) -> str:
+    """F3 given the decoded length expression ``length``."""
+    start = WORD // 2 * head_words + WORD // 2 + 1
+    return f"make_valid_utf8(CAST(substr(unhex(substr({data}, 3)), {start}, {length}) AS STRING))"
+
+
+def sql_int128_low_word(word: str) -> str:
+    """F4 on a 64-digit word held in column ``word``."""
+    low = f"substring({word}, 33, 32)"
+    hi_hex = f"lower(substring({word}, 33, 16))"
+    lo = f"CAST(conv(substring({word}, 49, 16), 16, 10) AS DECIMAL(20,0))"
+    hi0 = f"CAST(conv(substring({word}, 33, 16), 16, 10) AS DECIMAL(20,0))"
+    two64 = "CAST(18446744073709551616 AS DECIMAL(20,0))"
+    two63 = "CAST(9223372036854775808 AS DECIMAL(20,0))"
+    signed_hi = f"(CASE WHEN {hi0} >= {two63} THEN {hi0} - {two64} ELSE {hi0} END)"
+    value = (f"CASE WHEN {hi_hex} = '0000000000000000' THEN CAST({lo} AS DOUBLE) "
+             f"WHEN {hi_hex} = 'ffffffffffffffff' THEN CAST({lo} - {two64} AS DOUBLE) "
+             f"ELSE CAST({signed_hi} AS DOUBLE) * CAST(18446744073709551616 AS DOUBLE) + CAST({lo} AS DOUBLE) END")
+    return f"CASE WHEN {low} RLIKE '^[0-9a-fA-F]{{32}}$' THEN {value} END"

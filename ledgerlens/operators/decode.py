@@ -6,17 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EVENT_TOPICS, IDENTITY_REGISTRY, REPUTATION_REGISTRY, TOPIC
-from ..functions.hexabi import (
-    abi_string,
-    data_word,
-    hex_body,
-    hex_to_long,
-    long_from_stripped,
-    stripped_digits,
-    int128_word_to_double,
-    scale_fixed,
-    topic_to_address,
-)
+from ..functions import hexabi as H
+from ..functions.hexabi import hex_to_long, topic_to_address
 from ..sources.logs import scan_logs
 from .latest import earliest_per_key, latest_per_key
 
@@ -35,23 +26,35 @@ def _topic(i: int):
 
 def registrations(logs: DataFrame, since: str | None = None) -> DataFrame:
     """Registered events -> (agent_id, owner_address, reg_uri, registered_at, registered_tx, log_index)."""
-    return scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=3, topic0=TOPIC["Registered"]).select(
-        hex_to_long(_topic(1)).alias("agent_id"),
-        topic_to_address(_topic(2)).alias("owner_address"),
-        abi_string("data").alias("reg_uri"),
-        F.col("block_timestamp").alias("registered_at"),
-        F.col("transaction_hash").alias("registered_tx"),
+    scan = scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=3, topic0=TOPIC["Registered"])
+    words = scan.selectExpr(
+        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
+        "get(topics, 2) AS _owner",
+        f"{H.sql_stripped_digits(H.sql_data_word('data', 1))} AS _len",
+        "data", "block_timestamp", "transaction_hash", "log_index",
+    )
+    return words.selectExpr(
+        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
+        f"{H.sql_topic_to_address('_owner')} AS owner_address",
+        f"{H.sql_abi_string('data', H.sql_long_from_stripped('_len'))} AS reg_uri",
+        "block_timestamp AS registered_at",
+        "transaction_hash AS registered_tx",
         "log_index",
     )
 
 
 def uri_updates(logs: DataFrame, since: str | None = None) -> DataFrame:
     """URIUpdated events -> (agent_id, new_uri, block_timestamp, log_index)."""
-    return scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=2, topic0=TOPIC["URIUpdated"]).select(
-        hex_to_long(_topic(1)).alias("agent_id"),
-        abi_string("data").alias("new_uri"),
-        "block_timestamp",
-        "log_index",
+    scan = scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=2, topic0=TOPIC["URIUpdated"])
+    words = scan.selectExpr(
+        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
+        f"{H.sql_stripped_digits(H.sql_data_word('data', 1))} AS _len",
+        "data", "block_timestamp", "log_index",
+    )
+    return words.selectExpr(
+        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
+        f"{H.sql_abi_string('data', H.sql_long_from_stripped('_len'))} AS new_uri",
+        "block_timestamp", "log_index",
     )
 
 
@@ -71,10 +74,10 @@ def decode_identity(logs: DataFrame, since: str | None = None) -> DataFrame:
     registration URI and an explicit '' clears it (C1, B8)."""
     reg = first_registrations(logs, since)
     upd = latest_uris(logs, since)
-    return reg.join(upd, "agent_id", "left").select(
+    return reg.join(upd, "agent_id", "left").selectExpr(
         "agent_id",
         "owner_address",
-        F.nullif(F.coalesce(F.col("new_uri"), F.col("reg_uri")), F.lit("")).alias("token_uri"),
+        "nullif(coalesce(new_uri, reg_uri), '') AS token_uri",
         "registered_at",
         "registered_tx",
     )
@@ -86,26 +89,26 @@ def decode_feedback(logs: DataFrame, since: str | None = None) -> DataFrame:
     with their sign; zero words decode to 0."""
     fb = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=3, topic0=TOPIC["NewFeedback"])
     # Slice the hex once; the decoders then work on short, named columns.
-    words = fb.select(
-        stripped_digits(hex_body(_topic(1))).alias("_agent"),
-        _topic(2).alias("_client"),
-        stripped_digits(data_word("data", 0)).alias("_w0"),
-        F.substring("data", 3 + 64, 64).alias("_w1"),
-        stripped_digits(data_word("data", 2)).alias("_w2"),
+    words = fb.selectExpr(
+        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
+        "get(topics, 2) AS _client",
+        f"{H.sql_stripped_digits(H.sql_data_word('data', 0))} AS _w0",
+        f"{H.sql_data_word('data', 1)} AS _w1",
+        f"{H.sql_stripped_digits(H.sql_data_word('data', 2))} AS _w2",
         "block_timestamp", "transaction_hash",
     )
-    decoded = words.select(
-        long_from_stripped("_agent").alias("agent_id"),
-        topic_to_address("_client").alias("client_address"),
-        long_from_stripped("_w0").alias("feedback_index"),
-        int128_word_to_double(F.concat(F.lit("0x"), F.col("_w1")), 0).alias("raw_value"),
-        F.coalesce(long_from_stripped("_w2"), F.lit(0).cast("bigint")).alias("value_decimals"),
-        F.col("block_timestamp").alias("created_at"),
-        F.col("transaction_hash").alias("feedback_tx"),
+    decoded = words.selectExpr(
+        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
+        f"{H.sql_topic_to_address('_client')} AS client_address",
+        f"{H.sql_long_from_stripped('_w0')} AS feedback_index",
+        f"{H.sql_int128_low_word('_w1')} AS raw_value",
+        f"coalesce({H.sql_long_from_stripped('_w2')}, CAST(0 AS BIGINT)) AS value_decimals",
+        "block_timestamp AS created_at",
+        "transaction_hash AS feedback_tx",
     )
-    return decoded.select(
+    return decoded.selectExpr(
         "agent_id", "client_address", "feedback_index", "raw_value", "value_decimals",
-        scale_fixed("raw_value", "value_decimals").alias("score"),
+        "try_divide(raw_value, pow(10.0, coalesce(value_decimals, 0))) AS score",
         "created_at", "feedback_tx",
     )
 

@@ -174,3 +174,16 @@ def test_js_trim(spark):
     raw = " \t　 a b ﻿\n "
     assert one(spark, variant.js_trim, raw) == "a b"
     assert one(spark, variant.js_trim, "   ") == ""
+
+
+def test_sql_decoders_equal_column_decoders(spark):
+    words = ["0" * 64, "0" * 63 + "1", "0" * 48 + "7fffffffffffffff", "0" * 48 + "8000000000000000",
+             "f" * 64, "f" * 32 + "0" * 31 + "1", "0" * 32 + "8" + "0" * 31, "zz" * 32, "", "abc"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = df.selectExpr(
+        f"{hexabi.sql_long_from_stripped(hexabi.sql_stripped_digits('w'))} AS a",
+        f"{hexabi.sql_int128_low_word('w')} AS b",
+    ).collect()
+    want = df.select(hexabi.hex_digits_to_long(F.col("w")).alias("a"),
+                     hexabi.int128_word_to_double(F.concat(F.lit("0x"), F.col("w")), 0).alias("b")).collect()
+    assert got == want
