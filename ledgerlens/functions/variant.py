@@ -127,3 +127,54 @@ def first_string(v, keys: list[str]) -> Column:
         s = F.when(F.schema_of_variant(x) == "STRING", js_trim(F.try_variant_get(x, "$", "string")))
         picks.append(F.nullif(s, F.lit("")))
     return F.coalesce(*picks)
+
+
+# ---------------------------------------------------------------------------
+# SQL-text forms (one JVM round trip for the whole detector; same tree as the
+# Column forms above). Arguments are column names / SQL expressions.
+# ---------------------------------------------------------------------------
+_BOOL_SQL = ", ".join(f"'{k}'" for k in X402_BOOLEAN_KEYS)
+_PRESENCE_SQL = ", ".join(f"'{k}'" for k in X402_PRESENCE_KEYS)
+
+
+def _sql_truthy_flag(v: str) -> str:
+    return (f"(to_json({v}) IN ('true', '\"true\"') OR (schema_of_variant({v}) RLIKE '{_NUMERIC_SCHEMA}' "
+            f"AND try_variant_get({v}, '$', 'double') = 1.0))")
+
+
+def _sql_present(v: str) -> str:
+    return f"(NOT is_variant_null({v}) AND NOT to_json({v}) IN ('\"\"', '[]'))"
+
+
+def _sql_children(obj: str, arr: str, d: int) -> str:
+    return (f"coalesce(transform(map_entries({obj}), e{d} -> named_struct('k', lower(e{d}.key), 'v', e{d}.value)), "
+            f"transform({arr}, x{d} -> named_struct('k', CAST(NULL AS STRING), 'v', x{d})))")
+
+
+def _sql_scalar_hit(v: str) -> str:
+    return f"coalesce(contains(lower(try_variant_get({v}, '$', 'string')), 'x402'), false)"
+
+
+def _sql_level(v: str, obj: str, arr: str, d: int) -> str:
+    c = f"c{d}"
+    if d + 1 > X402_MAX_DEPTH:
+        deeper = "false"
+    else:
+        cv = f"{c}.v"
+        deeper = _sql_level(cv, f"try_cast({cv} AS MAP<STRING, VARIANT>)", f"try_cast({cv} AS ARRAY<VARIANT>)", d + 1)
+    body = (f"CASE WHEN {c}.k IN ({_BOOL_SQL}) THEN {_sql_truthy_flag(c + '.v')} "
+            f"WHEN {c}.k IN ({_PRESENCE_SQL}) THEN {_sql_present(c + '.v')} "
+            f"ELSE {deeper} END")
+    return f"coalesce(exists({_sql_children(obj, arr, d)}, {c} -> {body}), {_sql_scalar_hit(v)})"
+
+
+def sql_is_truthy_root(v: str, obj: str, arr: str) -> str:
+    return (f"CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN false "
+            f"WHEN {obj} IS NOT NULL OR {arr} IS NOT NULL THEN true "
+            f"ELSE NOT to_json({v}) IN ('false', '\"\"') AND NOT (schema_of_variant({v}) RLIKE '{_NUMERIC_SCHEMA}' "
+            f"AND try_variant_get({v}, '$', 'double') = 0.0) END")
+
+
+def sql_detect_x402(v: str, obj: str, arr: str) -> str:
+    """F17 as SQL text over a parsed root ``v`` and its map / array views."""
+    return f"CASE WHEN {sql_is_truthy_root(v, obj, arr)} THEN {_sql_level(v, obj, arr, 0)} ELSE false END"

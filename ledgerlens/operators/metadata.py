@@ -24,10 +24,10 @@ from ..functions.uri import data_uri_text, is_data_uri, resolve_uri
 from ..functions.variant import (
     as_array,
     as_object,
-    detect_x402,
     first_string,
-    is_truthy_root,
     parse_json_or_null,
+    sql_detect_x402,
+    sql_is_truthy_root,
 )
 
 NOT_FOUND_ERROR = "HTTP 404 Not Found"
@@ -65,7 +65,7 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
     parsed = (inline.unionByName(fetched)
               .withColumn("_v", parse_json_or_null(F.col("_text")))
               .withColumns({"_obj": as_object(F.col("_v")), "_arr": as_array(F.col("_v"))})
-              .withColumn("_truthy", is_truthy_root("_v", "_obj", "_arr")))
+              .withColumn("_truthy", F.expr(sql_is_truthy_root("_v", "_obj", "_arr"))))
     v = F.col("_v")
     truthy = F.col("_truthy")
     is_inline = F.col("_inline")
@@ -76,7 +76,7 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
     return parsed.select(
         "token_uri", "resolved_uri",
         raw.alias("raw"),
-        F.when(truthy, detect_x402(v, "_obj", "_arr")).otherwise(F.lit(False)).alias("x402"),
+        F.expr(sql_detect_x402("_v", "_obj", "_arr")).alias("x402"),
         F.when(truthy, first_string(v, NAME_KEYS)).alias("name"),
         F.when(truthy, first_string(v, DESCRIPTION_KEYS)).alias("description"),
         as_of.alias("fetched_at"),

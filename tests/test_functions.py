@@ -187,3 +187,17 @@ def test_sql_decoders_equal_column_decoders(spark):
     want = df.select(hexabi.hex_digits_to_long(F.col("w")).alias("a"),
                      hexabi.int128_word_to_double(F.concat(F.lit("0x"), F.col("w")), 0).alias("b")).collect()
     assert got == want
+
+
+def test_sql_detector_equals_column_detector(spark):
+    rows = [(k, v if isinstance(v, str) and k in (8, 12) else json.dumps(v)) for k, v in X402_DOCS.items()]
+    rows += [(100 + i, b) for i, b in enumerate(["0", "false", '""', "null", "1", "{}", "[]", '"x402"', '[[[[["x402"]]]]]',
+                                                 '[[[["x402"]]]]', '{"payment": null}', '{"payto": ""}', '{"x402": "1"}'])]
+    df = spark.createDataFrame(rows, "k int, body string").withColumn("v", variant.parse_json_or_null("body"))
+    df = df.withColumns({"o": variant.as_object(F.col("v")), "a": variant.as_array(F.col("v"))})
+    got = df.select("k", F.expr(variant.sql_detect_x402("v", "o", "a")).alias("s"),
+                    variant.detect_x402("v").alias("c"),
+                    F.expr(variant.sql_is_truthy_root("v", "o", "a")).alias("ts"),
+                    variant.is_truthy_root("v").alias("tc")).collect()
+    for r in got:
+        assert r["s"] == r["c"] and r["ts"] == r["tc"], r
