@@ -23,13 +23,15 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 BUILD = [
-    "agent_summary", "agent_summary_revoked", "incremental_summary", "event_census",
+    "agent_summary", "agent_summary_revoked", "event_census",
     "metadata_records", "data_uri_metadata", "enrich_top", "agent_detail", "name_lookup", "owner_profiles",
 ]
 SERVE = [
     "list_rank_page", "list_rated_reputation", "list_search_feedback", "list_recent_page", "list_deep_page",
     "list_envelope", "network_stats", "tier_summary", "viz_sample", "agent_cards", "snapshot_rows",
 ]
+# Extension (not a reference query): measured and reported, not in the total.
+EXTRAS = ["incremental_summary"]
 HEADLINE = BUILD + SERVE
 
 
@@ -58,7 +60,8 @@ def run_all(spark, sf_dir, scratch):
     summary = spark.table(table)
     for name in SERVE:
         times[name] = timed(lambda: REGISTRY[name].serve(spark, summary))
-    return {k: round(v, 3) for k, v in times.items()}
+    extras = {name: timed(lambda: REGISTRY[name].fn(spark, sf_dir)) for name in EXTRAS}
+    return {k: round(v, 3) for k, v in times.items()}, {k: round(v, 3) for k, v in extras.items()}
 
 
 def main():
@@ -72,7 +75,7 @@ def main():
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
         run_all(spark, warm, scratch)
-    times = run_all(spark, sf_dir, scratch)
+    times, extras = run_all(spark, sf_dir, scratch)
     build = round(sum(times[n] for n in BUILD), 3)
     serve = round(sum(times[n] for n in SERVE), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
@@ -83,6 +86,7 @@ def main():
         "queries": times,
         "build_total": build,
         "serve_total": serve,
+        "extras": extras,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": int(cpus),
     }))
