@@ -44,7 +44,9 @@ def forward(names: DataFrame) -> DataFrame:
 
 def lookup_records(records: DataFrame, keys: list[str] = LOOKUP_KEYS) -> DataFrame:
     """Per name, a map of the truthy values among ``keys`` (key-sorted)."""
-    r = records.where(F.col("key").isin(*keys) & F.col("value").isNotNull() & (F.col("value") != ""))
+    r = (records.where(F.col("key").isin(*keys) & F.col("value").isNotNull() & (F.col("value") != ""))
+         .groupBy("name", "key").agg(F.max("value").alias("value")))
+    # at most len(keys) entries per name after the (name, key) dedupe
     return (r.groupBy("name")
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("records")))
 
@@ -78,7 +80,7 @@ def agent_profiles(owners: DataFrame, names: DataFrame, records: DataFrame, col:
     o = owners.select(F.lower(F.col(col)).alias("address")).distinct()
     with_name = o.join(resolved_names(names), "address", "left")
     r = records.where(F.col("key").isin(*PROFILE_KEYS))
-    wide = r.groupBy("name").pivot("key", PROFILE_KEYS).agg(F.first("value"))
+    wide = r.groupBy("name").pivot("key", PROFILE_KEYS).agg(F.max("value"))
     for key, alias in PROFILE_COLUMNS.items():
         wide = wide.withColumnRenamed(key, alias)
     return with_name.join(wide, "name", "left").select("address", "name", *PROFILE_COLUMNS.values())

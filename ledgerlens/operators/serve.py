@@ -125,14 +125,19 @@ def list_envelope(summary: DataFrame, req: ListRequest, source: str = "live") ->
 
     ``total`` is the filtered count before paging; ``count`` the page size."""
     limit, offset = parse_limit(req.limit), parse_offset(req.offset)
-    filtered = filter_agents(summary, req.q, req.x402, req.rated)
-    stats = filtered.agg(F.count(F.lit(1)).alias("total"))
-    computed = summary.agg(F.max("computed_at").alias("computed_at"))
+    # One pass: the filter becomes a conditional count next to max(computed_at).
+    matches = F.lit(True)
+    if req.x402:
+        matches = matches & F.col("x402")
+    if req.rated:
+        matches = matches & (F.col("feedback_count") > 0)
+    if req.q and req.q.strip():
+        matches = matches & search_predicate(req.q)
+    stats = summary.agg(F.count_if(matches).alias("total"), F.max("computed_at").alias("computed_at"))
     count = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - F.lit(offset)))
-    return (stats.crossJoin(computed)
-            .select(F.lit(source).alias("source"), "computed_at", F.col("total").cast("bigint").alias("total"),
-                    count.cast("bigint").alias("count"),
-                    (F.lit(offset) + count < F.col("total")).alias("has_more")))
+    return stats.select(F.lit(source).alias("source"), "computed_at", F.col("total").cast("bigint").alias("total"),
+                        count.cast("bigint").alias("count"),
+                        (F.lit(offset) + count < F.col("total")).alias("has_more"))
 
 
 def agent_by_id(summary: DataFrame, agent_id) -> DataFrame:
@@ -148,9 +153,9 @@ def agent_by_id(summary: DataFrame, agent_id) -> DataFrame:
 # Stats (P8)
 # ---------------------------------------------------------------------------
 
-def network_kpis(summary: DataFrame) -> DataFrame:
+def network_kpis(summary: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """One single-pass aggregate (partial per task, one tiny merge)."""
-    return summary.agg(
+    return summary.agg(*(extra or []),
         F.count(F.lit(1)).cast("bigint").alias("total_agents"),
         F.count_if(F.col("feedback_count") > 0).cast("bigint").alias("rated_agents"),
         F.count_if(F.col("token_uri").isNotNull()).cast("bigint").alias("with_token_uri"),
@@ -202,15 +207,20 @@ def stats_document(summary: DataFrame, as_of: str, source: str = "live") -> Data
 
     Each part is aggregated to one row first, so the final cross join is
     1 x 1 x 1."""
-    hist = score_histogram(summary).agg(
-        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "label", "agents"))),
-                                       lambda e: F.struct(e["label"], e["agents"]))).alias("score_distribution"))
+    bucket = _bucket(F.col("reputation_score"))
+    labels = [f"{i * 10}-{i * 10 + 10}" for i in range(10)]
+    hist = F.create_map(*[x for i, lab in enumerate(labels)
+                          for x in (F.lit(lab), F.count_if(bucket == i).cast("bigint"))])
+    kpis = network_kpis(summary, extra=[hist.alias("score_distribution"),
+                                        F.max("computed_at").alias("computed_at")])
+    # The series has one row per day (bounded by the calendar, not the data).
     series = activity_series(summary, as_of).agg(
         F.coalesce(F.array_sort(F.collect_list(F.struct("date", "count"))),
                    F.array().cast("array<struct<date:string,count:bigint>>")).alias("activity_series"))
-    computed = summary.agg(F.max("computed_at").alias("computed_at"))
-    return (network_kpis(summary).crossJoin(computed).crossJoin(hist).crossJoin(series)
-            .select(F.lit(source).alias("source"), "*"))
+    one = F.lit(1).alias("_one")
+    return (kpis.select("*", one).join(series.select("*", one), "_one")
+            .select(F.lit(source).alias("source"), *[c for c in kpis.columns if c != "computed_at"],
+                    "computed_at", "activity_series"))
 
 
 def tier_summary(summary: DataFrame) -> DataFrame:
