@@ -27,7 +27,8 @@ def incremental_summary(spark, sf):
               & (F.col("block_timestamp") < F.lit("2024-01-20").cast("timestamp")),
               F.col("block_timestamp") >= F.lit("2024-01-20").cast("timestamp")]
     for cond in slices:
-        all_logs.where(cond).coalesce(1).write.mode("append").parquet(f"{bronze}/logs")
+        # encode in parallel, then one file per slice (one micro-batch each)
+        all_logs.where(cond).repartition(1).write.mode("append").parquet(f"{bronze}/logs")
     q = start_refresh(spark, f"{bronze}/logs", f"{root}/state", f"{root}/stream-ckpt", DEFAULT_CONFIG,
                       files_per_batch=1)
     q.awaitTermination()
