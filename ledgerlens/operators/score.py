@@ -27,7 +27,10 @@ from ..functions.scoring import (
 
 
 def as_of_col(cfg: ScoreConfig):
-    return F.lit(cfg.as_of).cast("timestamp")
+    """The snapshot instant as a session-time-zone (UTC) timestamp literal.
+    Built from text: a naive datetime literal would be read in the driver
+    machine's local zone."""
+    return F.lit(cfg.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 
 def score_feedback(feedback: DataFrame, cfg: ScoreConfig = DEFAULT_CONFIG) -> DataFrame:
