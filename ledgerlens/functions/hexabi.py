@@ -33,31 +33,16 @@ def hex_body(h) -> Column:
 def hex_digits_to_long(digits) -> Column:
     """Unsigned hex digits (no prefix) -> BIGINT; NULL on junk or > int64.
 
-    All-zero input decodes to 0 (the stripped string is empty). ``conv`` only
-    ever sees at most 16 digits, so it cannot overflow."""
-    d = _c(digits)
-    stripped = F.ltrim(d, F.lit("0"))
-    as_long = F.conv(stripped, 16, 10).try_cast("bigint")
-    return (
-        F.when(d.isNull() | ~d.rlike(_HEX_RE), F.lit(None).cast("bigint"))
-        .when(stripped == "", F.lit(0).cast("bigint"))
-        .when(F.length(stripped) <= 16, as_long)
-        .otherwise(F.lit(None).cast("bigint"))
-    )
-
-
-def stripped_digits(digits) -> Column:
-    """Digits without leading zeros, or NULL when not pure hex. Projecting
-    this once lets ``long_from_stripped`` avoid re-trimming in every branch."""
-    d = _c(digits)
-    return F.when(d.rlike(_HEX_RE), F.ltrim(d, F.lit("0")))
+    Everything before the last 16 digits must be zeros (a plain string
+    compare, no trimming); ``conv`` then sees at most 16 digits, so it cannot
+    overflow. All-zero input decodes to 0."""
+    return _hex_digits_to_long_col(_c(digits))
 
 
-def long_from_stripped(stripped) -> Column:
-    """BIGINT from ``stripped_digits`` ('' is zero; > 16 digits overflows)."""
-    s = _c(stripped)
-    return (F.when(s == "", F.lit(0).cast("bigint"))
-            .when(F.length(s) <= 16, F.conv(s, 16, 10).try_cast("bigint")))
+def _hex_digits_to_long_col(d: Column) -> Column:
+    head = F.length(d) - 16
+    zeros_head = (F.length(d) <= 16) | (F.substring(d, 1, 1 << 30).substr(F.lit(1), head) == F.repeat(F.lit("0"), head))
+    return F.when(d.rlike(_HEX_RE) & zeros_head, F.conv(F.right(d, F.lit(16)), 16, 10).try_cast("bigint"))
 
 
 def hex_to_long(h) -> Column:
@@ -167,13 +152,11 @@ def abi_string_data(s) -> Column:
 # expressions (usually column names); results equal the Column versions.
 # ---------------------------------------------------------------------------
 
-def sql_stripped_digits(d: str) -> str:
-    return f"CASE WHEN ({d}) RLIKE '^[0-9a-fA-F]+$' THEN TRIM(LEADING '0' FROM ({d})) END"
-
-
-def sql_long_from_stripped(s: str) -> str:
-    return (f"CASE WHEN ({s}) = '' THEN CAST(0 AS BIGINT) "
-            f"WHEN length({s}) <= 16 THEN try_cast(conv({s}, 16, 10) AS BIGINT) END")
+def sql_hex_digits_to_long(d: str) -> str:
+    """SQL form of ``hex_digits_to_long`` (``d`` should be a column name)."""
+    return (f"CASE WHEN {d} RLIKE '^[0-9a-fA-F]+$' AND (length({d}) <= 16 OR "
+            f"substr({d}, 1, length({d}) - 16) = repeat('0', length({d}) - 16)) "
+            f"THEN try_cast(conv(right({d}, 16), 16, 10) AS BIGINT) END")
 
 
 def sql_hex_body(h: str) -> str:

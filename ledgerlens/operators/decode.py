@@ -28,15 +28,15 @@ def registrations(logs: DataFrame, since: str | None = None) -> DataFrame:
     """Registered events -> (agent_id, owner_address, reg_uri, registered_at, registered_tx, log_index)."""
     scan = scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=3, topic0=TOPIC["Registered"])
     words = scan.selectExpr(
-        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
+        f"{H.sql_hex_body('get(topics, 1)')} AS _agent",
         "get(topics, 2) AS _owner",
-        f"{H.sql_stripped_digits(H.sql_data_word('data', 1))} AS _len",
+        f"{H.sql_data_word('data', 1)} AS _len",
         "data", "block_timestamp", "transaction_hash", "log_index",
     )
     return words.selectExpr(
-        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
+        f"{H.sql_hex_digits_to_long('_agent')} AS agent_id",
         f"{H.sql_topic_to_address('_owner')} AS owner_address",
-        f"{H.sql_abi_string('data', H.sql_long_from_stripped('_len'))} AS reg_uri",
+        f"{H.sql_abi_string('data', H.sql_hex_digits_to_long('_len'))} AS reg_uri",
         "block_timestamp AS registered_at",
         "transaction_hash AS registered_tx",
         "log_index",
@@ -47,13 +47,13 @@ def uri_updates(logs: DataFrame, since: str | None = None) -> DataFrame:
     """URIUpdated events -> (agent_id, new_uri, block_timestamp, log_index)."""
     scan = scan_logs(logs, IDENTITY_REGISTRY, since, min_topics=2, topic0=TOPIC["URIUpdated"])
     words = scan.selectExpr(
-        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
-        f"{H.sql_stripped_digits(H.sql_data_word('data', 1))} AS _len",
+        f"{H.sql_hex_body('get(topics, 1)')} AS _agent",
+        f"{H.sql_data_word('data', 1)} AS _len",
         "data", "block_timestamp", "log_index",
     )
     return words.selectExpr(
-        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
-        f"{H.sql_abi_string('data', H.sql_long_from_stripped('_len'))} AS new_uri",
+        f"{H.sql_hex_digits_to_long('_agent')} AS agent_id",
+        f"{H.sql_abi_string('data', H.sql_hex_digits_to_long('_len'))} AS new_uri",
         "block_timestamp", "log_index",
     )
 
@@ -90,19 +90,19 @@ def decode_feedback(logs: DataFrame, since: str | None = None) -> DataFrame:
     fb = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=3, topic0=TOPIC["NewFeedback"])
     # Slice the hex once; the decoders then work on short, named columns.
     words = fb.selectExpr(
-        f"{H.sql_stripped_digits(H.sql_hex_body('get(topics, 1)'))} AS _agent",
+        f"{H.sql_hex_body('get(topics, 1)')} AS _agent",
         "get(topics, 2) AS _client",
-        f"{H.sql_stripped_digits(H.sql_data_word('data', 0))} AS _w0",
+        f"{H.sql_data_word('data', 0)} AS _w0",
         f"{H.sql_data_word('data', 1)} AS _w1",
-        f"{H.sql_stripped_digits(H.sql_data_word('data', 2))} AS _w2",
+        f"{H.sql_data_word('data', 2)} AS _w2",
         "block_timestamp", "transaction_hash",
     )
     decoded = words.selectExpr(
-        f"{H.sql_long_from_stripped('_agent')} AS agent_id",
+        f"{H.sql_hex_digits_to_long('_agent')} AS agent_id",
         f"{H.sql_topic_to_address('_client')} AS client_address",
-        f"{H.sql_long_from_stripped('_w0')} AS feedback_index",
+        f"{H.sql_hex_digits_to_long('_w0')} AS feedback_index",
         f"{H.sql_int128_low_word('_w1')} AS raw_value",
-        f"coalesce({H.sql_long_from_stripped('_w2')}, CAST(0 AS BIGINT)) AS value_decimals",
+        f"coalesce({H.sql_hex_digits_to_long('_w2')}, CAST(0 AS BIGINT)) AS value_decimals",
         "block_timestamp AS created_at",
         "transaction_hash AS feedback_tx",
     )

@@ -181,7 +181,7 @@ def test_sql_decoders_equal_column_decoders(spark):
              "f" * 64, "f" * 32 + "0" * 31 + "1", "0" * 32 + "8" + "0" * 31, "zz" * 32, "", "abc"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = df.selectExpr(
-        f"{hexabi.sql_long_from_stripped(hexabi.sql_stripped_digits('w'))} AS a",
+        f"{hexabi.sql_hex_digits_to_long('w')} AS a",
         f"{hexabi.sql_int128_low_word('w')} AS b",
     ).collect()
     want = df.select(hexabi.hex_digits_to_long(F.col("w")).alias("a"),
