@@ -13,13 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 64  # hex digits per 32-byte word
+_HEX_RE = "^[0-9a-fA-F]+$"
 
 
 def _dec(n: int) -> Column:
     return F.lit(Decimal(n)).cast("decimal(20,0)")
 
-_HEX_RE = "^[0-9a-fA-F]+$"
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -36,12 +35,9 @@ def hex_digits_to_long(digits) -> Column:
     Everything before the last 16 digits must be zeros (a plain string
     compare, no trimming); ``conv`` then sees at most 16 digits, so it cannot
     overflow. All-zero input decodes to 0."""
-    return _hex_digits_to_long_col(_c(digits))
-
-
-def _hex_digits_to_long_col(d: Column) -> Column:
+    d = _c(digits)
     head = F.length(d) - 16
-    zeros_head = (F.length(d) <= 16) | (F.substring(d, 1, 1 << 30).substr(F.lit(1), head) == F.repeat(F.lit("0"), head))
+    zeros_head = (F.length(d) <= 16) | (F.substr(d, F.lit(1), head) == F.repeat(F.lit("0"), head))
     return F.when(d.rlike(_HEX_RE) & zeros_head, F.conv(F.right(d, F.lit(16)), 16, 10).try_cast("bigint"))
 
 
