@@ -50,7 +50,13 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
     those bodies are read into the join (a small target set is broadcast by
     Spark's size check and the documents are filtered without a shuffle).
     """
-    u = uris.select(F.col("token_uri")).where(F.col("token_uri").isNotNull()).distinct()
+    # Distinct first (map-side combined, so a URI shared by many agents is one
+    # row per task), then spread the distinct URIs over every shuffle
+    # partition: parsing and walking documents is CPU-heavy per byte, and a
+    # byte-sized AQE coalesce would otherwise squeeze it onto a few cores.
+    width = int(uris.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = (uris.select(F.col("token_uri")).where(F.col("token_uri").isNotNull()).distinct()
+         .repartition(width, "token_uri"))
     inline = (u.where(is_data_uri("token_uri"))
               .select("token_uri", F.col("token_uri").alias("resolved_uri"),
                       data_uri_text("token_uri").alias("_text"), F.lit(True).alias("_inline"),
