@@ -99,3 +99,36 @@ def test_latest_per_key_null_wins(spark):
 def test_sort_modes_end_in_rank():
     for mode in ("rank", "reputation", "feedback", "recent", "recency", "bogus"):
         assert "rank" in str(S.sort_columns(mode)[-1])
+
+
+def test_latest_and_earliest_equal_window_forms(spark):
+    from ledgerlens.operators.decode import latest_uris, registrations, first_registrations, uri_updates
+
+    logs = fixture_logs(spark, SF_ORACLE)
+    upd = uri_updates(logs)
+    w = Window.partitionBy("agent_id").orderBy(F.col("block_timestamp").desc(), F.col("log_index").desc())
+    by_window = {r["agent_id"]: r["new_uri"] for r in
+                 upd.withColumn("rn", F.row_number().over(w)).where("rn = 1").collect()}
+    assert {r["agent_id"]: r["new_uri"] for r in latest_uris(logs).collect()} == by_window
+    reg = registrations(logs)
+    w2 = Window.partitionBy("agent_id").orderBy("registered_at", "log_index")
+    first = {r["agent_id"]: (r["owner_address"], r["registered_at"]) for r in
+             reg.withColumn("rn", F.row_number().over(w2)).where("rn = 1").collect()}
+    got = {r["agent_id"]: (r["owner_address"], r["registered_at"]) for r in first_registrations(logs).collect()}
+    assert got == first
+
+
+def test_wq_invariant_under_as_of_shift(spark):
+    import datetime as dt
+    from dataclasses import replace
+
+    from ledgerlens.operators.decode import decode_feedback
+    from ledgerlens.operators.score import aggregate_agents, score_feedback
+
+    fb = decode_feedback(fixture_logs(spark, SF_SMALL))
+    a = {r["agent_id"]: (r["wq"], r["eff_n"]) for r in aggregate_agents(score_feedback(fb, DEFAULT_CONFIG)).collect()}
+    later = replace(DEFAULT_CONFIG, as_of=DEFAULT_CONFIG.as_of + dt.timedelta(days=45))
+    b = {r["agent_id"]: (r["wq"], r["eff_n"]) for r in aggregate_agents(score_feedback(fb, later)).collect()}
+    for k, (wq, eff) in a.items():
+        assert abs(wq - b[k][0]) < 1e-9
+        assert abs(eff * 0.5 ** 1.5 - b[k][1]) < 1e-9
