@@ -19,6 +19,11 @@ def summary(spark, sf):
     return build_agent_summary(logs(spark, sf), CFG)
 
 
+def identity(spark, sf):
+    from ..operators.decode import decode_identity
+    return decode_identity(logs(spark, sf, mints=False))
+
+
 def empty_name_cache(spark):
     return spark.createDataFrame([], "address string, name string, resolved boolean")
 
@@ -27,8 +32,9 @@ def empty_name_cache(spark):
 SELECT s.agent_id, s.owner_address, g.name AS owner_name
 FROM summary s LEFT JOIN good g ON lower(s.owner_address) = g.address"""))
 def owner_names(spark, sf):
-    """Every agent's owner with its primary name."""
-    s = summary(spark, sf).select("agent_id", "owner_address")
+    """Every agent's owner with its primary name (owners come from the
+    decoded registrations; no score or rank is needed)."""
+    s = identity(spark, sf).select("agent_id", "owner_address")
     return N.owner_names(s, names_table(spark, sf))
 
 
@@ -83,7 +89,7 @@ FROM owners o LEFT JOIN good g USING (address) LEFT JOIN recs r ON r.name = g.na
 GROUP BY o.address, g.name""")
 def owner_profiles(spark, sf):
     """Name + seven profile records for every owner."""
-    s = summary(spark, sf).select(F.col("owner_address").alias("address"))
+    s = identity(spark, sf).select(F.col("owner_address").alias("address"))
     return N.agent_profiles(s, names_table(spark, sf), text_records(spark, sf))
 
 
@@ -135,9 +141,7 @@ SELECT c_custkey AS agent_id, g.name AS owner_name,
 FROM customer LEFT JOIN good g ON '0x' || lpad(lower(hex(c_nationkey + 1)), 40, '0') = g.address""")
 def attestations(spark, sf):
     """Registration attestation record present on the owner's name?"""
-    from ..operators.decode import decode_identity
-    agents = decode_identity(logs(spark, sf, mints=False))
-    return N.attestations(agents, names_table(spark, sf), text_records(spark, sf))
+    return N.attestations(identity(spark, sf), names_table(spark, sf), text_records(spark, sf))
 
 
 @register("agent_detail", O.with_summary(f""", {O.DOCMETA}, {O.NAMES},
