@@ -23,7 +23,6 @@ from ..config import (
 )
 from ..functions.scoring import (
     address_url,
-    age_days,
     bucket_percent,
     gateway_url,
     relative_age,
@@ -272,10 +271,6 @@ def viz_sample(summary: DataFrame, as_of: str, n: int = VIZ_SAMPLE) -> DataFrame
     )
 
 
-def owner_age_days(summary: DataFrame, as_of: str) -> DataFrame:
-    return summary.select("agent_id", age_days("registered_at", as_of_ts(as_of)).alias("age_days"))
-
-
 def stats_document_json(summary: DataFrame, as_of: str, source: str = "live") -> DataFrame:
     """P8 as it is served: the histogram and series as JSON text."""
     doc = stats_document(summary, as_of, source)

@@ -11,12 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG
 from ..session import prepare
 from ..sources.fixtures import fixture_logs
-from . import oracle as O
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
 from ..operators import decode as D
-from ..operators.score import aggregate_agents, score_agents, score_feedback
+from ..operators.score import aggregate_agents, score_feedback
 from ..plans.summary import build_agent_summary, scored_agents
 from . import oracle as O
 from .catalog import logs, register

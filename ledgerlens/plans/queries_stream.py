@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
 from ..session import checkpoint_dir
-from ..sources.logs import read_bronze, write_bronze
+from ..sources.logs import read_bronze
 from ..streaming.incremental import latest_state, start_refresh, summary_from_state
 from . import oracle as O
 from .catalog import logs, register

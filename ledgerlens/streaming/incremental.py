@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..config import DEFAULT_CONFIG, ScoreConfig
-from ..functions.scoring import clamp01, is_negative, is_neutral, is_positive, shrunk_score
+from ..functions.scoring import clamp01, is_negative, is_neutral, is_positive
 from ..operators.decode import decode_feedback, decode_identity
 from ..operators.rank import rank_agents
 from ..operators.score import as_of_col
@@ -136,4 +136,4 @@ def summary_from_state(spark: SparkSession, state: DataFrame, logs: DataFrame,
         F.lit(False).alias("x402"), as_of_col(cfg).alias("computed_at")).select(*SUMMARY_COLUMNS)
 
 
-__all__ = ["start_refresh", "summary_from_state", "anchored_partials", "merge_state", "shrunk_score"]
+__all__ = ["start_refresh", "summary_from_state", "anchored_partials", "merge_state"]

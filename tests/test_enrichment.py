@@ -95,3 +95,13 @@ def test_unique_owners_order(spark):
                                     "agent_id bigint, owner_address string, rank bigint")
     got = [(r["address"], r["best_rank"]) for r in N.unique_owners(summary, 10).collect()]
     assert got == [("0xbb", 1), ("0xaa", 2)]
+
+
+def test_cache_hits_and_misses_partition_targets(spark):
+    t = dt.datetime(2024, 2, 1)
+    cache = spark.createDataFrame([("a", t, None), ("b", t - dt.timedelta(hours=2), None)],
+                                  "token_uri string, fetched_at timestamp, error string")
+    targets = spark.createDataFrame([("a",), ("b",), ("c",)], "token_uri string")
+    hits = {r[0] for r in M.cache_hits(targets, cache, as_of()).collect()}
+    misses = {r[0] for r in M.refetch_candidates(targets, cache, as_of()).collect()}
+    assert hits == {"a"} and misses == {"b", "c"}

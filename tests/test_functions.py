@@ -201,3 +201,9 @@ def test_sql_detector_equals_column_detector(spark):
                     variant.is_truthy_root("v").alias("tc")).collect()
     for r in got:
         assert r["s"] == r["c"] and r["ts"] == r["tc"], r
+
+
+def test_scale_fixed(spark):
+    df = spark.createDataFrame([(655.0, 2), (85e18, 18), (-1.0, None), (7.0, 0)], "raw double, dec bigint")
+    got = [r[0] for r in df.select(hexabi.scale_fixed("raw", "dec")).collect()]
+    assert got == [6.55, 85.0, -1.0, 7.0]

@@ -74,3 +74,13 @@ def test_bronze_roundtrip_prunes(spark):
     from ledgerlens.operators.decode import decode_feedback
     plan = decode_feedback(logs, "2024-01-15")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "topic0" in plan
+
+
+def test_to_bronze_lowercases_and_derives(spark):
+    from ledgerlens.sources.logs import BRONZE_COLUMNS, to_bronze
+    raw = spark.createDataFrame(
+        [("0xABCdef", ["0xAA", "0xBb"], "0xFF", "2024-01-02 03:04:05", "0xTX", 3)],
+        "address string, topics array<string>, data string, block_timestamp string, transaction_hash string, log_index int")
+    r = to_bronze(raw).select(*BRONZE_COLUMNS).first()
+    assert r["address"] == "0xabcdef" and r["topics"] == ["0xaa", "0xbb"] and r["data"] == "0xff"
+    assert r["topic0"] == "0xaa" and r["topic_count"] == 2 and str(r["block_date"]) == "2024-01-02"
