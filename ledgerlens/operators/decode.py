@@ -69,24 +69,28 @@ def latest_uris(logs: DataFrame, since: str | None = None) -> DataFrame:
     return latest_per_key(uri_updates(logs, since), "agent_id", ["block_timestamp", "log_index"], ["new_uri"])
 
 
-def decode_identity(logs: DataFrame, since: str | None = None) -> DataFrame:
+def decode_identity(logs: DataFrame, since: str | None = None, ordered: bool = False) -> DataFrame:
     """One row per registered agent; the latest URI update beats the
-    registration URI and an explicit '' clears it (C1, B8)."""
+    registration URI and an explicit '' clears it (C1, B8). ``ordered`` adds
+    the reference's presentation order (S2: by agent_id, a range-partitioned
+    sort); consumers that join or aggregate should leave it off."""
     reg = first_registrations(logs, since)
     upd = latest_uris(logs, since)
-    return reg.join(upd, "agent_id", "left").selectExpr(
+    out = reg.join(upd, "agent_id", "left").selectExpr(
         "agent_id",
         "owner_address",
         "nullif(coalesce(new_uri, reg_uri), '') AS token_uri",
         "registered_at",
         "registered_tx",
     )
+    return out.orderBy("agent_id") if ordered else out
 
 
-def decode_feedback(logs: DataFrame, since: str | None = None) -> DataFrame:
+def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = False) -> DataFrame:
     """NewFeedback -> (agent_id, client_address, feedback_index, raw_value,
     value_decimals, score, created_at, feedback_tx). int128 values are decoded
-    with their sign; zero words decode to 0."""
+    with their sign; zero words decode to 0. ``ordered`` sorts by created_at
+    (S2, the reference's presentation order)."""
     fb = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=3, topic0=TOPIC["NewFeedback"])
     # Slice the hex once; the decoders then work on short, named columns.
     words = fb.selectExpr(
@@ -106,11 +110,12 @@ def decode_feedback(logs: DataFrame, since: str | None = None) -> DataFrame:
         "block_timestamp AS created_at",
         "transaction_hash AS feedback_tx",
     )
-    return decoded.selectExpr(
+    out = decoded.selectExpr(
         "agent_id", "client_address", "feedback_index", "raw_value", "value_decimals",
         "try_divide(raw_value, pow(10.0, coalesce(value_decimals, 0))) AS score",
         "created_at", "feedback_tx",
     )
+    return out.orderBy("created_at") if ordered else out
 
 
 def decode_revocations(logs: DataFrame, since: str | None = None) -> DataFrame:

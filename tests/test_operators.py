@@ -132,3 +132,13 @@ def test_wq_invariant_under_as_of_shift(spark):
     for k, (wq, eff) in a.items():
         assert abs(wq - b[k][0]) < 1e-9
         assert abs(eff * 0.5 ** 1.5 - b[k][1]) < 1e-9
+
+
+def test_presentation_order(spark):
+    from ledgerlens.operators.decode import decode_feedback, decode_identity
+
+    logs = fixture_logs(spark, SF_SMALL)
+    ids = [r["agent_id"] for r in decode_identity(logs, ordered=True).collect()]
+    assert ids == sorted(ids)
+    ts = [r["created_at"] for r in decode_feedback(logs, ordered=True).collect()]
+    assert ts == sorted(ts)
