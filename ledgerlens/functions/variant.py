@@ -178,3 +178,20 @@ def sql_is_truthy_root(v: str, obj: str, arr: str) -> str:
 def sql_detect_x402(v: str, obj: str, arr: str) -> str:
     """F17 as SQL text over a parsed root ``v`` and its map / array views."""
     return f"CASE WHEN {sql_is_truthy_root(v, obj, arr)} THEN {_sql_level(v, obj, arr, 0)} ELSE false END"
+
+
+def _sql_escape(text: str) -> str:
+    """A Spark SQL string literal body (backslash escapes are decoded)."""
+    return "".join(c if c.isalnum() or c in "-_.[] $" else f"\\u{ord(c):04x}" for c in text)
+
+
+def sql_first_string(v: str, keys: list[str]) -> str:
+    """F18 as SQL text: first candidate key holding a non-blank string, trimmed."""
+    spaces = _sql_escape(_JS_SPACE)
+    picks = []
+    for k in keys:
+        x = f"try_variant_get({v}, '$.{k}', 'variant')"
+        s = (f"CASE WHEN schema_of_variant({x}) = 'STRING' "
+             f"THEN trim(BOTH '{spaces}' FROM try_variant_get({x}, '$', 'string')) END")
+        picks.append(f"nullif({s}, '')")
+    return f"coalesce({', '.join(picks)})"

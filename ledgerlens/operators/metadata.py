@@ -24,9 +24,9 @@ from ..functions.uri import data_uri_text, is_data_uri, resolve_uri
 from ..functions.variant import (
     as_array,
     as_object,
-    first_string,
     parse_json_or_null,
     sql_detect_x402,
+    sql_first_string,
     sql_is_truthy_root,
 )
 
@@ -83,8 +83,8 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
         "token_uri", "resolved_uri",
         raw.alias("raw"),
         F.expr(sql_detect_x402("_v", "_obj", "_arr")).alias("x402"),
-        F.when(truthy, first_string(v, NAME_KEYS)).alias("name"),
-        F.when(truthy, first_string(v, DESCRIPTION_KEYS)).alias("description"),
+        F.when(truthy, F.expr(sql_first_string("_v", NAME_KEYS))).alias("name"),
+        F.when(truthy, F.expr(sql_first_string("_v", DESCRIPTION_KEYS))).alias("description"),
         as_of.alias("fetched_at"),
         error.alias("error"),
     )

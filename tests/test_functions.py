@@ -207,3 +207,16 @@ def test_scale_fixed(spark):
     df = spark.createDataFrame([(655.0, 2), (85e18, 18), (-1.0, None), (7.0, 0)], "raw double, dec bigint")
     got = [r[0] for r in df.select(hexabi.scale_fixed("raw", "dec")).collect()]
     assert got == [6.55, 85.0, -1.0, 7.0]
+
+
+def test_sql_first_string_equals_column_form(spark):
+    rows = [(1, json.dumps({"name": "  Alice ", "title": "T"})), (2, json.dumps({"name": 5, "agentName": "Bob"})),
+            (3, json.dumps({"name": " 　\t", "title": "﻿ Tee\n"})), (4, json.dumps([{"name": "x"}])),
+            (5, json.dumps({"other": 1})), (6, "{bad"), (7, json.dumps({"agent_name": "a b "}))]
+    keys = ["name", "agentName", "agent_name", "title"]
+    df = spark.createDataFrame(rows, "k int, body string").withColumn("v", variant.parse_json_or_null("body"))
+    got = df.select("k", F.expr(variant.sql_first_string("v", keys)).alias("s"),
+                    variant.first_string("v", keys).alias("c")).collect()
+    for r in got:
+        assert r["s"] == r["c"], r
+    assert {r["k"]: r["s"] for r in got}[3] == "Tee"
