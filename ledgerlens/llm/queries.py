@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read_table
 from .jaccard_join import jaccard_components
+from .secret_scan import span_digest
 from .vector_join import near_duplicate_vectors
 
 
@@ -15,5 +16,9 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join)}
+def op8_secret_scan(spark, sf_dir):
+    return span_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan)}
 ORACLES: dict[str, str] = {}
