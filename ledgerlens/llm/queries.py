@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read_table
 from .jaccard_join import jaccard_components
+from . import mixing
 from .secret_scan import span_digest
 from .vector_join import near_duplicate_vectors
 
@@ -20,5 +21,9 @@ def op8_secret_scan(spark, sf_dir):
     return span_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan)}
-ORACLES: dict[str, str] = {}
+def op10_source_mixing(spark, sf_dir):
+    return mixing.mix_report(spark, read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing)}
+ORACLES: dict[str, str] = {"op10_source_mixing": mixing.oracle_sql()}
