@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from .common import read_table
 from .jaccard_join import jaccard_components
+from .language_id import identify
+from .quality import quality_report
 from . import mixing
 from .secret_scan import span_digest
 from .vector_join import near_duplicate_vectors
 
 
+def op2_language_id(spark, sf_dir):
+    return identify(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark, sf_dir):
     return near_duplicate_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"))
 
@@ -25,5 +35,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix_report(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing, op2_language_id, op5_quality_classifier)}
 ORACLES: dict[str, str] = {"op10_source_mixing": mixing.oracle_sql()}
