@@ -5,9 +5,11 @@ from __future__ import annotations
 from .common import read_table
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .lz_fingerprint import compare_neighbours
 from .quality import quality_report
 from . import mixing
 from .secret_scan import span_digest
+from .url_filter import judge
 from .vector_join import near_duplicate_vectors
 
 
@@ -27,6 +29,14 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    return compare_neighbours(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark, sf_dir):
+    return judge(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return span_digest(read_table(spark, sf_dir, "documents"))
 
@@ -35,5 +45,6 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix_report(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing, op2_language_id, op5_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing, op2_language_id, op5_quality_classifier, op6_document_fingerprints,
+                                   op7_url_filter)}
 ORACLES: dict[str, str] = {"op10_source_mixing": mixing.oracle_sql()}
