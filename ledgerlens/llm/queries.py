@@ -7,7 +7,7 @@ from .jaccard_join import jaccard_components
 from .language_id import identify
 from .lz_fingerprint import compare_neighbours
 from .quality import quality_report
-from . import mixing
+from . import chat_format, mixing
 from .secret_scan import span_digest
 from .url_filter import judge
 from .vector_join import near_duplicate_vectors
@@ -17,6 +17,10 @@ def op2_language_id(spark, sf_dir):
     return identify(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark, sf_dir):
+    return chat_format.chat_report(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op4_embedding_near_dedup(spark, sf_dir):
     return near_duplicate_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
@@ -46,5 +50,5 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing, op2_language_id, op5_quality_classifier, op6_document_fingerprints,
-                                   op7_url_filter)}
-ORACLES: dict[str, str] = {"op10_source_mixing": mixing.oracle_sql()}
+                                   op7_url_filter, op3_chat_formatting)}
+ORACLES: dict[str, str] = {"op3_chat_formatting": chat_format.oracle_sql(), "op10_source_mixing": mixing.oracle_sql()}
