@@ -1,16 +1,70 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+quality -> near duplicates -> secrets -> mixture -> tokens. All stages but the
+last return the columns of their input; extra columns are carried along
+untouched, whatever their names. A null id, text, language or source never
+ends a stage: see each function.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ledgerlens.llm.common import read_table, stage_table
+from ledgerlens.llm.jaccard_join import jaccard_components
+from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.quality import THRESHOLD, score_documents
+from ledgerlens.llm.secret_scan import redact
+from ledgerlens.llm.sentencepiece import encode
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (a null text is scored as an empty one)."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    scored = score_documents(spark, docs, docs, read_table(spark, sf_dir, "labels"), name=name)
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id. Of rows that repeat an id one stays;
+    rows without an id stay, as nothing names them."""
+    groups = jaccard_components(spark, docs.select("doc_id", "text"))
+    kept = stage_table(spark, groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked, n_chars counted anew where that changed the text."""
+    masked = redact(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+    n_chars = F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the calibrated draw keeps."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return mix(spark, packed).where("kept").select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document; null for a null text."""
+    return encode(spark, docs.select("doc_id", "lang", "source", "text"), keep_text=False).select(
+        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
-#: The classifier and the tokenizer are not expressible in SQL.
+#: The classifier, the join's staging and the tokenizer are not expressible in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage_table(spark, stage(spark, docs, sf_dir), name)

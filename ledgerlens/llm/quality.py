@@ -184,7 +184,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_docs: int =
     return model
 
 
-def _score(model_var):
+def _score(model_var, name: str):
     def run(batches):
         m = model_var.value
         for b in batches:
@@ -193,22 +193,20 @@ def _score(model_var):
             else:
                 x = np.stack([pooled(m.words, token_buckets(t)) for t in b.column("text").to_pylist()]) if len(b) else np.zeros((0, DIM + 1))
                 s = _sigmoid(_logits(m, x) / m.temperature + m.offset)
-            names = [n for n in b.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(s, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
     return run
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labelled: DataFrame, labels: DataFrame,
-                    folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """``docs`` with ``score``. The classifier learns from the texts of
+                    folds: int = FOLDS, held_out: int = HELD_OUT, name: str = "score") -> DataFrame:
+    """``docs`` with their score in the new column ``name``. The classifier learns from the texts of
     ``labelled`` (doc_id, text) joined to ``labels``, held-out fold excluded."""
     prepare(spark)
     keys = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     texts = labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(train(spark, texts, keys.where(fold_of(F.col("doc_id"), folds) != held_out)))
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score(model), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(model, name), schema)
 
 
 def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,10 +9,15 @@ from .lz_fingerprint import compare_neighbours
 from .quality import quality_report
 from . import chat_format, mixing
 from .secret_scan import span_digest
+from .sentencepiece import round_trip_report
 from .url_filter import judge
 from .vector_join import near_duplicate_vectors
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return round_trip_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return identify(spark, read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix_report(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join, op8_secret_scan, op10_source_mixing, op2_language_id, op5_quality_classifier, op6_document_fingerprints,
-                                   op7_url_filter, op3_chat_formatting)}
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_language_id, op3_chat_formatting, op4_embedding_near_dedup, op5_quality_classifier,
+    op6_document_fingerprints, op7_url_filter, op8_secret_scan, op9_ngram_jaccard_join, op10_source_mixing)}
 ORACLES: dict[str, str] = {"op3_chat_formatting": chat_format.oracle_sql(), "op10_source_mixing": mixing.oracle_sql()}

@@ -46,7 +46,7 @@ from .common import prepare
 
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-MAX_WORDS = 300_000  # words remembered per Python worker
+MAX_WORDS = 500_000  # words remembered per Python worker
 MAX_PAIRS = 2_000_000
 UNIGRAM, BPE = 1, 2
 
@@ -64,7 +64,11 @@ class Pieces:
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.ids), default=1)
+        # Lengths of the pieces that end in two given characters, longest first.
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {e: sorted(n, reverse=True) for e, n in ends.items()}
         # Characters inside no piece of several characters end a word: no merge crosses them.
         self.joined = set("".join(p for p in self.ids if len(p) > 1))
         self.word = re.compile(f"{MARK}+[^{MARK}\\n\\t]*|[^{MARK}\\n\\t]+|[\\n\\t]" if not {"\n", "\t"} & self.joined else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -171,15 +175,45 @@ class TrieViterbi:
 
     def encode_sorted(self, words: list[str]):
         """Yields (word, pieces) for words in ascending order."""
-        bpe = self.pieces.kind == BPE
+        pieces, bpe = self.pieces, self.pieces.kind == BPE
+        scores, pairs, ends, floor = pieces.scores, pieces._pairs, pieces.ends, self.floor
         last: list[str] = [""]  # last piece of the best path to each prefix
         score = [0.0]
         before = ""
         for word in words:
-            keep = len(os.path.commonprefix((before, word)))
+            keep = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                keep += 1
             del last[keep + 1:], score[keep + 1:]
             for i in range(keep + 1, len(word) + 1):
-                self._step_bpe(word, i, last, score) if bpe else self._step_unigram(word, i, last, score)
+                one = word[i - 1]
+                best, found = float("-inf"), one
+                if one not in scores and (not bpe or pieces.apart(last[i - 1], one)):
+                    best = score[i - 1] + floor
+                for n in ends.get(word[i - 2:i], ()) if i > 1 else ():
+                    j = i - n
+                    if j < 0:
+                        continue
+                    piece = word[j:i]
+                    value = scores.get(piece)
+                    if value is None or score[j] + value <= best:
+                        continue
+                    if bpe:
+                        ok = pairs.get((last[j], piece))
+                        if not (pieces.apart(last[j], piece) if ok is None else ok):
+                            continue
+                    best, found = score[j] + value, piece
+                    if bpe:  # at most one path is allowed
+                        break
+                else:
+                    value = scores.get(one)
+                    if value is not None and score[i - 1] + value > best and (not bpe or pieces.apart(last[i - 1], one)):
+                        best = score[i - 1] + value
+                        found = one
+                last.append(found)
+                score.append(best)
             before = word
             path, i = [], len(word)
             while i:
@@ -187,53 +221,34 @@ class TrieViterbi:
                 i -= len(last[i])
             yield word, path[::-1]
 
-    def _step_unigram(self, word: str, i: int, last: list[str], score: list[float]) -> None:
-        scores = self.pieces.scores
-        best, piece = -np.inf, word[i - 1]
-        if piece not in scores:
-            best = score[i - 1] + self.floor
-        for j in range(max(0, i - self.pieces.longest), i):
-            v = scores.get(word[j:i])
-            if v is not None and score[j] + v > best:
-                best, piece = score[j] + v, word[j:i]
-        last.append(piece)
-        score.append(best)
-
-    def _step_bpe(self, word: str, i: int, last: list[str], score: list[float]) -> None:
-        pieces, scores, pairs = self.pieces, self.pieces.scores, self.pieces._pairs
-        for j in range(max(0, i - pieces.longest), i):
-            piece = word[j:i]
-            if piece in scores or j == i - 1:
-                ok = pairs.get((last[j], piece))
-                if pieces.apart(last[j], piece) if ok is None else ok:
-                    last.append(piece)
-                    score.append(score[j] + scores.get(piece, self.floor))
-                    return
-        raise AssertionError(f"no path to a prefix of {word!r}")
-
 
 class Codec:
     """Encodes and decodes batches of texts; remembers words across batches."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.trie = pieces, TrieViterbi(pieces)
+        self._packed = {p: i.to_bytes(4, "little") for p, i in pieces.ids.items()}
         self._words: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
+        packed, known = self._packed, self._words
         for word, path in self.trie.encode_sorted(sorted(words)):
-            ids = [i for p in path for i in self.pieces.piece_ids(p)]
-            self._words[word] = np.array(ids, dtype="<i4").tobytes()
+            try:
+                known[word] = b"".join([packed[p] for p in path])
+            except KeyError:
+                known[word] = b"".join([np.array(self.pieces.piece_ids(p), dtype="<i4").tobytes() for p in path])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        marked = [None if t is None else self.pieces.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self._words) > MAX_WORDS:
-            self._words.clear()
-        new = set()
+        cut = self.pieces.word.findall
+        marked = [None if t is None else cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = self._words
+        if len(known) > MAX_WORDS:
+            known.clear()
+        new: set[str] = set()
         for words in marked:
             if words:
                 new.update(words)
-        self._learn(new.difference(self._words))
-        known = self._words
+        self._learn(new - known.keys())
         return [None if w is None else np.frombuffer(b"".join([known[x] for x in w]), dtype="<i4") for w in marked]
 
     def decode(self, ids: list[np.ndarray | None]) -> list[str | None]:
