@@ -55,8 +55,6 @@ LIST_DEFAULT_LIMIT = 50
 LIST_MAX_LIMIT = 200
 VIZ_SAMPLE = 500
 EXPORT_SAMPLE = 50
-ENRICH_TOP = 200
-NAMES_TOP = 200
 NAME_SAMPLE = 15
 STATS_SERIES_DAYS = 90
 

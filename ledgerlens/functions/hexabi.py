@@ -67,13 +67,19 @@ def abi_string(data, head_words: int = 1) -> Column:
     Layout [offset word][length word][utf-8 bytes]: bytes start at byte
     ``32*head_words + 33``; invalid UTF-8 is replaced with U+FFFD."""
     d = _c(data)
-    length = word_to_long(d, head_words)
+    length = _bounded(word_to_long(d, head_words), d)
     raw = F.unhex(hex_body(d))
     start = WORD // 2 * head_words + WORD // 2 + 1
     sliced = F.call_function("substr", raw, F.lit(start), length)
     return F.make_valid_utf8(sliced.cast("string"))
 
 
+def _bounded(length: Column, data: Column) -> Column:
+    """A length word no larger than the data itself, so that it fits an int
+    (a log may claim any 256-bit length)."""
+    return F.when(length.isNotNull(), F.least(length, F.length(data).cast("bigint")).cast("int"))
+
+
 def int128_word_to_double(data, i: int) -> Column:
     """signed int128 in word i (two's complement) -> DOUBLE.
 
@@ -170,7 +176,8 @@ def sql_topic_to_address(t: str) -> str:
 def sql_abi_string(data: str, length: str, head_words: int = 1) -> str:
     """F3 given the decoded length expression ``length``."""
     start = WORD // 2 * head_words + WORD // 2 + 1
-    return f"make_valid_utf8(CAST(substr(unhex(substr({data}, 3)), {start}, {length}) AS STRING))"
+    bounded = f"CASE WHEN ({length}) IS NOT NULL THEN CAST(least({length}, CAST(length({data}) AS BIGINT)) AS INT) END"
+    return f"make_valid_utf8(CAST(substr(unhex(substr({data}, 3)), {start}, {bounded}) AS STRING))"
 
 
 def sql_int128_low_word(word: str) -> str:

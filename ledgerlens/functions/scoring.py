@@ -13,13 +13,8 @@ def _c(x) -> Column:
 
 
 def round_half_up(x, digits: int) -> Column:
-    """ROUND(x, digits), half away from zero, as exact decimal arithmetic would.
-
-    Means and weighted sums are computed in floating point, whose last bits
-    depend on summation order; a mean of cents that is exactly on a tie (say
-    41.605) can come out as ...4999 or ...5001. The value is first fixed at
-    9 decimals (far above the float noise), then rounded in DECIMAL."""
-    return F.round(_c(x).cast("decimal(38,9)"), digits).cast("double")
+    """ROUND(x, digits), half away from zero, once; exact for DECIMAL input."""
+    return F.round(_c(x), digits).cast("double")
 
 
 def clamp01(x) -> Column:

@@ -33,7 +33,7 @@ def data_uri_text(uri) -> Column:
     selects base64, else percent-decoding. An empty body is a failure."""
     u = _c(uri)
     comma = F.instr(u, ",")
-    header = F.substring(u, 6, 1 << 30).substr(F.lit(1), comma - 6)
+    header = u.substr(F.lit(6), F.greatest(comma - 6, F.lit(0)))
     body = F.substr(u, comma + 1)
     b64 = F.regexp_replace(F.translate(body, "-_", "+/"), "[^A-Za-z0-9+/]", "")
     # Node drops a dangling single character of a 4-char group; padding is optional.
@@ -42,8 +42,9 @@ def data_uri_text(uri) -> Column:
     from_b64 = F.make_valid_utf8(F.try_to_binary(b64, F.lit("base64")).cast("string"))
     # decodeURIComponent keeps '+'; try_url_decode would map it to a space.
     pct = F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
-    # A malformed escape decodes to U+FFFD where decodeURIComponent throws.
-    bad_escape = (F.instr(pct, "\ufffd") > 0) & (F.instr(body, "\ufffd") == 0)
-    pct_ok = F.when(pct.isNotNull() & ~bad_escape, pct)
+    # Escapes that are not UTF-8 decode to U+FFFD where decodeURIComponent throws:
+    # count the replacement characters that the body spells itself, plain or escaped.
+    spelled = F.regexp_count(body, F.lit("\ufffd|%[eE][fF]%[bB][fF]%[bB][dD]"))
+    pct_ok = F.when(pct.isNotNull() & (F.regexp_count(pct, F.lit("\ufffd")) == spelled), pct)
     text = F.when(header.endswith(";base64"), from_b64).otherwise(pct_ok)
     return F.when(is_data_uri(u) & (comma > 0) & (F.length(body) > 0), text)

@@ -49,12 +49,12 @@ def uri_updates(logs: DataFrame, since: str | None = None) -> DataFrame:
     words = scan.selectExpr(
         f"{H.sql_hex_body('get(topics, 1)')} AS _agent",
         f"{H.sql_data_word('data', 1)} AS _len",
-        "data", "block_timestamp", "log_index",
+        "data", "block_timestamp", "transaction_hash", "log_index",
     )
     return words.selectExpr(
         f"{H.sql_hex_digits_to_long('_agent')} AS agent_id",
         f"{H.sql_abi_string('data', H.sql_hex_digits_to_long('_len'))} AS new_uri",
-        "block_timestamp", "log_index",
+        "block_timestamp", "transaction_hash", "log_index",
     )
 
 
@@ -74,19 +74,23 @@ def decode_identity(logs: DataFrame, since: str | None = None, ordered: bool = F
     registration URI and an explicit '' clears it (C1, B8). ``ordered`` adds
     the reference's presentation order (S2: by agent_id, a range-partitioned
     sort); consumers that join or aggregate should leave it off."""
-    reg = first_registrations(logs, since)
-    upd = latest_uris(logs, since)
-    out = reg.join(upd, "agent_id", "left").selectExpr(
+    out = resolve_identity(first_registrations(logs, since), latest_uris(logs, since))
+    return out.orderBy("agent_id") if ordered else out
+
+
+def resolve_identity(reg: DataFrame, upd: DataFrame) -> DataFrame:
+    """First registrations and newest URIs, one row per agent each -> agents."""
+    return reg.join(upd, "agent_id", "left").selectExpr(
         "agent_id",
         "owner_address",
         "nullif(coalesce(new_uri, reg_uri), '') AS token_uri",
         "registered_at",
         "registered_tx",
     )
-    return out.orderBy("agent_id") if ordered else out
 
 
-def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = False) -> DataFrame:
+def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = False,
+                    log_index: bool = False) -> DataFrame:
     """NewFeedback -> (agent_id, client_address, feedback_index, raw_value,
     value_decimals, score, created_at, feedback_tx). int128 values are decoded
     with their sign; zero words decode to 0. ``ordered`` sorts by created_at
@@ -99,7 +103,7 @@ def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = F
         f"{H.sql_data_word('data', 0)} AS _w0",
         f"{H.sql_data_word('data', 1)} AS _w1",
         f"{H.sql_data_word('data', 2)} AS _w2",
-        "block_timestamp", "transaction_hash",
+        "block_timestamp", "transaction_hash", "log_index",
     )
     decoded = words.selectExpr(
         f"{H.sql_hex_digits_to_long('_agent')} AS agent_id",
@@ -109,11 +113,12 @@ def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = F
         f"coalesce({H.sql_hex_digits_to_long('_w2')}, CAST(0 AS BIGINT)) AS value_decimals",
         "block_timestamp AS created_at",
         "transaction_hash AS feedback_tx",
+        "log_index",
     )
     out = decoded.selectExpr(
         "agent_id", "client_address", "feedback_index", "raw_value", "value_decimals",
         "try_divide(raw_value, pow(10.0, coalesce(value_decimals, 0))) AS score",
-        "created_at", "feedback_tx",
+        "created_at", "feedback_tx", *(["log_index"] if log_index else []),
     )
     return out.orderBy("created_at") if ordered else out
 
@@ -126,6 +131,7 @@ def decode_revocations(logs: DataFrame, since: str | None = None) -> DataFrame:
         topic_to_address(_topic(2)).alias("client_address"),
         hex_to_long(_topic(3)).alias("feedback_index"),
         F.col("block_timestamp").alias("revoked_at"),
+        "transaction_hash", "log_index",
     )
 
 
@@ -146,15 +152,16 @@ def event_census(spark: SparkSession, logs: DataFrame, since: str | None = None)
 
     Aggregates by (address, topic0) first, then labels the few groups with the
     10-row catalogue, so the join never sees raw logs."""
-    per_topic = logs
+    catalogue = [(IDENTITY_REGISTRY if c == "IdentityRegistry" else REPUTATION_REGISTRY, c, e, t) for c, e, t in EVENT_TOPICS]
+    # Only the catalogue's contracts and events leave the scan.
+    per_topic = logs.where(F.col("address").isin(sorted({a for a, *_ in catalogue}))
+                           & F.col("topic0").isin(sorted({t for *_, t in catalogue})))
     if since is not None:
         per_topic = per_topic.where(F.col("block_timestamp") >= F.lit(since).cast("timestamp"))
     arity = F.col("topic_count") if "topic_count" in logs.columns else F.size("topics")
     per_topic = (per_topic.where(arity >= 1)
                  .groupBy("address", "topic0").agg(F.count(F.lit(1)).alias("n")))
-    cat = event_topics(spark).withColumn(
-        "address", F.when(F.col("contract") == "IdentityRegistry", F.lit(IDENTITY_REGISTRY))
-        .otherwise(F.lit(REPUTATION_REGISTRY)))
+    cat = spark.createDataFrame(catalogue, "address string, contract string, event string, topic0 string")
     return (per_topic.join(F.broadcast(cat), ["address", "topic0"])
             .select("contract", "event", F.col("n").cast("bigint").alias("n")))
 

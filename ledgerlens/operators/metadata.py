@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..config import (
     DATA_URI_ERROR,
     DESCRIPTION_KEYS,
-    ENRICH_TOP,
     NAME_KEYS,
     NO_URI_ERROR,
     TTL_METADATA,
     TTL_METADATA_ERROR,
 )
+from .joins import spread_left_join
 from ..functions.uri import data_uri_text, is_data_uri, resolve_uri
 from ..functions.variant import (
     as_array,
@@ -94,7 +94,7 @@ def batch_enrich(items: DataFrame, documents: DataFrame, as_of: Column) -> DataF
     """K4: (agent_id, token_uri) -> (agent_id, token_uri, x402, error), one
     output row per input; a missing URI gives ('', false, 'no tokenURI')."""
     meta = fetch_metadata(items, documents, as_of).select("token_uri", "x402", "error")
-    return items.join(meta, "token_uri", "left").select(
+    return spread_left_join(items, meta, "token_uri", "agent_id").select(
         "agent_id",
         F.coalesce(F.col("token_uri"), F.lit("")).alias("token_uri"),
         F.coalesce(F.col("x402"), F.lit(False)).alias("x402"),
@@ -146,7 +146,7 @@ def empty_cache(spark) -> DataFrame:
 # Enrichment run (P9), summary update (C4), detail view
 # ---------------------------------------------------------------------------
 
-def enrich_targets(summary: DataFrame, top: int | None = ENRICH_TOP) -> DataFrame:
+def enrich_targets(summary: DataFrame, top: int | None = None) -> DataFrame:
     """S6 + B6: the top-N agents by rank, then those with a token URI (the
     URI filter comes after the limit). ``top=None`` enriches every agent."""
     ranked = summary.select("agent_id", "rank", "token_uri")
@@ -156,7 +156,7 @@ def enrich_targets(summary: DataFrame, top: int | None = ENRICH_TOP) -> DataFram
 
 
 def enrich_metadata(summary: DataFrame, documents: DataFrame, cache: DataFrame, as_of: Column,
-                    top: int | None = ENRICH_TOP):
+                    top: int | None = None):
     """Returns (results, new_cache). ``results`` has one row per target:
     (agent_id, token_uri, x402, error, from_cache)."""
     targets = enrich_targets(summary, top)
@@ -205,6 +205,6 @@ def agent_detail(summary: DataFrame, metadata: DataFrame) -> DataFrame:
         F.col("description").alias("metadata_description"),
         F.col("error").alias("metadata_error"),
     )
-    return (summary.join(m, "token_uri", "left")
+    return (spread_left_join(summary, m, "token_uri", "agent_id")
             .withColumn("x402", F.col("x402") | F.coalesce(F.col("_m_x402"), F.lit(False)))
             .drop("_m_x402"))

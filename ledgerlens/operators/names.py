@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOOKUP_KEYS, NAME_SAMPLE, NAMES_TOP, PROFILE_KEYS
+from ..config import LOOKUP_KEYS, NAME_SAMPLE, PROFILE_KEYS
 from ..functions.names import attestation_key, classify_identifier
+from .joins import spread_left_join
 
 PROFILE_COLUMNS = {
     "agent-context": "agent_context",
@@ -38,8 +39,9 @@ def owner_names(df: DataFrame, names: DataFrame, address_col: str = "owner_addre
 
 def forward(names: DataFrame) -> DataFrame:
     """Lowercase name -> address (the inverse of the name table)."""
+    # two addresses may claim one name: the first in address order answers
     return (resolved_names(names).where(F.col("name").isNotNull())
-            .select(F.lower("name").alias("_name"), F.col("address").alias("fwd_address")))
+            .groupBy(F.lower("name").alias("_name")).agg(F.min("address").alias("fwd_address")))
 
 
 def lookup_records(records: DataFrame, keys: list[str] = LOOKUP_KEYS) -> DataFrame:
@@ -67,7 +69,7 @@ def name_lookup(inputs: DataFrame, names: DataFrame, records: DataFrame, col: st
     base = j.select("query", "kind", name.alias("name"), address.alias("address"))
     recs = lookup_records(records)
     empty = F.create_map().cast("map<string,string>")
-    return (base.join(recs, "name", "left")
+    return (spread_left_join(base, recs, "name", "query")
             .select("query", "kind", "name", "address",
                     F.when(F.col("name").isNotNull(), F.coalesce("records", empty)).otherwise(empty).alias("records")))
 
@@ -83,10 +85,10 @@ def agent_profiles(owners: DataFrame, names: DataFrame, records: DataFrame, col:
     wide = r.groupBy("name").pivot("key", PROFILE_KEYS).agg(F.max("value"))
     for key, alias in PROFILE_COLUMNS.items():
         wide = wide.withColumnRenamed(key, alias)
-    return with_name.join(wide, "name", "left").select("address", "name", *PROFILE_COLUMNS.values())
+    return spread_left_join(with_name, wide, "name", "address").select("address", "name", *PROFILE_COLUMNS.values())
 
 
-def unique_owners(summary: DataFrame, top: int | None = NAMES_TOP) -> DataFrame:
+def unique_owners(summary: DataFrame, top: int | None = None) -> DataFrame:
     """Distinct lowercase owners in best-rank order (blank owners dropped)."""
     owners = (summary.where(F.coalesce(F.col("owner_address"), F.lit("")) != "")
               .groupBy(F.lower("owner_address").alias("address"))
@@ -96,7 +98,7 @@ def unique_owners(summary: DataFrame, top: int | None = NAMES_TOP) -> DataFrame:
     return owners
 
 
-def resolve_names(summary: DataFrame, names: DataFrame, cache: DataFrame, top: int | None = NAMES_TOP):
+def resolve_names(summary: DataFrame, names: DataFrame, cache: DataFrame, top: int | None = None):
     """P10: warm the name cache for the top owners.
 
     Returns (results, new_cache). Cached entries (including a stored "no
@@ -142,6 +144,6 @@ def attestations(agents: DataFrame, names: DataFrame, records: DataFrame) -> Dat
     with_name = owner_names(agents.select("agent_id", "owner_address"), names)
     keyed = with_name.withColumn("_key", attestation_key(F.col("agent_id")))
     att = (records.where(F.col("key").startswith("agent-registration[") & F.col("value").isNotNull())
-           .select(F.col("name").alias("_rn"), F.col("key").alias("_rk"), F.lit(True).alias("_has")))
+           .select(F.col("name").alias("_rn"), F.col("key").alias("_rk"), F.lit(True).alias("_has")).distinct())
     return (keyed.join(att, (F.col("owner_name") == F.col("_rn")) & (F.col("_key") == F.col("_rk")), "left")
             .select("agent_id", "owner_name", F.coalesce("_has", F.lit(False)).alias("verified")))

@@ -49,7 +49,8 @@ def client_partials(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum("w").alias("sw"),
         F.sum(F.col("w") * q).alias("swq"),
-        F.sum(q * F.lit(100.0)).alias("sq100"),
+        # cents and the like are exact decimals: their sum does not depend on the order
+        F.sum((q * F.lit(100.0)).cast("decimal(20,9)")).alias("sq100"),
         F.count(q).alias("nq"),
         F.max("created_at").alias("last_at"),
         F.count_if(is_positive(q)).alias("pos"),
@@ -70,7 +71,7 @@ def agent_partials(partials: DataFrame) -> DataFrame:
         F.sum("pos").cast("bigint").alias("positive_count"),
         F.sum("neu").cast("bigint").alias("neutral_count"),
         F.sum("neg").cast("bigint").alias("negative_count"),
-        F.try_divide(F.sum("sq100"), F.sum("nq").cast("double")).alias("avg_raw_score"),
+        F.try_divide(F.sum("sq100"), F.sum("nq")).alias("avg_raw_score"),
     )
 
 

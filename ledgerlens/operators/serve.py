@@ -33,11 +33,6 @@ from ..functions.scoring import (
     viz_hue,
     viz_size,
 )
-from .rank import global_row_number
-
-# Pages whose end lies within this many rows use a per-task top-k.
-SHALLOW_PAGE_ROWS = 10_000
-
 _INT_PREFIX = re.compile(r"^\s*([+-]?\d+)")
 
 
@@ -96,11 +91,9 @@ def filter_agents(summary: DataFrame, q: str | None = None, x402: bool = False,
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """Rows [offset, offset + limit) in ``order``."""
-    if offset + limit <= SHALLOW_PAGE_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
-    numbered = global_row_number(df, order, "_pos")
-    return numbered.where((F.col("_pos") > offset) & (F.col("_pos") <= offset + limit)).drop("_pos")
+    """Rows [offset, offset + limit) in ``order``: a top-k per task, merged."""
+    ordered = df.orderBy(*order)
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 @dataclass
@@ -144,7 +137,9 @@ def agent_by_id(summary: DataFrame, agent_id) -> DataFrame:
     an empty frame means not found."""
     n = parse_int_js(agent_id)
     if n is None or n < 0:
-        raise ValueError(f"Invalid agentId - must be a non-negative integer: {agent_id!r}")
+        raise ValueError(f"agent ids are whole numbers from 0 on, got {agent_id!r}")
+    if n >= 1 << 63:
+        return summary.limit(0)  # no agent can have it
     return summary.where(F.col("agent_id") == F.lit(n))
 
 
@@ -183,7 +178,7 @@ def score_histogram(summary: DataFrame) -> DataFrame:
     counts = (summary.select(_bucket(F.col("reputation_score")).cast("bigint").alias("bucket"))
               .where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
     labels = bucket_labels(summary.sparkSession)
-    return (F.broadcast(labels).join(counts, "bucket", "left")
+    return (labels.join(counts, "bucket", "left")
             .select("bucket", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("agents")))
 
 

@@ -67,7 +67,7 @@ FROM agg""")
 def agent_agg(spark, sf):
     """Per-agent aggregate of scored feedback."""
     agg = aggregate_agents(score_feedback(D.decode_feedback(logs(spark, sf, mints=False)), CFG))
-    return agg
+    return agg.withColumn("avg_raw_score", F.col("avg_raw_score").cast("double"))
 
 
 @register("agent_score", f"WITH {O.SCORED_AGENTS} SELECT * FROM scored")
@@ -82,18 +82,7 @@ def agent_summary(spark, sf):
     return build_agent_summary(logs(spark, sf), CFG)
 
 
-@register("agent_summary_revoked", f"""WITH {O.REG},
-{O.LATEST},
-agents AS (
-  SELECT r.agent_id, r.owner_address, NULLIF(COALESCE(l.new_uri, r.reg_uri), '') AS token_uri,
-         r.registered_at, r.registered_tx
-  FROM reg r LEFT JOIN latest l USING (agent_id)),
-{O.AGG.replace("FROM events)", "FROM events WHERE event_id % 50 <> 0)")},
-scored AS (SELECT {O.SCORE_COLS} FROM agents a LEFT JOIN agg g USING (agent_id))
-SELECT *, CAST(row_number() OVER (ORDER BY reputation_score DESC, feedback_count DESC,
-                                   registered_at DESC, agent_id ASC) AS BIGINT) AS rank,
-       false AS x402, {O.AS_OF} AS computed_at
-FROM scored""")
+@register("agent_summary_revoked", O.SUMMARY_REVOKED)
 def agent_summary_revoked(spark, sf):
     """Summary after FeedbackRevoked events remove every 50th feedback."""
     return build_agent_summary(logs(spark, sf, revocations=True), CFG)

@@ -62,14 +62,14 @@ def data_uri_metadata(spark, sf):
             .select("conv_id", "turn", "x402", "name", "description", "error"))
 
 
-TOP_TARGETS = """targets AS (SELECT s.agent_id, s.rank, s.token_uri FROM summary s
-                WHERE s.rank <= {top} AND s.token_uri IS NOT NULL)"""
+TARGETS = """targets AS (SELECT s.agent_id, s.rank, s.token_uri FROM summary s
+                WHERE s.token_uri IS NOT NULL)"""
 
 
-def _summary_with_meta(top: int) -> str:
+def _summary_with_meta() -> str:
     return O.with_summary(f""", {O.DOCMETA.replace('docmeta AS', 'docmeta AS', 1)},
 agents2 AS (SELECT * FROM agents),
-{TOP_TARGETS.format(top=top)},
+{TARGETS},
 tmeta AS (
   SELECT t.agent_id, t.rank, t.token_uri, COALESCE(m.x402, false) AS x402,
          CASE WHEN m.resolved_uri IS NULL THEN 'HTTP 404 Not Found' ELSE m.error END AS error
@@ -78,42 +78,42 @@ tmeta AS (
                              ELSE t.token_uri END)""")
 
 
-@register("enrich_top", _summary_with_meta(200) + """
+@register("enrich_top", _summary_with_meta() + """
 SELECT s.agent_id, s.owner_address, s.token_uri, s.registered_at, s.registered_tx, s.feedback_count,
        s.unique_clients, s.positive_count, s.neutral_count, s.negative_count, s.avg_raw_score,
        s.reputation_score, s.effective_feedback, s.last_feedback_at, s.last_activity_at, s.rank,
        COALESCE(t.x402, s.x402) AS x402, s.computed_at
 FROM summary s LEFT JOIN tmeta t USING (agent_id)""")
 def enrich_top(spark, sf):
-    """P9 + C4: enrich the top 200 agents (empty cache) and write the flags back."""
+    """P9 + C4: enrich every agent (empty cache) and write the flags back."""
     s = summary(spark, sf)
-    results, _ = M.enrich_metadata(s, metadata_documents(spark, sf), M.empty_cache(spark), as_of(), top=200)
+    results, _ = M.enrich_metadata(s, metadata_documents(spark, sf), M.empty_cache(spark), as_of())
     return M.apply_x402(s, results)
 
 
-@register("enrich_changes", _summary_with_meta(200) + """
+@register("enrich_changes", _summary_with_meta() + """
 SELECT CAST(count(*) AS BIGINT) AS changed FROM tmeta WHERE x402""")
 def enrich_changes(spark, sf):
-    """C4: how many flags the top-200 run changes."""
+    """C4: how many flags the run changes."""
     s = summary(spark, sf)
-    results, _ = M.enrich_metadata(s, metadata_documents(spark, sf), M.empty_cache(spark), as_of(), top=200)
+    results, _ = M.enrich_metadata(s, metadata_documents(spark, sf), M.empty_cache(spark), as_of())
     return M.x402_changes(s, results)
 
 
-@register("enrich_run_summary", _summary_with_meta(200) + """
+@register("enrich_run_summary", _summary_with_meta() + """
 SELECT CAST(count(*) AS BIGINT) AS processed,
        CAST(count(*) FILTER (WHERE rank <= 100 AND error IS NULL) AS BIGINT) AS from_cache,
        CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS errors,
        CAST(count(*) FILTER (WHERE x402) AS BIGINT) AS x402_found
 FROM tmeta""")
 def enrich_run_summary(spark, sf):
-    """Top-200 run over a cache warmed 30 minutes earlier for the
+    """A run over a cache warmed 30 minutes earlier for the
     top 100 (ok entries still fresh, error entries expired and refetched)."""
     s = summary(spark, sf)
     docs = metadata_documents(spark, sf)
     earlier = as_of() - F.expr("INTERVAL 30 MINUTES")
     warm = M.fetch_metadata(M.enrich_targets(s, 100), docs, earlier).select(*M.METADATA_COLUMNS)
-    results, _ = M.enrich_metadata(s, docs, warm, as_of(), top=200)
+    results, _ = M.enrich_metadata(s, docs, warm, as_of())
     return M.run_summary(results)
 
 

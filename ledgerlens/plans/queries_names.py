@@ -98,15 +98,15 @@ OWNERS_SQL = """owners AS (
   WHERE COALESCE(owner_address, '') <> '' GROUP BY 1)"""
 
 
-@register("unique_owners", O.with_summary(f", {OWNERS_SQL}\nSELECT * FROM owners ORDER BY best_rank LIMIT 200"))
+@register("unique_owners", O.with_summary(f", {OWNERS_SQL}\nSELECT * FROM owners"))
 def unique_owners(spark, sf):
-    """Distinct owners in best-rank order, top 200."""
-    return N.unique_owners(summary(spark, sf), 200)
+    """Distinct owners with their best rank."""
+    return N.unique_owners(summary(spark, sf))
 
 
 @register("resolve_names_run", O.with_summary(f""", {OWNERS_SQL}, {O.NAMES},
 top AS (SELECT o.address, o.best_rank, n.name, COALESCE(n.resolved, true) AS resolved
-        FROM (SELECT * FROM owners ORDER BY best_rank LIMIT 200) o LEFT JOIN names n USING (address)),
+        FROM owners o LEFT JOIN names n USING (address)),
 warm AS (SELECT address FROM (SELECT * FROM owners ORDER BY best_rank LIMIT 10) w
          LEFT JOIN names n USING (address) WHERE COALESCE(n.resolved, true))
 SELECT CAST(count(*) AS BIGINT) AS processed,
@@ -117,21 +117,21 @@ SELECT CAST(count(*) AS BIGINT) AS processed,
   round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE resolved AND name IS NOT NULL) * 100.0 / count(*) END, 1) AS has_name_pct
 FROM top"""))
 def resolve_names_run(spark, sf):
-    """P10 + G16: warm names for the top-200 owners over a cache already
+    """P10 + G16: warm names for all owners over a cache already
     holding the top-10 owners; failed lookups are reported, not cached."""
     s = summary(spark, sf)
     names = names_table(spark, sf)
     _, warm = N.resolve_names(s, names, empty_name_cache(spark), top=10)
-    results, _ = N.resolve_names(s, names, warm, top=200)
+    results, _ = N.resolve_names(s, names, warm)
     return N.names_run_summary(results)
 
 
 @register("name_sample", O.with_summary(f""", {OWNERS_SQL}, {O.NAMES}
-SELECT o.address, n.name FROM (SELECT * FROM owners ORDER BY best_rank LIMIT 200) o JOIN names n USING (address)
+SELECT o.address, n.name FROM owners o JOIN names n USING (address)
 WHERE n.resolved AND n.name IS NOT NULL ORDER BY o.address LIMIT 15"""))
 def name_sample(spark, sf):
     """First 15 resolved names of the warmed cache."""
-    _, cache = N.resolve_names(summary(spark, sf), names_table(spark, sf), empty_name_cache(spark), top=200)
+    _, cache = N.resolve_names(summary(spark, sf), names_table(spark, sf), empty_name_cache(spark))
     return N.name_sample(cache)
 
 

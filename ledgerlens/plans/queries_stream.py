@@ -8,29 +8,23 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
 from ..session import checkpoint_dir
-from ..sources.logs import read_bronze
-from ..streaming.incremental import latest_state, start_refresh, summary_from_state
+from ..streaming.incremental import latest_agents, start_refresh, summary_from_state
 from . import oracle as O
 from .catalog import logs, register
 
 
-@register("incremental_summary", O.with_summary("SELECT * FROM summary"))
+@register("incremental_summary", O.SUMMARY_REVOKED)
 def incremental_summary(spark, sf):
-    """Bronze logs land in three time slices; an availableNow stream
-    merges them into per-(agent, client) state one file per micro-batch;
-    the summary built from that state equals the batch rebuild."""
+    """Bronze logs with revocations land in three time slices, the newest
+    first, the last one with logs of the first once more; a refresh follows
+    each. The summary of that state equals the batch rebuild."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex[:8]}"
-    all_logs = logs(spark, sf)
-    bronze = f"{root}/bronze"
-    slices = [F.col("block_timestamp") < F.lit("2024-01-10").cast("timestamp"),
-              (F.col("block_timestamp") >= F.lit("2024-01-10").cast("timestamp"))
-              & (F.col("block_timestamp") < F.lit("2024-01-20").cast("timestamp")),
-              F.col("block_timestamp") >= F.lit("2024-01-20").cast("timestamp")]
-    for cond in slices:
-        # encode in parallel, then one file per slice (one micro-batch each)
-        all_logs.where(cond).repartition(1).write.mode("append").parquet(f"{bronze}/logs")
-    q = start_refresh(spark, f"{bronze}/logs", f"{root}/state", f"{root}/stream-ckpt", DEFAULT_CONFIG,
-                      files_per_batch=1)
-    q.awaitTermination()
-    state = latest_state(spark, f"{root}/state")
-    return summary_from_state(spark, state, read_bronze(spark, f"{bronze}/logs"), DEFAULT_CONFIG)
+    all_logs = logs(spark, sf, revocations=True)
+    at = F.col("block_timestamp")
+    early, late = (F.lit(d).cast("timestamp") for d in ("2024-01-10", "2024-01-20"))
+    again = (at >= late) & (F.pmod("log_index", F.lit(3)) == 0)
+    for part in (all_logs.where(at >= late), all_logs.where((at >= early) & (at < late)),
+                 all_logs.where(at < early).unionByName(all_logs.where(again))):
+        part.write.mode("append").parquet(f"{root}/bronze")
+        start_refresh(spark, f"{root}/bronze", f"{root}/state", f"{root}/stream", DEFAULT_CONFIG).awaitTermination()
+    return summary_from_state(latest_agents(spark, f"{root}/state"), DEFAULT_CONFIG)

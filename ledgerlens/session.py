@@ -34,12 +34,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only when it is unset (local runs and tests) do we pick a scratch
-    folder of our own.
+    is. Where it is unset a local session gets a scratch folder of its own;
+    on a cluster that is an error, as executors do not share local folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         sc.setCheckpointDir(current)
     elif not sc.getCheckpointDir():

@@ -49,20 +49,16 @@ _TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. The test files are single row groups, which Spark
-    cannot split, so a scan narrower than the cluster is spread by a hash of
-    its leading key (one cheap exchange) before the per-row encoding work. Handles are reused
-    per session so the footer and file listing are read once."""
+    """A driver table, spread by a hash of its leading key: the files are single
+    row groups, which Spark cannot split, and the mapping's per-row encoding is
+    heavy. Handles are reused per session so the footer and file listing are
+    read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     handles = _TABLES.setdefault(spark, {})
     df = handles.get(path)
     if df is None:
         df = spark.read.parquet(path)
-        width = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < width:
-            # hash on the table's leading key: deterministic, no pre-sort
-            df = df.repartition(width, df.columns[0])
-        handles[path] = df
+        df = handles[path] = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
     return df
 
 

@@ -44,9 +44,11 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 def write_bronze(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sink: bronze Parquet partitioned by ``block_date``.
 
-    Rows are clustered by (address, topic0) inside each date so row-group
-    statistics let the scan skip other contracts and events."""
-    (logs.repartition("block_date")
+    Rows are dealt by ranges of (date, address, topic0, time), so that a day
+    spreads over as many tasks as its rows need, and are clustered inside each
+    date so that row-group statistics let the scan skip other contracts and
+    events."""
+    (logs.repartitionByRange("block_date", "address", "topic0", "block_timestamp", "log_index")
          .sortWithinPartitions("address", "topic0", "block_timestamp")
          .write.mode(mode).partitionBy("block_date").parquet(path))
 

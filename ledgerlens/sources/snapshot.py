@@ -16,23 +16,54 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import AGENT_SUMMARY_SCHEMA
 from ..operators.serve import snapshot_rows
 
 POINTER = "_CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file aside and rename it over ``path``, so that readers see the old or the new text."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    fs, target = file_system(spark, path)
+    _, aside = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def new_run_id() -> str:
     return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
 
 
 def _complete_versions(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _fs(spark, root)
+    fs, p = file_system(spark, root)
     if not fs.exists(p):
         return []
     out = []
@@ -46,11 +77,9 @@ def _complete_versions(spark: SparkSession, root: str) -> list[str]:
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """Version named by the pointer, else the newest complete version."""
-    fs, p = _fs(spark, f"{root.rstrip('/')}/{POINTER}")
-    if fs.exists(p):
-        rows = spark.read.text(f"{root.rstrip('/')}/{POINTER}").collect()
-        if rows and rows[0][0].strip():
-            return rows[0][0].strip()
+    named = get_text(spark, f"{root.rstrip('/')}/{POINTER}")
+    if named and named.strip():
+        return named.strip()
     versions = _complete_versions(spark, root)
     return versions[-1] if versions else None
 
@@ -64,8 +93,7 @@ def write_version(df: DataFrame, root: str, fmt: str = "parquet", run_id: str |
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(f"{root.rstrip('/')}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/{POINTER}")
+    put_text(spark, f"{root.rstrip('/')}/{POINTER}", version)
     return version
 
 
@@ -124,9 +152,11 @@ def export_snapshot(summary: DataFrame, root: str, sample_root: str | None = Non
 def load_agents(spark: SparkSession, live_root: str, fixture_root: str):
     """The live snapshot if one exists, else the fixture sample.
 
+    The rows have the export's columns and types, also where all values are null.
     Returns (rows with a ``source`` column, computed_at of the first row)."""
-    live = read_current(spark, live_root, fmt="json")
-    source, df = ("live", live) if live is not None else ("fixtures", read_current(spark, fixture_root, fmt="json"))
+    schema = snapshot_rows(spark.createDataFrame([], AGENT_SUMMARY_SCHEMA)).schema
+    live = read_current(spark, live_root, fmt="json", schema=schema)
+    source, df = ("live", live) if live is not None else ("fixtures", read_current(spark, fixture_root, fmt="json", schema=schema))
     if df is None:
         return None, None
     first = df.orderBy("rank").select("computedAt").limit(1).collect()

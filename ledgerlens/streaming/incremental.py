@@ -1,40 +1,51 @@
 """Incremental reputation refresh on Structured Streaming.
 
+The stream decodes all four event kinds (registrations, URI updates, feedback,
+revocations). Its state has two tables, both dealt into buckets by agent:
+
+* ``events``: the decoded events, one row per log, keyed by
+  (transaction_hash, log_index);
+* ``agents``: one row per agent with its identity and the mergeable sums of its
+  feedback that no revocation names.
+
+A micro-batch touches the buckets of its agents only. Each is merged with its
+events by key, so a log that arrives twice, late or in a replayed batch counts
+once, in whatever order files come, and nothing is dropped by age. The agents
+of the touched buckets are then computed anew from their events. Merged
+buckets go to new folders; a manifest (one line per bucket), written aside and
+renamed, makes them current, so a failure in between leaves the old state.
+
 The decay weight factorises over whole days:
     0.5^((T - d)/H) = 0.5^((T - A)/H) * 0.5^((A - d)/H)
-for any fixed anchor day A. So per (agent, client) the sums
-    n, sum w0, sum w0*q, sum q*100, count q, bucket counts, max ts
-with w0 = 0.5^((A - d)/H) are mergeable by addition, and the score at any
-snapshot T is recovered by one scalar factor (wq does not depend on T at all).
-
-The stream reads new bronze files, drops duplicate logs (transaction_hash,
-log_index) within a watermark, decodes feedback and, per micro-batch, merges
-the batch's partials into the state table. Each batch writes state version
-``v=<batch id>`` computed from version ``batch id - 1`` only, so a batch that
-is replayed after a failure rewrites the same version: exactly-once state.
+for any fixed anchor day A, so the score at any snapshot T follows from the
+anchored sums by one scalar factor.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
-from ..config import DEFAULT_CONFIG, ScoreConfig
+from ..config import DEFAULT_CONFIG, SUMMARY_COLUMNS, ScoreConfig
 from ..functions.scoring import clamp01, is_negative, is_neutral, is_positive
-from ..operators.decode import decode_feedback, decode_identity
+from ..operators import decode as D
+from ..operators.latest import earliest_per_key, latest_per_key
 from ..operators.rank import rank_agents
-from ..operators.score import as_of_col
-from ..sources import snapshot as SN
+from ..operators.score import as_of_col, score_agents
 from ..sources.logs import LOG_SCHEMA
+from ..sources.snapshot import file_system, get_text, put_text
 
 ANCHOR = "2024-01-01"
+BUCKETS = 64
 
-STATE_COLUMNS = ["agent_id", "client_address", "n", "sw0", "swq0", "sq100", "nq", "last_at", "pos", "neu", "neg"]
+EVENT_KEY = ["transaction_hash", "log_index"]
+EVENT_COLUMNS = ["kind", "agent_id", "client_address", "feedback_index", "score", "owner_address", "uri", "at", *EVENT_KEY]
 
 
 def bronze_schema() -> StructType:
-    from pyspark.sql.types import DateType, IntegerType, StringType
     return StructType(list(LOG_SCHEMA.fields) + [
         StructField("topic0", StringType(), True),
         StructField("topic_count", IntegerType(), True),
@@ -42,8 +53,28 @@ def bronze_schema() -> StructType:
     ])
 
 
+def decode_events(logs: DataFrame, since: str | None = None) -> DataFrame:
+    """All decoded events in one layout (columns that a kind lacks are null)."""
+    parts = {
+        "registered": D.registrations(logs, since).selectExpr(
+            "agent_id", "owner_address", "reg_uri AS uri", "registered_at AS at", "registered_tx AS transaction_hash", "log_index"),
+        "uri": D.uri_updates(logs, since).selectExpr(
+            "agent_id", "new_uri AS uri", "block_timestamp AS at", *EVENT_KEY),
+        "feedback": D.decode_feedback(logs, since, log_index=True).selectExpr(
+            "agent_id", "client_address", "feedback_index", "score", "created_at AS at", "feedback_tx AS transaction_hash", "log_index"),
+        "revoked": D.decode_revocations(logs, since).selectExpr(
+            "agent_id", "client_address", "feedback_index", "revoked_at AS at", *EVENT_KEY),
+    }
+    out = None
+    for kind, df in parts.items():
+        df = df.withColumn("kind", F.lit(kind))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return (out.where("agent_id IS NOT NULL").select(*EVENT_COLUMNS)
+            .withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(BUCKETS)).cast("int")))
+
+
 def anchored_partials(feedback: DataFrame, cfg: ScoreConfig, anchor: str = ANCHOR) -> DataFrame:
-    """Per (agent, client) mergeable state with weights anchored at ``anchor``."""
+    """Per (agent, client) mergeable sums with weights anchored at ``anchor``."""
     q = clamp01(F.col("score") / F.lit(100.0))
     w0 = F.pow(F.lit(0.5), F.datediff(F.to_date(F.lit(anchor)), F.to_date("created_at")) / F.lit(cfg.half_life_days))
     scored = feedback.select("agent_id", "client_address", "created_at", q.alias("q"), w0.alias("w0"))
@@ -51,7 +82,7 @@ def anchored_partials(feedback: DataFrame, cfg: ScoreConfig, anchor: str = ANCHO
         F.count(F.lit(1)).alias("n"),
         F.sum("w0").alias("sw0"),
         F.sum(F.col("w0") * F.col("q")).alias("swq0"),
-        F.sum(F.col("q") * 100.0).alias("sq100"),
+        F.sum((F.col("q") * 100.0).cast("decimal(20,9)")).alias("sq100"),
         F.count("q").alias("nq"),
         F.max("created_at").alias("last_at"),
         F.count_if(is_positive("q")).alias("pos"),
@@ -60,80 +91,124 @@ def anchored_partials(feedback: DataFrame, cfg: ScoreConfig, anchor: str = ANCHO
     )
 
 
-def merge_state(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Fold new partials into the state (sums add, max takes the max)."""
-    both = new if old is None else old.select(*STATE_COLUMNS).unionByName(new.select(*STATE_COLUMNS))
-    return both.groupBy("agent_id", "client_address").agg(
+def agent_state(events: DataFrame, cfg: ScoreConfig, anchor: str = ANCHOR) -> DataFrame:
+    """Events -> one row per agent: identity (null if unregistered) and anchored sums (null without feedback)."""
+    reg = earliest_per_key(
+        events.where("kind = 'registered'").withColumnsRenamed({"uri": "reg_uri", "at": "registered_at", "transaction_hash": "registered_tx"}),
+        "agent_id", ["registered_at", "log_index"], ["owner_address", "reg_uri", "registered_at", "registered_tx"])
+    upd = latest_per_key(events.where("kind = 'uri'").withColumnRenamed("uri", "new_uri").withColumnRenamed("at", "block_timestamp"),
+                         "agent_id", ["block_timestamp", "log_index"], ["new_uri"])
+    feedback = D.drop_revoked(events.where("kind = 'feedback'").withColumnRenamed("at", "created_at"), events.where("kind = 'revoked'"))
+    sums = anchored_partials(feedback, cfg, anchor).groupBy("agent_id").agg(
+        F.count("client_address").alias("clients"),
         *[F.sum(c).alias(c) for c in ("n", "sw0", "swq0", "sq100", "nq", "pos", "neu", "neg")],
-        F.max("last_at").alias("last_at"),
-    ).select(*STATE_COLUMNS)
-
-
-def state_version(batch_id: int) -> str:
-    return f"{batch_id:012d}"
-
-
-def read_state(spark: SparkSession, state_root: str, before_batch: int) -> DataFrame | None:
-    """The state written by the newest batch strictly before ``before_batch``."""
-    versions = [v for v in SN._complete_versions(spark, state_root) if v < f"v={state_version(before_batch)}"]
-    if not versions:
-        return None
-    return spark.read.parquet(f"{state_root.rstrip('/')}/{versions[-1]}")
-
-
-def latest_state(spark: SparkSession, state_root: str) -> DataFrame | None:
-    versions = SN._complete_versions(spark, state_root)
-    return spark.read.parquet(f"{state_root.rstrip('/')}/{versions[-1]}") if versions else None
+        F.max("last_at").alias("last_at"))
+    return (D.resolve_identity(reg, upd).join(sums, "agent_id", "full")
+            .withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(BUCKETS)).cast("int")))
+
+
+# ---------------------------------------------------------------------------
+# State folders: <root>/<table>/<version>/bucket=<b>, <root>/manifest/<number>
+# ---------------------------------------------------------------------------
+
+def manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, str]]:
+    """Number and content (bucket -> version) of the current manifest."""
+    fs, folder = file_system(spark, f"{root}/manifest")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    names = [n for n in names if n.isdigit()]
+    if not names:
+        return 0, {}
+    return int(names[-1]), _versions(get_text(spark, f"{root}/manifest/{names[-1]}"))
+
+
+def _versions(text: str | None) -> dict[int, str]:
+    """Lines of bucket and version."""
+    return {int(b): v for b, v in map(str.split, (text or "").splitlines())}
+
+
+def read_state(spark: SparkSession, root: str, table: str, schema: StructType, buckets=None) -> DataFrame:
+    """The current rows of ``table`` (of some buckets)."""
+    _, current = manifest(spark, root)
+    paths = [f"{root}/{table}/{v}/bucket={b}" for b, v in sorted(current.items()) if buckets is None or b in buckets]
+    fs, _ = file_system(spark, root)
+    paths = [p for p in paths if fs.exists(file_system(spark, p)[1])]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    out = None
+    for version in sorted({p.rsplit("/", 1)[0] for p in paths}):
+        some = spark.read.schema(schema).option("basePath", version).parquet(*[p for p in paths if p.startswith(version + "/")])
+        out = some if out is None else out.unionByName(some)
+    return out.select(*schema.fieldNames())
+
+
+def merge_batch(batch: DataFrame, root: str, cfg: ScoreConfig) -> None:
+    """Merge one micro-batch of logs into the state under ``root``."""
+    spark = batch.sparkSession
+    version = uuid.uuid4().hex
+    new = decode_events(batch, cfg.since)
+    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # BUCKETS rows at most
+    if not touched:
+        return
+    number, current = manifest(spark, root)
+    merged = read_state(spark, root, "events", new.schema, touched).unionByName(new).dropDuplicates(EVENT_KEY)
+    merged.write.partitionBy("bucket").parquet(f"{root}/events/{version}")
+    events = spark.read.schema(new.schema).parquet(f"{root}/events/{version}")
+    agent_state(events, cfg).write.partitionBy("bucket").parquet(f"{root}/agents/{version}")
+    current.update({b: version for b in touched})
+    put_text(spark, f"{root}/manifest/{number + 1:012d}", "\n".join(f"{b} {v}" for b, v in sorted(current.items())))
+    _drop_unused(spark, root, number, set(current.values()))
+
+
+def _drop_unused(spark: SparkSession, root: str, previous: int, used: set[str]) -> None:
+    """Remove versions that neither the current nor the previous manifest names (a reader may hold that one)."""
+    used = used | set(_versions(get_text(spark, f"{root}/manifest/{previous:012d}")).values())
+    for table in ("events", "agents"):
+        fs, folder = file_system(spark, f"{root}/{table}")
+        for status in fs.listStatus(folder):
+            if status.getPath().getName() not in used:
+                fs.delete(status.getPath(), True)
 
 
 def start_refresh(spark: SparkSession, bronze_path: str, state_root: str, checkpoint: str,
-                  cfg: ScoreConfig = DEFAULT_CONFIG, files_per_batch: int | None = None,
-                  dedupe_window: str = "7 days"):
+                  cfg: ScoreConfig = DEFAULT_CONFIG, files_per_batch: int | None = None):
     """Run the stream over every bronze file not yet processed (availableNow)."""
+    root = state_root.rstrip("/")
     reader = spark.readStream.schema(bronze_schema())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    logs = (reader.parquet(bronze_path)
-            .withWatermark("block_timestamp", dedupe_window)
-            .dropDuplicatesWithinWatermark(["transaction_hash", "log_index"]))
-    feedback = decode_feedback(logs, cfg.since)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        new = anchored_partials(batch, cfg)
-        merged = merge_state(read_state(s, state_root, batch_id), new)
-        path = f"{state_root.rstrip('/')}/v={state_version(batch_id)}"
-        merged.write.mode("overwrite").parquet(path)
-
-    return (feedback.writeStream.foreachBatch(merge)
+    return (reader.parquet(bronze_path).writeStream
+            .foreachBatch(lambda batch, batch_id: merge_batch(batch, root, cfg))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
 
 
-def summary_from_state(spark: SparkSession, state: DataFrame, logs: DataFrame,
-                       cfg: ScoreConfig = DEFAULT_CONFIG, anchor: str = ANCHOR) -> DataFrame:
-    """Re-base the anchored state to ``cfg.as_of`` and build the ranked summary."""
+def latest_agents(spark: SparkSession, state_root: str, cfg: ScoreConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The agents table of the current state."""
+    empty = spark.createDataFrame([], bronze_schema())
+    return read_state(spark, state_root.rstrip("/"), "agents", agent_state(decode_events(empty), cfg).schema)
+
+
+def summary_from_state(agents: DataFrame, cfg: ScoreConfig = DEFAULT_CONFIG, anchor: str = ANCHOR) -> DataFrame:
+    """Re-base the anchored sums to ``cfg.as_of`` and build the ranked summary."""
     factor = F.pow(F.lit(0.5), F.datediff(F.to_date(as_of_col(cfg)), F.to_date(F.lit(anchor))) / F.lit(cfg.half_life_days))
-    sw = F.sum("sw0")
-    agg = state.groupBy("agent_id").agg(
-        F.sum("n").cast("bigint").alias("feedback_count"),
-        F.count("client_address").cast("bigint").alias("unique_clients"),
-        (sw * factor).alias("eff_n"),
-        F.try_divide(F.sum("swq0"), F.nullif(sw, F.lit(0.0))).alias("wq"),
-        F.max("last_at").alias("last_feedback_at"),
-        F.sum("pos").cast("bigint").alias("positive_count"),
-        F.sum("neu").cast("bigint").alias("neutral_count"),
-        F.sum("neg").cast("bigint").alias("negative_count"),
-        F.try_divide(F.sum("sq100"), F.sum("nq").cast("double")).alias("avg_raw_score"),
+    agg = agents.where("n IS NOT NULL").select(
+        "agent_id",
+        F.col("n").cast("bigint").alias("feedback_count"),
+        F.col("clients").cast("bigint").alias("unique_clients"),
+        (F.col("sw0") * factor).alias("eff_n"),
+        F.try_divide("swq0", F.nullif("sw0", F.lit(0.0))).alias("wq"),
+        F.col("last_at").alias("last_feedback_at"),
+        F.col("pos").cast("bigint").alias("positive_count"),
+        F.col("neu").cast("bigint").alias("neutral_count"),
+        F.col("neg").cast("bigint").alias("negative_count"),
+        F.try_divide("sq100", "nq").alias("avg_raw_score"),
     )
-    from ..config import SUMMARY_COLUMNS
-    from ..operators.score import score_agents
-    scored = score_agents(decode_identity(logs, cfg.since), agg, cfg)
-    ranked = rank_agents(scored)
+    identity = agents.where("registered_at IS NOT NULL").select("agent_id", "owner_address", "token_uri", "registered_at", "registered_tx")
+    ranked = rank_agents(score_agents(identity, agg, cfg))
     return ranked.select(
         *[c for c in SUMMARY_COLUMNS if c not in ("rank", "x402", "computed_at")], "rank",
         F.lit(False).alias("x402"), as_of_col(cfg).alias("computed_at")).select(*SUMMARY_COLUMNS)
 
 
-__all__ = ["start_refresh", "summary_from_state", "anchored_partials", "merge_state"]
+__all__ = ["start_refresh", "merge_batch", "latest_agents", "summary_from_state", "decode_events", "agent_state"]

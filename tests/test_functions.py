@@ -220,3 +220,25 @@ def test_sql_first_string_equals_column_form(spark):
     for r in got:
         assert r["s"] == r["c"], r
     assert {r["k"]: r["s"] for r in got}[3] == "Tee"
+
+
+@pytest.mark.parametrize("word", ["f" * 64, "0" * 56 + "ffffffff", "0" * 48 + "7" + "f" * 15, "0" * 56 + "80000000"])
+def test_hostile_length_words_do_not_raise(spark, word):
+    data = "0x" + "0" * 62 + "20" + word + "61" * 32
+    df = spark.createDataFrame([(data, word)], "data string, w string")
+    got = df.select(hexabi.abi_string("data").alias("a"),
+                    F.expr(hexabi.sql_abi_string("data", hexabi.sql_hex_digits_to_long("w"))).alias("b")).first()
+    assert got["a"] == got["b"] == (None if word == "f" * 64 else "a" * 32)
+
+
+def test_percent_body_may_spell_the_replacement_character(spark):
+    from ledgerlens.functions.uri import data_uri_text
+    rows = [("data:,a%EF%BF%BDb", "a\ufffdb"), ("data:,\ufffd%ef%bf%bd", "\ufffd\ufffd"), ("data:,%FF", None), ("data:,%EF%BF%BD%FF", None), ("data:,ok", "ok")]
+    got = spark.createDataFrame(rows, "u string, want string").select(data_uri_text("u"), "want").collect()
+    assert all(a == b for a, b in got), got
+
+
+def test_rounding_of_old_snapshots_does_not_raise(spark):
+    from ledgerlens.functions.scoring import round_half_up
+    got = spark.sql("select 1e40D as x, cast(41.605 as decimal(20,9)) as d").select(round_half_up("x", 4), round_half_up("d", 2)).first()
+    assert tuple(got) == (1e40, 41.61)

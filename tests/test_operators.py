@@ -61,12 +61,20 @@ def test_half_life(spark):
         assert abs(x["w"] / 2 - y["w"]) < 1e-12
 
 
-def test_deep_page_equals_shallow_page(summary, monkeypatch):
-    order = S.sort_columns("reputation")
-    shallow = [r["agent_id"] for r in S.page(summary, order, 20, 37).collect()]
-    monkeypatch.setattr(S, "SHALLOW_PAGE_ROWS", 0)
-    deep = [r["agent_id"] for r in S.page(summary, order, 20, 37).orderBy(*order).collect()]
-    assert shallow == deep and len(shallow) == 20
+def test_pages_follow_one_another_in_order(summary):
+    order = S.sort_columns("feedback")
+    every = sorted(summary.collect(), key=lambda r: (-r["feedback_count"], -r["reputation_score"], r["rank"]))
+    got = [r["agent_id"] for o in range(0, 150, 20) for r in S.page(summary, order, 20, o).collect()]
+    assert got == [r["agent_id"] for r in every]
+
+
+def test_point_lookup(summary):
+    assert S.agent_by_id(summary, "7").count() == 1
+    assert S.agent_by_id(summary, 10**6).count() == 0
+    assert S.agent_by_id(summary, str(2**63)).count() == 0
+    for bad in ("x", "-1", None):
+        with pytest.raises(ValueError):
+            S.agent_by_id(summary, bad)
 
 
 @pytest.mark.parametrize("raw,expected", [

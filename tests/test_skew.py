@@ -38,3 +38,21 @@ def test_hot_agent_aggregate(spark):
         assert g["feedback_count"] == w["n"] and g["unique_clients"] == w["c"] and g["last_feedback_at"] == w["last"]
     hot = got[7]
     assert hot["feedback_count"] >= ev.count() // 3
+
+
+def test_null_keys_are_spread(spark):
+    from ledgerlens.operators.joins import spread_left_join
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spark.range(4000).select(F.col("id").alias("agent_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("u"), F.col("id"))).alias("k"))
+        right = spark.range(0, 4000, 4).select(F.concat(F.lit("u"), F.col("id")).alias("k"), F.lit(1).alias("hit"))
+        out = spread_left_join(left, right.unionByName(spark.createDataFrame([(None, 1)], "k string, hit int")), "k", "agent_id")
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 3 * sum(sizes) / len(sizes)
+        assert out.where("hit = 1").count() == 1000
+        assert out.columns == ["agent_id", "k", "hit"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
