@@ -6,6 +6,7 @@ from .common import read_table
 from .jaccard_join import jaccard_components
 from .language_id import identify
 from .lz_fingerprint import compare_neighbours
+from .oracles import ORACLES
 from .quality import quality_report
 from . import chat_format, mixing
 from .secret_scan import span_digest
@@ -57,4 +58,5 @@ def op10_source_mixing(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_language_id, op3_chat_formatting, op4_embedding_near_dedup, op5_quality_classifier,
     op6_document_fingerprints, op7_url_filter, op8_secret_scan, op9_ngram_jaccard_join, op10_source_mixing)}
-ORACLES: dict[str, str] = {"op3_chat_formatting": chat_format.oracle_sql(), "op10_source_mixing": mixing.oracle_sql()}
+
+__all__ = ["QUERIES", "ORACLES"]
