@@ -8,10 +8,10 @@ no table is broadcast by hint - Spark's size check decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOOKUP_KEYS, NAME_SAMPLE, PROFILE_KEYS
+from ..config import LOOKUP_KEYS, NAME_SAMPLE, PROFILE_KEYS, TTL_NAMES
 from ..functions.names import attestation_key, classify_identifier
 from .joins import spread_left_join
 
@@ -98,13 +98,19 @@ def unique_owners(summary: DataFrame, top: int | None = None) -> DataFrame:
     return owners
 
 
-def resolve_names(summary: DataFrame, names: DataFrame, cache: DataFrame, top: int | None = None):
+def fresh_names(cache: DataFrame, as_of: Column) -> DataFrame:
+    """K1: successful lookups at most a day old at ``as_of``."""
+    limit = F.timestamp_seconds(F.unix_seconds("fetched_at") + F.lit(TTL_NAMES))
+    return cache.where(F.col("resolved") & (as_of <= limit))
+
+
+def resolve_names(summary: DataFrame, names: DataFrame, cache: DataFrame, as_of: Column, top: int | None = None):
     """P10: warm the name cache for the top owners.
 
-    Returns (results, new_cache). Cached entries (including a stored "no
-    name") are reused; failed lookups are not cached, so they stay candidates."""
+    Returns (results, new_cache). Fresh entries (including a stored "no name")
+    are reused; failed lookups are not cached, so they stay candidates."""
     targets = unique_owners(summary, top).select("address")
-    good_cache = cache.where(F.col("resolved"))
+    good_cache = fresh_names(cache, as_of)
     misses = targets.join(good_cache.select("address"), "address", "left_anti")
     hits = good_cache.join(targets, "address", "left_semi").select("address", "name", "resolved",
                                                                    F.lit(True).alias("from_cache"))
@@ -115,8 +121,8 @@ def resolve_names(summary: DataFrame, names: DataFrame, cache: DataFrame, top: i
                        F.coalesce("_ok", F.lit(True)).alias("resolved"),
                        F.lit(False).alias("from_cache")))
     results = fetched.unionByName(hits)
-    new_entries = fetched.where(F.col("resolved")).select("address", "name", "resolved")
-    new_cache = good_cache.join(new_entries.select("address"), "address", "left_anti").unionByName(new_entries)
+    new_entries = fetched.where(F.col("resolved")).select("address", "name", "resolved", as_of.alias("fetched_at"))
+    new_cache = cache.where(F.col("resolved")).select("address", "name", "resolved", "fetched_at").join(new_entries.select("address"), "address", "left_anti").unionByName(new_entries)
     return results, new_cache
 
 

@@ -24,8 +24,12 @@ def identity(spark, sf):
     return decode_identity(logs(spark, sf, mints=False))
 
 
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 def empty_name_cache(spark):
-    return spark.createDataFrame([], "address string, name string, resolved boolean")
+    return spark.createDataFrame([], "address string, name string, resolved boolean, fetched_at timestamp")
 
 
 @register("owner_names", O.with_summary(f""", {O.NAMES}
@@ -107,7 +111,7 @@ def unique_owners(spark, sf):
 @register("resolve_names_run", O.with_summary(f""", {OWNERS_SQL}, {O.NAMES},
 top AS (SELECT o.address, o.best_rank, n.name, COALESCE(n.resolved, true) AS resolved
         FROM owners o LEFT JOIN names n USING (address)),
-warm AS (SELECT address FROM (SELECT * FROM owners ORDER BY best_rank LIMIT 10) w
+warm AS (SELECT address FROM (SELECT * FROM owners ORDER BY best_rank LIMIT 5) w
          LEFT JOIN names n USING (address) WHERE COALESCE(n.resolved, true))
 SELECT CAST(count(*) AS BIGINT) AS processed,
   CAST(count(*) FILTER (WHERE address IN (SELECT address FROM warm)) AS BIGINT) AS from_cache,
@@ -117,12 +121,15 @@ SELECT CAST(count(*) AS BIGINT) AS processed,
   round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE resolved AND name IS NOT NULL) * 100.0 / count(*) END, 1) AS has_name_pct
 FROM top"""))
 def resolve_names_run(spark, sf):
-    """P10 + G16: warm names for all owners over a cache already
-    holding the top-10 owners; failed lookups are reported, not cached."""
+    """P10 + G16: warm names for all owners over a cache
+    holding the top-10 owners, five of them fresh; failed lookups are reported, not cached."""
     s = summary(spark, sf)
     names = names_table(spark, sf)
-    _, warm = N.resolve_names(s, names, empty_name_cache(spark), top=10)
-    results, _ = N.resolve_names(s, names, warm)
+    # the last five of the ten were fetched more than a day before, and count no more
+    _, old = N.resolve_names(s, names, empty_name_cache(spark), as_of() - F.expr("INTERVAL 25 HOURS"), top=10)
+    _, warm = N.resolve_names(s, names, empty_name_cache(spark), as_of() - F.expr("INTERVAL 23 HOURS"), top=5)
+    cache = old.join(warm.select("address"), "address", "left_anti").unionByName(warm)
+    results, _ = N.resolve_names(s, names, cache, as_of())
     return N.names_run_summary(results)
 
 
@@ -131,7 +138,7 @@ SELECT o.address, n.name FROM owners o JOIN names n USING (address)
 WHERE n.resolved AND n.name IS NOT NULL ORDER BY o.address LIMIT 15"""))
 def name_sample(spark, sf):
     """First 15 resolved names of the warmed cache."""
-    _, cache = N.resolve_names(summary(spark, sf), names_table(spark, sf), empty_name_cache(spark))
+    _, cache = N.resolve_names(summary(spark, sf), names_table(spark, sf), empty_name_cache(spark), as_of())
     return N.name_sample(cache)
 
 

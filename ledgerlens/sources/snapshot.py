@@ -84,12 +84,16 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return versions[-1] if versions else None
 
 
+# JSON text keeps a timestamp's microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_version(df: DataFrame, root: str, fmt: str = "parquet", run_id: str | None = None,
                   partition_by: list[str] | None = None) -> str:
     """Write ``df`` as a new version and switch the pointer to it."""
     spark = df.sparkSession
     version = f"v={run_id or new_run_id()}"
-    writer = df.write.mode("errorifexists").format(fmt)
+    writer = df.write.mode("errorifexists").format(fmt).options(**(_JSON if fmt == "json" else {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(f"{root.rstrip('/')}/{version}")
@@ -101,7 +105,7 @@ def read_current(spark: SparkSession, root: str, fmt: str = "parquet", schema=No
     version = current_version(spark, root)
     if version is None:
         return None
-    reader = spark.read.format(fmt)
+    reader = spark.read.format(fmt).options(**(_JSON if fmt == "json" else {}))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(f"{root.rstrip('/')}/{version}")

@@ -76,16 +76,18 @@ def test_resolve_names_does_not_cache_failures(spark):
                                     "agent_id bigint, owner_address string, rank bigint")
     names = spark.createDataFrame([("0xaa", "alice.eth", True), ("0xbb", None, False)],
                                   "address string, name string, resolved boolean")
-    empty = spark.createDataFrame([], "address string, name string, resolved boolean")
-    results, cache = N.resolve_names(summary, names, empty, top=None)
+    empty = spark.createDataFrame([], "address string, name string, resolved boolean, fetched_at timestamp")
+    results, cache = N.resolve_names(summary, names, empty, as_of())
     r = {x["address"]: x for x in results.collect()}
     assert set(r) == {"0xaa", "0xbb", "0xcc"}
     assert r["0xaa"]["name"] == "alice.eth" and r["0xcc"]["name"] is None and r["0xcc"]["resolved"]
     assert not r["0xbb"]["resolved"]
     assert {x["address"] for x in cache.collect()} == {"0xaa", "0xcc"}
-    results2, _ = N.resolve_names(summary, names, cache, top=None)
+    results2, _ = N.resolve_names(summary, names, cache, as_of())
     r2 = {x["address"]: x["from_cache"] for x in results2.collect()}
     assert r2 == {"0xaa": True, "0xcc": True, "0xbb": False}
+    stale = cache.withColumn("fetched_at", F.col("fetched_at") - F.expr("INTERVAL 25 HOURS"))
+    assert not any(x["from_cache"] for x in N.resolve_names(summary, names, stale, as_of())[0].collect())
     summary_row = N.names_run_summary(results2).first()
     assert summary_row["processed"] == 3 and summary_row["from_cache"] == 2 and summary_row["errors"] == 1
 
