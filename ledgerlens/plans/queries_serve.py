@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF, DEFAULT_CONFIG
 from ..operators import serve as S
-from ..plans.summary import build_agent_summary
+from ..plans.summary import build_agent_summary, scored_agents
 from . import oracle as O
 from .catalog import logs, serving_query
 
@@ -17,6 +17,12 @@ def summary(spark, sf):
     return build_agent_summary(logs(spark, sf), CFG)
 
 
+def unranked(spark, sf):
+    """The same rows without a rank, for statistics: no global sort, no checkpoint."""
+    return (scored_agents(logs(spark, sf), CFG)
+            .withColumn("x402", F.lit(False)).withColumn("computed_at", F.lit(AS_OF).cast("timestamp")))
+
+
 @serving_query("list_rank_page", O.with_summary("SELECT * FROM summary ORDER BY rank LIMIT 50"), summary)
 def list_rank_page(spark, s):
     """P6 default: first page (50) in rank order."""
@@ -86,7 +92,7 @@ def list_envelope(spark, s):
   CAST(COALESCE(sum(feedback_count), 0) AS BIGINT) AS total_feedback,
   COALESCE(greatest(max(reputation_score), 0.0), 0.0) AS top_score,
   COALESCE(CAST(round(CAST(avg(reputation_score) AS DECIMAL(38,9)), 2) AS DOUBLE), 0.0) AS avg_score
-FROM summary"""), summary)
+FROM summary"""), unranked)
 def stats_kpis(spark, s):
     """Network KPIs."""
     return S.network_kpis(s)
@@ -101,7 +107,7 @@ counts AS (
 
 @serving_query("stats_histogram", O.with_summary(f""", {HIST_SQL}
 SELECT l.bucket, l.label, CAST(COALESCE(c.n, 0) AS BIGINT) AS agents
-FROM labels l LEFT JOIN counts c USING (bucket)""").replace("summary AS (", "summary AS (", 1), summary)
+FROM labels l LEFT JOIN counts c USING (bucket)""").replace("summary AS (", "summary AS (", 1), unranked)
 def stats_histogram(spark, s):
     """Score histogram, all ten buckets."""
     return S.score_histogram(s)
@@ -112,7 +118,7 @@ SERIES_SQL = """series AS (
   FROM summary WHERE registered_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 90 DAY GROUP BY 1)"""
 
 
-@serving_query("stats_series", O.with_summary(f", {SERIES_SQL}\nSELECT * FROM series"), summary)
+@serving_query("stats_series", O.with_summary(f", {SERIES_SQL}\nSELECT * FROM series"), unranked)
 def stats_series(spark, s):
     """Daily registrations over the last 90 days."""
     return S.activity_series(s, AS_OF)
@@ -135,7 +141,7 @@ hist AS (
 ser AS (
   SELECT COALESCE('[' || string_agg('{{"date":"' || date || '","count":' || count || '}}', ',' ORDER BY date) || ']', '[]') AS activity_series
   FROM series)
-SELECT 'live' AS source, kpi.*, hist.score_distribution, ser.activity_series FROM kpi, hist, ser"""), summary)
+SELECT 'live' AS source, kpi.*, hist.score_distribution, ser.activity_series FROM kpi, hist, ser"""), unranked)
 def network_stats(spark, s):
     """The stats document (histogram and series as JSON text)."""
     return S.stats_document_json(s, AS_OF)
@@ -146,7 +152,7 @@ TIER_CASE = """CASE WHEN reputation_score >= 70 THEN 'high (>=70)'
 
 
 @serving_query("tier_summary", O.with_summary(f"""SELECT {TIER_CASE} AS tier, CAST(count(*) AS BIGINT) AS agents,
-  CAST(round(CAST(avg(feedback_count) AS DECIMAL(38,9)), 1) AS DOUBLE) AS avg_feedbacks FROM summary GROUP BY 1"""), summary)
+  CAST(round(CAST(avg(feedback_count) AS DECIMAL(38,9)), 1) AS DOUBLE) AS avg_feedbacks FROM summary GROUP BY 1"""), unranked)
 def tier_summary(spark, s):
     """Agents per score tier."""
     return S.tier_summary(s)
