@@ -7,8 +7,6 @@ under ANSI mode: every ``conv`` is guarded so its input cannot overflow.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +14,6 @@ WORD = 64  # hex digits per 32-byte word
 _HEX_RE = "^[0-9a-fA-F]+$"
 
 
-def _dec(n: int) -> Column:
-    return F.lit(Decimal(n)).cast("decimal(20,0)")
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,70 +40,11 @@ def hex_to_long(h) -> Column:
     return hex_digits_to_long(hex_body(h))
 
 
-def data_word(data, i: int) -> Column:
-    """The i-th 32-byte word of ``data`` as 64 hex digits (shorter if truncated)."""
-    return F.substring(_c(data), 3 + WORD * i, WORD)
-
-
-def word_to_long(data, i: int) -> Column:
-    """Unsigned integer held in word i of ``data`` (uint64 / uint8 fields)."""
-    return hex_digits_to_long(data_word(data, i))
-
-
 def topic_to_address(t) -> Column:
     """indexed address topic -> ``0x`` + last 20 bytes."""
     return F.concat(F.lit("0x"), F.substr(_c(t), F.lit(27)))
 
 
-def abi_string(data, head_words: int = 1) -> Column:
-    """single dynamic ``string`` argument in ``data``.
-
-    Layout [offset word][length word][utf-8 bytes]: bytes start at byte
-    ``32*head_words + 33``; invalid UTF-8 is replaced with U+FFFD."""
-    d = _c(data)
-    length = _bounded(word_to_long(d, head_words), d)
-    raw = F.unhex(hex_body(d))
-    start = WORD // 2 * head_words + WORD // 2 + 1
-    sliced = F.call_function("substr", raw, F.lit(start), length)
-    return F.make_valid_utf8(sliced.cast("string"))
-
-
-def _bounded(length: Column, data: Column) -> Column:
-    """A length word no larger than the data itself, so that it fits an int
-    (a log may claim any 256-bit length)."""
-    return F.when(length.isNotNull(), F.least(length, F.length(data).cast("bigint")).cast("int"))
-
-
-def int128_word_to_double(data, i: int) -> Column:
-    """signed int128 in word i (two's complement) -> DOUBLE.
-
-    The int128 is the low 16 bytes of the word. It is split into two 64-bit
-    halves held exactly as DECIMAL(20,0); the sign is fixed in DECIMAL so -1
-    and -2^64 decode exactly, then the value is assembled in DOUBLE."""
-    low = F.substring(_c(data), 3 + WORD * i + 32, 32)
-    ok = low.rlike("^[0-9a-fA-F]{32}$")
-    hi_hex = F.lower(F.substring(low, 1, 16))
-    lo = F.conv(F.substring(low, 17, 16), 16, 10).cast("decimal(20,0)")
-    # The top half is 0 or all f's for every value within +-2^64.
-    value = (
-        F.when(hi_hex == "0000000000000000", lo.cast("double"))
-        .when(hi_hex == "ffffffffffffffff", (lo - _dec(2**64)).cast("double"))
-        .otherwise(_signed_high(F.conv(hi_hex, 16, 10).cast("decimal(20,0)")).cast("double")
-                   * F.lit(float(2**64)) + lo.cast("double"))
-    )
-    return F.when(ok, value)
-
-
-def _signed_high(hi0: Column) -> Column:
-    """Unsigned 64-bit half (DECIMAL) -> its two's-complement signed value."""
-    return F.when(hi0 >= _dec(2**63), hi0 - _dec(2**64)).otherwise(hi0)
-
-
-def scale_fixed(raw, decimals) -> Column:
-    """raw / 10^decimals; NULL decimals count as 0, zero divisor -> NULL."""
-    return F.try_divide(_c(raw), F.pow(F.lit(10.0), F.coalesce(_c(decimals), F.lit(0))))
-
-
 # ---------------------------------------------------------------------------
 # Encoders (used to lay test tables out as raw logs)
 # ---------------------------------------------------------------------------
@@ -149,9 +84,9 @@ def abi_string_data(s) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# The same decoders as SQL text, for ``selectExpr``: a whole projection is one
+# The log decoders as SQL text, for ``selectExpr``: a whole projection is one
 # round trip to the JVM instead of one per expression node. Arguments are SQL
-# expressions (usually column names); results equal the Column versions.
+# expressions (usually column names).
 # ---------------------------------------------------------------------------
 
 def sql_hex_digits_to_long(d: str) -> str:

@@ -1,7 +1,7 @@
 """JSON metadata on VARIANT.
 
 The payment-support check walks a document to a fixed depth. Spark has no
-recursive expressions, so ``detect_x402`` unrolls the walk when the plan is
+recursive expressions, so ``sql_detect_x402`` unrolls the walk when the plan is
 built: one ``exists`` over the children of each level, nested
 ``X402_MAX_DEPTH + 1`` deep. It is a plain per-row expression (no explode, no
 shuffle), so it scales with the number of documents like any projection.
@@ -37,101 +37,9 @@ def as_array(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
-def _scalar_truthy(v: Column) -> Column:
-    """Truthiness of a scalar: false, 0 and "" are falsy."""
-    return ~F.to_json(v).isin("false", '""') & ~(
-        F.schema_of_variant(v).rlike(_NUMERIC_SCHEMA) & (F.try_variant_get(v, "$", "double") == 0.0))
-
-
-def is_truthy_root(v, obj=None, arr=None) -> Column:
-    """JS truthiness of a parsed root: null, false, 0 and "" are falsy.
-
-    Objects and arrays are recognised by their map / array view, so the
-    serialising checks only ever run on scalars (a document is never
-    re-serialised). Pass precomputed views to share them with the detector."""
-    v = _c(v)
-    obj = as_object(v) if obj is None else _c(obj)
-    arr = as_array(v) if arr is None else _c(arr)
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
-            .when(obj.isNotNull() | arr.isNotNull(), F.lit(True))
-            .otherwise(_scalar_truthy(v)))
-
-
-def _truthy_flag(v: Column) -> Column:
-    """Boolean gate: true, the number 1 or the string "true"."""
-    js = F.to_json(v)
-    numeric_one = F.schema_of_variant(v).rlike(_NUMERIC_SCHEMA) & (F.try_variant_get(v, "$", "double") == 1.0)
-    return js.isin("true", '"true"') | numeric_one
-
-
-def _present(v: Column) -> Column:
-    """Presence gate: anything but null, "" and []."""
-    return ~F.is_variant_null(v) & ~F.to_json(v).isin('""', "[]")
-
-
-def _children(obj: Column, arr: Column) -> Column:
-    """(lowercase key, value) of an object's members or (NULL, item) of an
-    array's items; NULL for a scalar."""
-    return F.coalesce(
-        F.transform(F.map_entries(obj), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))),
-        F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("k"), x.alias("v"))),
-    )
-
-
-def _scalar_hit(v: Column) -> Column:
-    return F.coalesce(F.lower(F.try_variant_get(v, "$", "string")).contains("x402"), F.lit(False))
-
-
-def _level(v: Column, obj: Column, arr: Column, depth: int) -> Column:
-    """Hit at this node: any child hits (containers) or the scalar mentions
-    x402. The children array is built once; it is NULL only for scalars."""
-    def child_hit(c: Column) -> Column:
-        return (F.when(c["k"].isin(*X402_BOOLEAN_KEYS), _truthy_flag(c["v"]))
-                .when(c["k"].isin(*X402_PRESENCE_KEYS), _present(c["v"]))
-                .otherwise(_detect(c["v"], depth + 1)))
-
-    return F.coalesce(F.exists(_children(obj, arr), child_hit), _scalar_hit(v))
-
-
-def _detect(v: Column, depth: int) -> Column:
-    if depth > X402_MAX_DEPTH:
-        return F.lit(False)
-    return _level(v, as_object(v), as_array(v), depth)
-
-
-def detect_x402(v, obj=None, arr=None) -> Column:
-    """does a parsed registration file signal x402 payment support?
-
-    Falsy roots are never inspected (the caller treats them as no document).
-    ``obj`` / ``arr`` may carry the root's precomputed map / array views."""
-    v = _c(v)
-    obj = as_object(v) if obj is None else _c(obj)
-    arr = as_array(v) if arr is None else _c(arr)
-    return F.when(is_truthy_root(v, obj, arr), _level(v, obj, arr, 0)).otherwise(F.lit(False))
-
-
-def js_trim(s: Column) -> Column:
-    """String.prototype.trim: strips the whitespace set from both ends only
-    (looks at the ends, never scans the whole text)."""
-    return F.trim(s, F.lit(_JS_SPACE))
-
-
-def first_string(v, keys: list[str]) -> Column:
-    """first candidate key holding a non-blank string, trimmed.
-
-    Non-string values are skipped, not stringified."""
-    v = _c(v)
-    picks = []
-    for k in keys:
-        x = F.try_variant_get(v, f"$['{k}']", "variant")
-        s = F.when(F.schema_of_variant(x) == "STRING", js_trim(F.try_variant_get(x, "$", "string")))
-        picks.append(F.nullif(s, F.lit("")))
-    return F.coalesce(*picks)
-
-
 # ---------------------------------------------------------------------------
-# SQL-text forms (one JVM round trip for the whole detector; same tree as the
-# Column forms above). Arguments are column names / SQL expressions.
+# SQL text: one JVM round trip for the whole detector. Arguments are column
+# names or SQL expressions.
 # ---------------------------------------------------------------------------
 _BOOL_SQL = ", ".join(f"'{k}'" for k in X402_BOOLEAN_KEYS)
 _PRESENCE_SQL = ", ".join(f"'{k}'" for k in X402_PRESENCE_KEYS)

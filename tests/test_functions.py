@@ -33,6 +33,18 @@ def test_hex_to_long(spark, h, expected):
     assert one(spark, hexabi.hex_to_long, h) == expected
 
 
+ABI_STRING = hexabi.sql_abi_string("data", hexabi.sql_hex_digits_to_long(hexabi.sql_data_word("data", 1)))
+
+
+def decode(spark, data, sql):
+    return spark.createDataFrame([(data,)], "data string").selectExpr(f"{sql} AS r").first()["r"]
+
+
+def parsed(df):
+    df = df.withColumn("v", variant.parse_json_or_null("body"))
+    return df.withColumns({"o": variant.as_object(F.col("v")), "a": variant.as_array(F.col("v"))})
+
+
 def word(n):
     return format(n % (1 << 256), "064x")
 
@@ -41,7 +53,7 @@ def word(n):
                                -85 * 10**18, 2**127 - 1, -(2**127)])
 def test_int128(spark, v):
     data = "0x" + word(7) + word(v)
-    got = one(spark, lambda c: hexabi.int128_word_to_double(c, 1), data)
+    got = decode(spark, data, hexabi.sql_int128_low_word(hexabi.sql_data_word('data', 1)))
     assert got == float(v)
 
 
@@ -58,20 +70,20 @@ def abi(s: bytes):
     (b"a\xffb", "a�b"),
 ])
 def test_abi_string(spark, raw, expected):
-    assert one(spark, hexabi.abi_string, abi(raw)) == expected
+    assert decode(spark, abi(raw), ABI_STRING) == expected
 
 
 def test_abi_string_length_past_end(spark):
     data = "0x" + word(32) + word(100) + b"abc".hex()
-    assert one(spark, hexabi.abi_string, data) == "abc"
+    assert decode(spark, data, ABI_STRING) == "abc"
 
 
 def test_encoders_roundtrip(spark):
     df = spark.createDataFrame([("héllo/x402",), ("",)], "s string")
-    out = df.select(hexabi.abi_string(hexabi.abi_string_data(F.col("s"))).alias("r"), "s").collect()
+    out = df.select(hexabi.abi_string_data(F.col("s")).alias("data"), "s").selectExpr(f"{ABI_STRING} AS r", "s").collect()
     assert all(r["r"] == r["s"] for r in out)
     df = spark.createDataFrame([(-5,), (0,), (2**62,)], "n bigint")
-    out = df.select(hexabi.int128_word_to_double(F.concat(F.lit("0x"), F.lit("0" * 64), hexabi.int_word(F.col("n"))), 1).alias("r"), "n").collect()
+    out = df.select(hexabi.int_word(F.col("n")).alias("w"), "n").selectExpr(f"{hexabi.sql_int128_low_word('w')} AS r", "n").collect()
     assert [r["r"] for r in out] == [float(r["n"]) for r in out]
 
 
@@ -139,7 +151,7 @@ X402_DOCS = {
 def test_x402_matrix(spark):
     rows = [(k, v if isinstance(v, str) and k in (8, 12) else json.dumps(v)) for k, v in X402_DOCS.items()]
     df = spark.createDataFrame(rows, "k int, body string")
-    got = {r["k"]: r["hit"] for r in df.select("k", variant.detect_x402(variant.parse_json_or_null("body")).alias("hit")).collect()}
+    got = {r["k"]: r["hit"] for r in parsed(df).selectExpr("k", f"{variant.sql_detect_x402('v', 'o', 'a')} AS hit").collect()}
     assert {k for k, v in got.items() if v} == {1, 4, 5, 7, 8, 9, 10, 11}
 
 
@@ -152,13 +164,13 @@ def test_first_string(spark):
         (5, json.dumps({"other": 1})),
     ]
     df = spark.createDataFrame(rows, "k int, body string")
-    got = {r["k"]: r["n"] for r in df.select("k", variant.first_string(variant.parse_json_or_null("body"), ["name", "agentName", "agent_name", "title"]).alias("n")).collect()}
+    got = {r["k"]: r["n"] for r in parsed(df).select("k", F.expr(variant.sql_first_string("v", ["name", "agentName", "agent_name", "title"])).alias("n")).collect()}
     assert got == {1: "Alice", 2: "Bob", 3: "Tee", 4: None, 5: None}
 
 
 def test_truthy_root(spark):
     df = spark.createDataFrame([(s,) for s in ["0", "false", '""', "null", "1", "{}", "[]", '"a"']], "b string")
-    got = [r[0] for r in df.select(variant.is_truthy_root(variant.parse_json_or_null("b"))).collect()]
+    got = [r[0] for r in parsed(df.withColumnRenamed("b", "body")).select(F.expr(variant.sql_is_truthy_root("v", "o", "a"))).collect()]
     assert got == [False, False, False, False, True, True, True, True]
 
 
@@ -170,67 +182,6 @@ def test_names_helpers(spark):
         "address", "name", "invalid", "invalid", "invalid", "invalid"]
 
 
-def test_js_trim(spark):
-    raw = " \t　 a b ﻿\n "
-    assert one(spark, variant.js_trim, raw) == "a b"
-    assert one(spark, variant.js_trim, "   ") == ""
-
-
-def test_sql_decoders_equal_column_decoders(spark):
-    words = ["0" * 64, "0" * 63 + "1", "0" * 48 + "7fffffffffffffff", "0" * 48 + "8000000000000000",
-             "f" * 64, "f" * 32 + "0" * 31 + "1", "0" * 32 + "8" + "0" * 31, "zz" * 32, "", "abc"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = df.selectExpr(
-        f"{hexabi.sql_hex_digits_to_long('w')} AS a",
-        f"{hexabi.sql_int128_low_word('w')} AS b",
-    ).collect()
-    want = df.select(hexabi.hex_digits_to_long(F.col("w")).alias("a"),
-                     hexabi.int128_word_to_double(F.concat(F.lit("0x"), F.col("w")), 0).alias("b")).collect()
-    assert got == want
-
-
-def test_sql_detector_equals_column_detector(spark):
-    rows = [(k, v if isinstance(v, str) and k in (8, 12) else json.dumps(v)) for k, v in X402_DOCS.items()]
-    rows += [(100 + i, b) for i, b in enumerate(["0", "false", '""', "null", "1", "{}", "[]", '"x402"', '[[[[["x402"]]]]]',
-                                                 '[[[["x402"]]]]', '{"payment": null}', '{"payto": ""}', '{"x402": "1"}'])]
-    df = spark.createDataFrame(rows, "k int, body string").withColumn("v", variant.parse_json_or_null("body"))
-    df = df.withColumns({"o": variant.as_object(F.col("v")), "a": variant.as_array(F.col("v"))})
-    got = df.select("k", F.expr(variant.sql_detect_x402("v", "o", "a")).alias("s"),
-                    variant.detect_x402("v").alias("c"),
-                    F.expr(variant.sql_is_truthy_root("v", "o", "a")).alias("ts"),
-                    variant.is_truthy_root("v").alias("tc")).collect()
-    for r in got:
-        assert r["s"] == r["c"] and r["ts"] == r["tc"], r
-
-
-def test_scale_fixed(spark):
-    df = spark.createDataFrame([(655.0, 2), (85e18, 18), (-1.0, None), (7.0, 0)], "raw double, dec bigint")
-    got = [r[0] for r in df.select(hexabi.scale_fixed("raw", "dec")).collect()]
-    assert got == [6.55, 85.0, -1.0, 7.0]
-
-
-def test_sql_first_string_equals_column_form(spark):
-    rows = [(1, json.dumps({"name": "  Alice ", "title": "T"})), (2, json.dumps({"name": 5, "agentName": "Bob"})),
-            (3, json.dumps({"name": " 　\t", "title": "﻿ Tee\n"})), (4, json.dumps([{"name": "x"}])),
-            (5, json.dumps({"other": 1})), (6, "{bad"), (7, json.dumps({"agent_name": "a b "}))]
-    keys = ["name", "agentName", "agent_name", "title"]
-    df = spark.createDataFrame(rows, "k int, body string").withColumn("v", variant.parse_json_or_null("body"))
-    got = df.select("k", F.expr(variant.sql_first_string("v", keys)).alias("s"),
-                    variant.first_string("v", keys).alias("c")).collect()
-    for r in got:
-        assert r["s"] == r["c"], r
-    assert {r["k"]: r["s"] for r in got}[3] == "Tee"
-
-
-@pytest.mark.parametrize("word", ["f" * 64, "0" * 56 + "ffffffff", "0" * 48 + "7" + "f" * 15, "0" * 56 + "80000000"])
-def test_hostile_length_words_do_not_raise(spark, word):
-    data = "0x" + "0" * 62 + "20" + word + "61" * 32
-    df = spark.createDataFrame([(data, word)], "data string, w string")
-    got = df.select(hexabi.abi_string("data").alias("a"),
-                    F.expr(hexabi.sql_abi_string("data", hexabi.sql_hex_digits_to_long("w"))).alias("b")).first()
-    assert got["a"] == got["b"] == (None if word == "f" * 64 else "a" * 32)
-
-
 def test_percent_body_may_spell_the_replacement_character(spark):
     from ledgerlens.functions.uri import data_uri_text
     rows = [("data:,a%EF%BF%BDb", "a\ufffdb"), ("data:,\ufffd%ef%bf%bd", "\ufffd\ufffd"), ("data:,%FF", None), ("data:,%EF%BF%BD%FF", None), ("data:,ok", "ok")]
@@ -242,3 +193,21 @@ def test_rounding_of_old_snapshots_does_not_raise(spark):
     from ledgerlens.functions.scoring import round_half_up
     got = spark.sql("select 1e40D as x, cast(41.605 as decimal(20,9)) as d").select(round_half_up("x", 4), round_half_up("d", 2)).first()
     assert tuple(got) == (1e40, 41.61)
+
+
+@pytest.mark.parametrize("w", ["f" * 64, "0" * 56 + "ffffffff", "0" * 48 + "7" + "f" * 15, "0" * 56 + "80000000"])
+def test_hostile_length_words_do_not_raise(spark, w):
+    got = decode(spark, "0x" + "0" * 62 + "20" + w + "61" * 32, ABI_STRING)
+    assert got == (None if w == "f" * 64 else "a" * 32)
+
+
+@pytest.mark.parametrize("w", ["zz" * 32, "", "abc"])
+def test_words_that_are_not_hex_decode_to_null(spark, w):
+    assert decode(spark, w, hexabi.sql_int128_low_word("data")) is None
+
+
+def test_text_is_trimmed_as_javascript_does(spark):
+    rows = [(1, json.dumps({"name": " \u3000\t", "title": "\ufeff Tee\n"})), (2, "{bad"), (3, json.dumps({"agent_name": "a b "}))]
+    df = parsed(spark.createDataFrame(rows, "k int, body string"))
+    got = {r["k"]: r["n"] for r in df.select("k", F.expr(variant.sql_first_string("v", ["name", "agent_name", "title"])).alias("n")).collect()}
+    assert got == {1: "Tee", 2: None, 3: "a b"}
