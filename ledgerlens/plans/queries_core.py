@@ -52,18 +52,19 @@ def feedback_decode_signed(spark, sf):
     return D.decode_feedback(logs(spark, sf, signed=True, mints=False))
 
 
-@register("feedback_scored", f"""WITH {O.SCORED}
-SELECT agent_id, client_address, created_at, q, round(w, 12) AS w FROM sc""")
+@register("feedback_scored", f"""WITH {O.VOTES}
+SELECT voted_for AS agent_id, voter AS client_address, cast_at AS created_at, quality AS q, round(weight, 12) AS w FROM votes""")
 def feedback_scored(spark, sf):
     """Normalised quality q and recency weight w per feedback."""
     s = score_feedback(D.decode_feedback(logs(spark, sf, mints=False)), CFG)
     return s.withColumn("w", F.round("w", 12))
 
 
-@register("agent_agg", f"""WITH {O.AGG}
-SELECT agent_id, feedback_count, unique_clients, eff_n, wq, last_feedback_at,
-       positive_count, neutral_count, negative_count, avg_raw_score
-FROM agg""")
+@register("agent_agg", f"""WITH {O.TALLY}
+SELECT voted_for AS agent_id, n AS feedback_count, voters AS unique_clients, total_weight AS eff_n,
+       total_quality / total_weight AS wq, latest AS last_feedback_at, good AS positive_count,
+       n - good - bad AS neutral_count, bad AS negative_count, total_cents / (100.0::DOUBLE * n) AS avg_raw_score
+FROM tally""")
 def agent_agg(spark, sf):
     """Per-agent aggregate of scored feedback."""
     agg = aggregate_agents(score_feedback(D.decode_feedback(logs(spark, sf, mints=False)), CFG))
