@@ -36,6 +36,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,8 @@ from .common import prepare
 
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-MAX_WORDS = 500_000  # words remembered per Python worker
-MAX_PAIRS = 2_000_000
+MAX_WORDS = 1_000_000  # words remembered per Python worker
+MAX_PAIRS = 1_000_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -64,11 +65,12 @@ class Pieces:
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def __post_init__(self):
-        # Lengths of the pieces that end in two given characters, longest first.
-        ends: dict[str, set[int]] = {}
+        # All pieces that end at each position of a string, longest first.
+        self.matches = ahocorasick.Automaton()
         for p in self.ids:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {e: sorted(n, reverse=True) for e, n in ends.items()}
+            self.matches.add_word(p, p)
+        self.matches.make_automaton()
+        self.longest = max(map(len, self.ids), default=1)
         # Characters inside no piece of several characters end a word: no merge crosses them.
         self.joined = set("".join(p for p in self.ids if len(p) > 1))
         self.word = re.compile(f"{MARK}+[^{MARK}\\n\\t]*|[^{MARK}\\n\\t]+|[\\n\\t]" if not {"\n", "\t"} & self.joined else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -176,7 +178,7 @@ class TrieViterbi:
     def encode_sorted(self, words: list[str]):
         """Yields (word, pieces) for words in ascending order."""
         pieces, bpe = self.pieces, self.pieces.kind == BPE
-        scores, pairs, ends, floor = pieces.scores, pieces._pairs, pieces.ends, self.floor
+        scores, pairs, find, reach = pieces.scores, pieces._pairs, pieces.matches.iter, pieces.longest - 1
         last: list[str] = [""]  # last piece of the best path to each prefix
         score = [0.0]
         before = ""
@@ -187,33 +189,33 @@ class TrieViterbi:
                     break
                 keep += 1
             del last[keep + 1:], score[keep + 1:]
-            for i in range(keep + 1, len(word) + 1):
-                one = word[i - 1]
-                best, found = float("-inf"), one
-                if one not in scores and (not bpe or pieces.apart(last[i - 1], one)):
-                    best = score[i - 1] + floor
-                for n in ends.get(word[i - 2:i], ()) if i > 1 else ():
-                    j = i - n
-                    if j < 0:
-                        continue
-                    piece = word[j:i]
-                    value = scores.get(piece)
-                    if value is None or score[j] + value <= best:
-                        continue
-                    if bpe:
-                        ok = pairs.get((last[j], piece))
-                        if not (pieces.apart(last[j], piece) if ok is None else ok):
-                            continue
-                    best, found = score[j] + value, piece
-                    if bpe:  # at most one path is allowed
-                        break
-                else:
-                    value = scores.get(one)
-                    if value is not None and score[i - 1] + value > best and (not bpe or pieces.apart(last[i - 1], one)):
-                        best = score[i - 1] + value
-                        found = one
-                last.append(found)
-                score.append(best)
+            done = keep  # prefixes up to here have their forward value
+            at = max(0, keep - reach)
+            for end, piece in find(word, at) if at else find(word):
+                i = end + 1
+                if i <= done and (bpe or i <= keep):
+                    continue
+                while done < i - 1:  # characters that end no allowed piece
+                    self._unknown(word, done + 1, last, score)
+                    done += 1
+                j = i - len(piece)
+                if j < at:
+                    continue
+                if bpe:  # at most one path is allowed
+                    ok = pairs.get((last[j], piece))
+                    if pieces.apart(last[j], piece) if ok is None else ok:
+                        last.append(piece)
+                        score.append(score[j] + scores[piece])
+                        done = i
+                elif done < i:
+                    last.append(piece)
+                    score.append(score[j] + scores[piece])
+                    done = i
+                elif score[j] + scores[piece] > score[i]:
+                    last[i], score[i] = piece, score[j] + scores[piece]
+            while done < len(word):
+                self._unknown(word, done + 1, last, score)
+                done += 1
             before = word
             path, i = [], len(word)
             while i:
@@ -221,6 +223,11 @@ class TrieViterbi:
                 i -= len(last[i])
             yield word, path[::-1]
 
+    def _unknown(self, word: str, i: int, last: list[str], score: list[float]) -> None:
+        """The prefix of length i ends in a character without a piece of its own."""
+        last.append(word[i - 1])
+        score.append(score[i - 1] + self.floor)
+
 
 class Codec:
     """Encodes and decodes batches of texts; remembers words across batches."""
