@@ -80,11 +80,11 @@ def mix(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, rounds: int
     """``docs`` with tokens, topic, probability and kept."""
     keyed = with_cells(docs)
     keys = [f"c_{d}" for d in DIMS]
-    cells = stage_table(spark, keyed.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
+    cells = stage_table(spark, keyed.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = fit(cells, alpha, rounds)
     ratio = F.col("weight") / F.col("share")
     fitted = stage_table(spark, fitted.withColumn("p", F.round(ratio / F.max(ratio).over(W.partitionBy()), DIGITS))
-                         .select(*keys, "p").coalesce(1), "fitted")
+                         .select(*keys, "p"), "fitted")
     # One row per cell; Spark chooses how to join by its measured size.
     joined = keyed.join(fitted, keys, "left")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
