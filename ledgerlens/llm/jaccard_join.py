@@ -8,10 +8,13 @@ reaches a threshold; the result is each document's connected component.
    are one vertex from here on (copies are never expanded into pairs).
 2. Shingles are ordered rare first by the sketch (any total order keeps the
    prefix filter exact). A set of n shingles enters the join with its first
-   n - ceil(t n) + 1 shingles: two sets that reach t share one of those.
+   n - ceil(t n) + 1 shingles: two sets that reach t share one of those. Rows
+   that no other row of their shingle can link with by size go at once.
 3. Prefix rows that meet on a shingle are paired under the length and the
-   positional filter; pairs are made distinct, then verified once each on the
-   whole sets, a suffix filter first.
+   positional filter and made distinct. The suffix filter then compares, per
+   pair, how many shingles of each set fall into ``SLOTS`` slots of the key
+   space: the differences add up to a lower bound of the elements in one set
+   only. Only what passes is verified, once per pair, on the whole sets.
 4. Pairs are not made in one go, which would be quadratic in a group of near
    copies. First every row is paired with one central row of its shingle
    (the one with the largest share of shared prefix shingles); the links found
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap_bit, id_bitmap, prepare, stage_table
+from .common import bitmap_bit, drop_staged, id_bitmap, prepare, stage_table
 from .components import connected_components
 from .shingles import Shingler, mix64
 
@@ -43,10 +46,13 @@ SKETCH_BITS = 18
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # as a fraction: the comparison stays in whole numbers
 HOT_SALTS = 64
-CENTRAL_ROUNDS = 2
+CENTRAL_ROUNDS = 1
+SLOTS = 256
+NAMELESS = 1 << 62
 
-_INFO = "doc_id bigint, n int, node bigint, sketch array<int>"
-_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("sketch", pa.list_(pa.int32()))])
+_INFO = "doc_id bigint, n int, node bigint, slots binary, sketch array<int>"
+_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slots", pa.binary()),
+                         ("sketch", pa.list_(pa.int32()))])
 _PREFIX = "token bigint, node bigint, n int, pos int, salt int"
 _PREFIX_ARROW = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("salt", pa.int32())])
 
@@ -68,25 +74,28 @@ def _buckets(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def slot_counts(s: np.ndarray) -> bytes:
+    """Shingles per slot, at most 255 (a smaller difference is a weaker bound, never a wrong one)."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
+
+
 def _describe(k: int):
     def run(batches):
         shingler, sketch = _shingler_of(k), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            n, node = [], []
+            n, node, slots = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingler.shingles(text)
                 n.append(len(s))
                 node.append(set_key(s) if len(s) else None)
-                if len(s):
-                    sketch += np.bincount(_buckets(s), minlength=len(sketch)) if len(s) > 50_000 else 0
-                    if len(s) <= 50_000:
-                        np.add.at(sketch, _buckets(s), 1)
+                slots.append(slot_counts(s) if len(s) else None)
+                np.add.at(sketch, _buckets(s), 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(node, pa.int64()),
+                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(slots, pa.binary()),
                  pa.nulls(len(n), pa.list_(pa.int32()))], schema=_INFO_ARROW)
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()),
+                [pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([np.minimum(sketch, 2**31 - 1).astype(np.int32)], pa.list_(pa.int32()))], schema=_INFO_ARROW)
     return run
 
@@ -130,7 +139,7 @@ def _sets(k: int, bitmap_var):
         bits = np.frombuffer(bitmap_var.value, dtype=np.uint8)
         for b in batches:
             at = b.column("bit").to_numpy(zero_copy_only=False)
-            keep = (bits[at >> 3] >> (at & 7)) & 1
+            keep = (at < 0) | ((bits[np.maximum(at, 0) >> 3] >> (at & 7)) & 1 == 1)
             texts = b.column("text").filter(pa.array(keep.astype(bool))).to_pylist()
             sets = [s for s in map(shingler.shingles, texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
@@ -138,19 +147,28 @@ def _sets(k: int, bitmap_var):
     return run
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, cuts: int = 7) -> int:
-    """A lower bound of the number of elements in one of two sorted sets only:
-    cut both at the same elements and add up the differences in size."""
-    at = y[np.linspace(0, len(y) - 1, cuts + 2).astype(int)[1:-1]]
-    a, b = np.searchsorted(x, at), np.searchsorted(y, at)
-    return int(np.abs(np.diff(np.r_[0, a, len(x)]) - np.diff(np.r_[0, b, len(y)])).sum())
+def suffix_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of the number of elements in one of two sets only, from rows of slot counts."""
+    return np.abs(x.astype(np.int64) - y.astype(np.int64)).sum(axis=-1)
+
+
+def _suffix_filter(num: int, den: int):
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in ("xs", "ys"))
+            n = b.column("xn").to_numpy().astype(np.int64) + b.column("yn").to_numpy()
+            need = -(-num * n // (num + den))
+            pairs = pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], schema=schema)
+            yield pairs.filter(pa.array(suffix_bound(x, y) <= n - 2 * need))
+    return run
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """den * |x & y| >= num * |x | y| for sorted sets without repeats."""
-    need = -(-num * (len(x) + len(y)) // (num + den))
-    if suffix_bound(x, y) > len(x) + len(y) - 2 * need:
-        return False
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     inter = int((y[at] == x).sum())
@@ -183,9 +201,11 @@ class JaccardJoin:
         self.sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for r in counts:
             self.sketch[r["bucket"]] = r["c"]
-        self.info = info.where("n >= 0").select("doc_id", "n", "node")
-        # A set that only rows without an id hold takes part under its own key.
-        reps = self.info.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), "node").alias("rep"))
+        self.info = info.where("n >= 0").select("doc_id", "n", "node", "slots")
+        # A set that only rows without an id hold takes part under a number above all ids.
+        nameless = F.lit(NAMELESS).bitwiseOR(F.col("node").bitwiseAND(F.lit(NAMELESS - 1)))
+        reps = self.info.where("node is not null").groupBy("node").agg(
+            F.coalesce(F.min("doc_id"), nameless).alias("rep"), F.first("n").alias("n"), F.first("slots").alias("slots"))
         self.reps = stage_table(self.spark, reps, "reps")
 
     def _shared_prefixes(self) -> DataFrame:
@@ -194,12 +214,24 @@ class JaccardJoin:
         sketch = self.spark.sparkContext.broadcast(self.sketch)
         rows = self.docs.select("text").mapInArrow(_prefixes(self.k, self.num, self.den, sketch), _PREFIX)
         w = W.partitionBy("token", "salt")
-        shared = (rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-                  .where("lo != hi or salt > 0").select("token", "node", "n", "pos").dropDuplicates(["token", "node"]))
+        by_size = w.orderBy("n", "node")
+        rows = rows.withColumns({
+            "lo": F.min("node").over(w), "hi": F.max("node").over(w), "rows": F.count(F.lit(1)).over(w),
+            "n_before": F.lag("n").over(by_size), "n_after": F.lead("n").over(by_size),
+            "left": F.coalesce(F.lag(F.col("n") - F.col("pos")).over(by_size), F.lead(F.col("n") - F.col("pos")).over(by_size))})
+        # The rows next to a row in order of size are the first to pass the length filter;
+        # of two rows alone, both filters are known here.
+        near = ((self.den * F.col("n_before") >= self.num * F.col("n")) | (self.den * F.col("n") >= self.num * F.col("n_after")))
+        need = F.ceil(F.lit(self.num) * (F.col("n") + F.coalesce("n_before", "n_after")) / F.lit(self.num + self.den))
+        pair = (F.col("rows") > 2) | (F.least(F.col("n") - F.col("pos"), "left") >= need)
+        shared = (rows.where((F.col("salt") > 0) | ((F.col("lo") != F.col("hi")) & near & pair))
+                  .select("token", "node", "n", "pos").dropDuplicates(["token", "node"]))
         shared = stage_table(self.spark, shared, "shared")
         length = F.col("n") - F.ceil(F.col("n") * self.num / F.lit(self.den)) + 1
         central = shared.groupBy("node").agg((F.count(F.lit(1)) / F.max(length)).alias("central"))
-        return stage_table(self.spark, shared.join(central, "node"), "central")
+        rows = stage_table(self.spark, shared.join(central, "node"), "central")
+        drop_staged(self.spark, shared)
+        return rows
 
     def _may_link(self, a: str, b: str):
         """Length and positional filter for two prefix rows of one shingle."""
@@ -210,24 +242,32 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs of nodes (src, dst) that reach the threshold."""
+        side = [self.reps.select(F.col("node").alias(e), F.col("n").alias(f"{v}n"), F.col("slots").alias(f"{v}s"))
+                for e, v in (("src", "x"), ("dst", "y"))]
+        near = pairs.join(side[0], "src").join(side[1], "dst").select("src", "dst", "xn", "xs", "yn", "ys")
+        pairs = stage_table(self.spark, near.mapInArrow(_suffix_filter(self.num, self.den), "src bigint, dst bigint"), "near")
         nodes = pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst")).distinct()
         ids = self.reps.join(nodes, "node", "left_semi")
         bitmap = self.spark.sparkContext.broadcast(id_bitmap(ids, "rep"))
-        sets = (self.docs.select("text", bitmap_bit("doc_id").alias("bit"))
+        # rows without an id are always looked at
+        bit = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bitmap_bit("doc_id"))
+        sets = (self.docs.select("text", bit.alias("bit"))
                 .mapInArrow(_sets(self.k, bitmap), "node bigint, shingles binary")
                 .groupBy("node").agg(F.first("shingles").alias("shingles")))
         sets = stage_table(self.spark, sets, "sets")
         both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src")
                 .join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
                 .select("src", "dst", "x", "y"))
-        return stage_table(self.spark, both.mapInArrow(_verify(self.num, self.den), "src bigint, dst bigint"), "links")
+        links = stage_table(self.spark, both.mapInArrow(_verify(self.num, self.den), "src bigint, dst bigint"), "links")
+        drop_staged(self.spark, sets, pairs)
+        return links
 
     def _components(self, links: DataFrame) -> DataFrame:
         """(node, comp) for the nodes that links join; comp is a node's rep."""
         a = self.reps.select(F.col("node").alias("src"), F.col("rep").alias("a"))
         b = self.reps.select(F.col("node").alias("dst"), F.col("rep").alias("b"))
         edges = links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        return stage_table(self.spark, connected_components(self.spark, edges), "components")
+        return connected_components(self.spark, edges)
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row per document row."""
@@ -235,34 +275,41 @@ class JaccardJoin:
         rows = self._shared_prefixes()
         links, done, comp = None, None, None
         for step in range(CENTRAL_ROUNDS + 1):
-            labelled = rows.withColumn("comp", F.col("node"))
-            if comp is not None:
-                labels = (self.reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+            # Only what a step reads travels: before the first links a row is a component of its own.
+            if comp is None:
+                labelled = rows.select("token", "node", "n", "pos")
+                apart = F.col("a.node") != F.col("b.node")
+            else:
+                labels = (self.reps.select("node", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
                           .select("node", F.coalesce("component", "rep").alias("comp")))
-                labelled = rows.join(labels, "node")
+                labelled = rows.select("token", "node", "n", "pos").join(labels, "node")
+                apart = F.col("a.comp") < F.col("b.comp") if step == CENTRAL_ROUNDS else F.col("a.comp") != F.col("b.comp")
             if step < CENTRAL_ROUNDS:  # each row with one central row of its shingle, another one each round
+                ranked = rows if step == 0 else labelled
                 rank = F.struct(F.col("central") if step == 0 else F.xxhash64("node", F.lit(step)), "node")
-                pivot = labelled.groupBy("token").agg(F.max_by(F.struct("node", "n", "pos", "comp"), rank).alias("p"))
+                pivot = ranked.groupBy("token").agg(F.max_by(F.struct(*(c for c in labelled.columns if c != "token")), rank).alias("p"))
                 met = labelled.alias("a").join(pivot.select("token", "p.*").alias("b"), "token")
             else:
                 open_ = (labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .where("lo != hi").select("token"))
                 left = stage_table(self.spark, labelled.join(open_, "token", "left_semi"), "open")
                 met = left.alias("a").join(left.alias("b"), "token")
-            pairs = (met.where((F.col("a.comp") < F.col("b.comp")) & self._may_link("a", "b") if step == CENTRAL_ROUNDS
-                               else (F.col("a.comp") != F.col("b.comp")) & self._may_link("a", "b"))
+            pairs = (met.where(apart & self._may_link("a", "b"))
                      .select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct())
             if done is not None:
                 pairs = pairs.join(done, ["src", "dst"], "left_anti")
             pairs = stage_table(self.spark, pairs, "pairs")
+            if step == CENTRAL_ROUNDS:
+                drop_staged(self.spark, rows, left)
             found = self._verified(pairs)
             done = pairs if done is None else done.unionAll(pairs)
             links = found if links is None else links.unionAll(found)
             comp = self._components(links)
-        out = (self.info.join(self.reps, "node", "left")
+        out = (self.info.select("doc_id", "n", "node").join(self.reps.select("node", "rep"), "node", "left")
                .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left"))
+        found = F.coalesce("component", "rep", "doc_id")
         return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-                          F.coalesce("component", "rep", "doc_id").alias("component_id"))
+                          F.when(found < NAMELESS, found).alias("component_id"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS,
