@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ _BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
+_paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
 BITMAP_BITS = 1 << 24  # 2 MB, whatever the number of keys
 
 
@@ -33,7 +36,18 @@ def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     lineage ends there, and a lost executor costs nothing that was staged."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _paths[staged] = path
+    return staged
+
+
+def drop_staged(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_staged, stage_table
 
 
 def _signature(df: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         small = (large.join(least, "v").where(F.col("m") != F.col("least"))
                  .select(F.col("m").alias("v"), F.col("least").alias("m"))
                  .unionAll(least.select("v", F.col("least").alias("m"))).distinct())
-        e = stage_table(spark, small, "star")
+        before, e = e, stage_table(spark, small, "star")
+        drop_staged(spark, before)
         now = _signature(e)
         if now == seen:
             break
