@@ -4,7 +4,9 @@ A text is parsed into dictionary phrases (LZ78: each phrase is the longest one
 seen before plus one more symbol; symbols are runs of up to eight characters
 without white space, so that words count and unspaced text is cut as well).
 The set of phrases is
-hashed, and a minimum-hash signature of ``HASHES`` 16-bit values stands for it;
+hashed, and a minimum-hash signature of ``HASHES`` 16-bit values stands for it
+(16 bits of each minimum, mixed first: a minimum itself is small, the more so
+the longer the text, and its own leading bits would tell little);
 the likeness of two texts is the share of equal values, an estimate of the
 Jaccard similarity of their phrase sets, as two texts compress well together
 when they share phrases.
@@ -93,7 +95,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
             x = hashes[a:a + 4096, None] * _A + _B
             x ^= x >> np.uint64(31)
             np.minimum(low, x.min(axis=0), out=low)
-    return (low >> np.uint64(48)).astype(">u2") if len(hashes) else np.full(HASHES, 0xFFFF, dtype=">u2")
+    return (mix64(low) & np.uint64(0xFFFF)).astype(">u2") if len(hashes) else np.full(HASHES, 0xFFFF, dtype=">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -228,6 +228,17 @@ def test_phrases_and_likeness_estimate(spark):
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.1
 
 
+@pytest.mark.parametrize("n", [100_000, 300_000])
+def test_likeness_of_long_texts(n):
+    """Unrelated and half-equal texts of many phrases, against the true Jaccard similarity."""
+    texts = [" ".join(f"{i:x}" for i in range(a, a + n)) for a in (0, n, n // 2)]
+    sets = [plain_phrases(t) for t in texts]
+    sketches = [lz_fingerprint.sketch(t) for t in texts]
+    for x, y in ((0, 1), (0, 2), (1, 2)):
+        true = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+        assert abs(lz_fingerprint.likeness(sketches[x], sketches[y]) - true) < (0.2 if true else 0.05)
+
+
 # --- URLs ------------------------------------------------------------------
 
 URLS = ["http://www.Example.ORG/es/1", "https://example.org/en/1x", "https://example.org/en/2", "http://a.b.com/fr/x?y=/de/", "http://x.com/de/",
