@@ -5,15 +5,18 @@ word, a separator and a value of six characters or more), ``access`` (AKIA
 keys of twenty characters or more) and ``hex`` (24 or more lower-case digits).
 
 The method adds ``entropy`` spans: candidate strings are the maximal runs of
-token characters that are at least a window long. A candidate's character
-class sets the entropy it has to reach in some window: digits with a-f or A-F,
-digits with capitals, or digits with capitals and small letters; other runs
-(words, numbers) are not candidates. The window slides by one character and
+token characters that are at least a window long, once placeholders, alphabet
+runs and UUIDs are cut out of them (what is glued to one is measured by itself).
+A candidate's character class sets the entropy it has to reach in some window:
+digits with a-f or A-F, digits with capitals, or digits with capitals and small
+letters. The segments of a run (split at / and +) are candidates too; not so
+segments made of words and numbers only (a word may end in four digits).
+Segments shorter than a window are not measured by themselves. The window slides by one character and
 keeps the counts of its characters and sum(c log2 c), both updated for the one
 character that enters and the one that leaves; entropy is log2(W) minus that
 sum over W. The span reaches from the first to the last window that is dense
-enough. Candidates that an allow-list pattern matches (placeholders, UUIDs,
-alphabet runs, paths) or that a base span covers are left out.
+enough. Paths none of whose segments is dense by itself, candidates that a base
+span covers and segment spans inside the span of a whole run are left out.
 
 A match's place is the length of what regular-expression split leaves before
 it plus the matches before, all counted in code points.
@@ -52,6 +55,16 @@ ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"^(?:/?[A-Za-z_-]{2,}){2,}(?:/[A-Za-z0-9_-]+)*$",
 )
+SEGMENT = r"[A-Za-z0-9_-]{%d,}" % WINDOW
+SEGMENT_CLASSES = CLASSES
+# Possessive loops: Java matches them without recursion, however long the run.
+_WORD = r"(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]++)"
+WORDS = rf"^[_-]*+{_WORD}(?:[_-]++{_WORD})*+[_-]*+$"
+#: The path pattern of ALLOW in linear time.
+PATH = r"^/?(?:[A-Za-z_-]{4,}+|[A-Za-z_-]{2,}+/[A-Za-z_-]{2,}+)(?:/[A-Za-z0-9_-]++)*+$"
+UUID = rf"(?<![0-9A-Za-z]){ALLOW[2]}(?![0-9A-Za-z])"
+#: What is cut out of runs, as (pattern, length).
+CUT = ((UUID, 36), *((f"(?i){w}", len(w)) for p in ALLOW[:2] for w in p.removeprefix("(?i)").split("|")))
 MASK = "[SECRET]"
 
 _SPAN = "struct<start:int,ord:int,stop:int>"
@@ -77,11 +90,15 @@ def _located(found: str, rest: str, keep: str, ord_: int) -> str:
           a -> a.out))"""
 
 
-def _dense(s: str) -> str:
+def _some(s: str, patterns) -> str:
+    return "(" + " OR ".join(f"{s} RLIKE {_q(p)}" for p in patterns) + ")"
+
+
+def _dense(s: str, classes=CLASSES) -> str:
     """First and last position (window ends) of ``s`` that reach the entropy of its class, by incremental counts."""
     xlogx = "array(" + ", ".join(f"{(c * math.log2(c) if c else 0.0)!r}D" for c in range(WINDOW + 1)) + ")"
     # entropy >= bits  <=>  sum(c log2 c) <= W (log2 W - bits)
-    most = "CASE " + " ".join(f"WHEN {s} RLIKE {_q(p)} THEN {WINDOW * (math.log2(WINDOW) - bits)!r}D" for p, bits in CLASSES) + " ELSE -1D END"
+    most = "CASE " + " ".join(f"WHEN {s} RLIKE {_q(p)} THEN {WINDOW * (math.log2(WINDOW) - bits)!r}D" for p, bits in classes) + " ELSE -1D END"
     gone = f"""IF(t >= {WINDOW},
         named_struct('n', transform(a.n, (c, k) -> IF(k = ix[t - {WINDOW}], c - 1, c)),
                      's', a.s - f[a.n[ix[t - {WINDOW}]]] + f[a.n[ix[t - {WINDOW}]] - 1]),
@@ -110,16 +127,29 @@ def scan(docs: DataFrame) -> DataFrame:
     value = f"length(regexp_extract(@match, {_q(ASSIGN)}, 2)) >= {MIN_VALUE}"
     base = ", ".join(_located(f"_{k}", f"_{k}_rest", keep, i) for i, (k, keep) in enumerate((("assign", value), ("access", "true"), ("hex", "true"))))
     df = df.withColumn("_base", F.expr(f"concat({base})"))
-    allowed = " OR ".join(f"@match RLIKE {_q(p)}" for p in ALLOW)
-    some = "(" + " OR ".join(f"@match RLIKE {_q(p)}" for p, _ in CLASSES) + ")"
-    df = df.withColumn("_runs", F.expr(_located("_cand", "_cand_rest", f"{some} AND NOT ({allowed})", len(KINDS) - 1)))
-    df = df.withColumn("_runs", F.expr("filter(_runs, r -> NOT exists(_base, b -> b.start <= r.start AND r.stop <= b.stop))"))
-    dense = _dense("substring(_t, r.start + 1, r.stop - r.start)")
-    df = df.withColumn("_dense", F.expr(f"transform(_runs, r -> named_struct('start', r.start, 'd', {dense}))"))
-    added = f"""transform(filter(_dense, x -> x.d.first >= 0), x -> named_struct(
-        'start', x.start + x.d.first - {WINDOW - 1}, 'ord', {len(KINDS) - 1}, 'stop', x.start + x.d.last + 1))"""
+    df = df.withColumn("_paths", F.expr(_located("_cand", "_cand_rest", f"@match RLIKE {_q(PATH)}", len(KINDS) - 1)))
+    cut = "_t"
+    for p, n in CUT:
+        cut = f"regexp_replace({cut}, {_q(p)}, '{' ' * n}')"
+    df = df.withColumn("_cut", F.expr(f"IF(size(_cand) = 0, '', {cut})"))  # as long as the text
+    for name, pattern, keep, classes in (
+            ("whole", CANDIDATE, _some("@match", [p for p, _ in CLASSES]), CLASSES),
+            ("segment", SEGMENT, f"{_some('@match', [p for p, _ in SEGMENT_CLASSES])} AND NOT @match RLIKE {_q(WORDS)}", SEGMENT_CLASSES)):
+        df = df.withColumn("_found", F.expr(f"regexp_extract_all(_cut, {_q(pattern)}, 0)"))
+        df = df.withColumn("_found_rest", F.expr(f"IF(size(_found) = 0, CAST(array() AS array<string>), split(_cut, {_q(pattern)}, -1))"))
+        df = df.withColumn("_runs", F.expr(_located("_found", "_found_rest", keep, len(KINDS) - 1)))
+        df = df.withColumn("_runs", F.expr("filter(_runs, r -> NOT exists(_base, b -> b.start <= r.start AND r.stop <= b.stop))"))
+        dense = _dense("substring(_t, r.start + 1, r.stop - r.start)", classes)
+        df = df.withColumn("_dense", F.expr(f"transform(_runs, r -> named_struct('run', r, 'start', r.start, 'd', {dense}))"))
+        df = df.withColumn(f"_{name}", F.expr(f"""transform(filter(_dense, x -> x.d.first >= 0), x -> named_struct('run', x.run, 'span', named_struct(
+            'start', x.start + x.d.first - {WINDOW - 1}, 'ord', {len(KINDS) - 1}, 'stop', x.start + x.d.last + 1)))"""))
+    path = f"""(substring(_t, w.run.start + 1, w.run.stop - w.run.start) RLIKE {_q(PATH)}
+        OR exists(_paths, p -> p.start <= w.run.start AND w.run.stop <= p.stop))"""
+    plain = "NOT exists(_segment, g -> w.run.start <= g.run.start AND g.run.stop <= w.run.stop)"
+    df = df.withColumn("_whole", F.expr(f"transform(filter(_whole, w -> NOT ({path} AND {plain})), w -> w.span)"))
+    added = """_whole, transform(filter(_segment, g -> NOT exists(_whole, w -> w.start <= g.span.start AND g.span.stop <= w.stop)), g -> g.span)"""
     df = df.withColumn("secret_spans", F.expr(f"array_sort(concat(_base, {added}))"))
-    return df.drop("_t", "_base", "_runs", "_dense", *(f"_{k}{s}" for k, _ in kinds for s in ("", "_rest")))
+    return df.drop("_t", "_base", "_paths", "_cut", "_found", "_found_rest", "_runs", "_dense", "_whole", "_segment", *(f"_{k}{s}" for k, _ in kinds for s in ("", "_rest")))
 
 
 def redact(docs: DataFrame) -> DataFrame:

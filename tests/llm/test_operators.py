@@ -330,6 +330,81 @@ def test_secrets_match_a_plain_version(spark):
     assert secret_scan.span_digest(df.limit(0)).count() == 0
 
 
+KEY, LOW = "Zx9Qw7Lp2Mn8Bv4Cr6Ty1Kd3", "k3j9x7w2m5q8z1v4t6r0p9n2h7g5"
+#: (text, secrets that have to be covered)
+PLANTED = [
+    (f"https://hooks.example.com/services/T02AB3CD4/B05EF6GH7/{KEY} x", [KEY]), (f"é deploy/prod/{KEY}", [KEY]),
+    ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ1rT8uW3yV5aB", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ1rT8uW3yV5aB"]),
+    (f"f47ac10b-58cc-4372-a567-0e02b2c3d479-{KEY}", [KEY]), (f"{KEY}f47ac10b-58cc-4372-a567-0e02b2c3d479", [KEY]),
+    (f"example-{KEY} {KEY}_Sample", [KEY, KEY]), (f"xxxx{KEY} abcdefgh{KEY}", [KEY]), ("x/sha/AB12CD34EF56AB78CD90EF12", ["AB12CD34EF56AB78CD90EF12"]),
+]
+HARMLESS = ["src/main/java/org/Apache2/commons/Lang3/text", "blog/2024/how-to-bake-bread-at-home-in-2024", "docs/f47ac10b-58cc-4372-a567-0e02b2c3d479/Page1",
+            "f47ac10b-58cc-4372-a567-0e02b2c3d479", "wiki/World_War_II_1939-1945_History_Pages", "getApplicationConfigurationManager", "internationalization_of_words_12",
+            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "docs/example/v2/FooBar2", "word-" * 30_000, "a/" * 30_000 + "B2", "A" * 60 + "a1+", "12345678901234567890"]
+
+
+def whole_spans(text):
+    """Spans of the whole rule in plain Python, with nothing of the operator's own."""
+    w = 20
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m.group(2)) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    holes = list(text)
+    for p in (r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",
+              "(?ai:example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh|qwertyui)"):
+        for m in re.finditer(p, "".join(holes)):
+            holes[m.start():m.end()] = " " * (m.end() - m.start())
+    holes = "".join(holes)
+
+    def bits(s, segment):
+        digit, small, capital = (any(a <= c <= b for c in s) for a, b in ("09", "az", "AZ"))
+        if digit and (set(s) <= set("0123456789abcdef") or set(s) <= set("0123456789ABCDEF")):
+            return 3.0
+        if digit and capital and s.isalnum() and not small:
+            return 3.5
+        if digit and capital and small:
+            return 3.7
+        return None
+
+    def words(s):
+        return all(re.fullmatch("(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+", x) for x in re.split("[_-]+", s.strip("_-")))
+
+    def is_path(s):
+        parts = s.removeprefix("/").split("/")
+        letters = [bool(re.fullmatch("[A-Za-z_-]{2,}", x)) for x in parts]
+        return "+" not in s and all(parts) and letters[0] and (len(parts[0]) > 3 or len(parts) > 1 and letters[1])
+
+    def measured(pattern, segment):
+        for m in re.finditer(pattern, holes):
+            need = bits(m.group(), segment)
+            if need is None or segment and words(m.group()) or any(a <= m.start() and m.end() <= c for a, _, c in base):
+                continue
+            dense = [i for i in range(m.start(), m.end() - w + 1)
+                     if -sum(c / w * math.log2(c / w) for c in collections.Counter(text[i:i + w]).values()) >= need - 1e-9]
+            if dense:
+                yield m.start(), m.end(), (dense[0], 3, dense[-1] + w)
+    paths = [m.span() for m in re.finditer("[A-Za-z0-9+/_-]{%d,}" % w, text) if is_path(m.group())]
+    segments = list(measured("[A-Za-z0-9_-]{%d,}" % w, True))
+    whole = [s for a, b, s in measured("[A-Za-z0-9+/_-]{%d,}" % w, False)
+             if any(a <= x and y <= b for x, y, _ in segments) or not (is_path(text[a:b]) or any(x <= a and b <= y for x, y in paths))]
+    return sorted(base + whole + [s for _, _, s in segments if not any(a <= s[0] and s[2] <= b for a, _, b in whole)])
+
+
+def test_secrets_glued_or_in_paths_are_found(spark):
+    rng = np.random.default_rng(4)
+    parts = [KEY, LOW, "example", "/", "/", "-", "+", "com", "Foo2", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "xxxx", "services", "2024", "é ", "AB12CD34EF56AB78CD90EF12", "QwZxKjPvTnLbRsDfHgYc"]
+    texts = [t for t, _ in PLANTED] + HARMLESS + ["".join(rng.choice(parts, rng.integers(2, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    show = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.span_digest(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == show(whole_spans(t)), t[:100]
+    for i, (t, keys) in enumerate(PLANTED):
+        assert not any(k[:10] in masked[i] or k[-10:] in masked[i] for k in keys), (t, masked[i])
+    for i, t in enumerate(HARMLESS, len(PLANTED)):
+        assert masked[i] == t, (t[:100], got[i])
+
+
 # --- Mixing ----------------------------------------------------------------
 
 def test_raked_weights_meet_all_marginals(spark):
