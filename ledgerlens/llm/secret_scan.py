@@ -9,7 +9,8 @@ token characters that are at least a window long, once placeholders, alphabet
 runs and UUIDs are cut out of them (what is glued to one is measured by itself).
 A candidate's character class sets the entropy it has to reach in some window:
 digits with a-f or A-F, digits with capitals, or digits with capitals and small
-letters. The segments of a run (split at / and +) are candidates too; not so
+letters. The segments of a run (split at / and +) are candidates too, and of
+two more classes: digits with small letters, and letters of both cases; not so
 segments made of words and numbers only (a word may end in four digits).
 Segments shorter than a window are not measured by themselves. The window slides by one character and
 keeps the counts of its characters and sum(c log2 c), both updated for the one
@@ -55,8 +56,12 @@ ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"^(?:/?[A-Za-z_-]{2,}){2,}(?:/[A-Za-z0-9_-]+)*$",
 )
+#: Classes of segments only.
 SEGMENT = r"[A-Za-z0-9_-]{%d,}" % WINDOW
-SEGMENT_CLASSES = CLASSES
+SEGMENT_CLASSES = CLASSES + (
+    (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z_-]+$", 3.5),
+    (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z_-]+$", 3.8),
+)
 # Possessive loops: Java matches them without recursion, however long the run.
 _WORD = r"(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]++)"
 WORDS = rf"^[_-]*+{_WORD}(?:[_-]++{_WORD})*+[_-]*+$"

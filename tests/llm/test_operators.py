@@ -336,7 +336,9 @@ PLANTED = [
     (f"https://hooks.example.com/services/T02AB3CD4/B05EF6GH7/{KEY} x", [KEY]), (f"é deploy/prod/{KEY}", [KEY]),
     ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ1rT8uW3yV5aB", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ1rT8uW3yV5aB"]),
     (f"f47ac10b-58cc-4372-a567-0e02b2c3d479-{KEY}", [KEY]), (f"{KEY}f47ac10b-58cc-4372-a567-0e02b2c3d479", [KEY]),
-    (f"example-{KEY} {KEY}_Sample", [KEY, KEY]), (f"xxxx{KEY} abcdefgh{KEY}", [KEY]), ("x/sha/AB12CD34EF56AB78CD90EF12", ["AB12CD34EF56AB78CD90EF12"]),
+    (f"example-{KEY} {KEY}_Sample", [KEY, KEY]), (f"xxxx{KEY} abcdefgh{KEY}", [KEY]), (f"a {LOW} b", [LOW]), (f"v2/api/{LOW}/x", [LOW]),
+    (f"deploy/prod/{LOW}", [LOW]), (f"placeholder/{LOW}", [LOW]), ("q7-x2_k9m4z8w3v5t1r6p0n", ["q7-x2_k9m4z8w3v5t1r6p0n"]), (f"Some/Path/{LOW}", [LOW]),
+    ("QwZxKjPvTnLbRsDfHgYcMaUe", ["QwZxKjPvTnLbRsDfHgYcMaUe"]), ("x/sha/AB12CD34EF56AB78CD90EF12", ["AB12CD34EF56AB78CD90EF12"]),
 ]
 HARMLESS = ["src/main/java/org/Apache2/commons/Lang3/text", "blog/2024/how-to-bake-bread-at-home-in-2024", "docs/f47ac10b-58cc-4372-a567-0e02b2c3d479/Page1",
             "f47ac10b-58cc-4372-a567-0e02b2c3d479", "wiki/World_War_II_1939-1945_History_Pages", "getApplicationConfigurationManager", "internationalization_of_words_12",
@@ -363,7 +365,7 @@ def whole_spans(text):
             return 3.5
         if digit and capital and small:
             return 3.7
-        return None
+        return 3.5 if segment and digit and small else 3.8 if segment and capital and small else None
 
     def words(s):
         return all(re.fullmatch("(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+", x) for x in re.split("[_-]+", s.strip("_-")))
