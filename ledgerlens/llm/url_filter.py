@@ -7,7 +7,7 @@ trees are fitted to them on lexical features (length, depth, digit ratio,
 entropy, parameter counts, and statistics of the host's suffixes), and judge
 every URL that no rule fits. The host's suffix statistics are smoothed shares
 of allowed URLs per top and second level, counted over all labelled URLs by
-Spark, in tables cut to the ``MAX_SUFFIXES`` most frequent ones.
+Spark; the table of all suffixes is staged and joined to the URLs.
 
 The trees are fitted on at most ``TRAIN_ROWS`` labelled URLs, chosen by a hash.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stage_table
 
 # Fixed values of the result contract: (host, path prefix, verdict).
 RULES = (
@@ -37,7 +37,6 @@ RULES = (
     ("com", "/de/", "block"),
 )
 TRAIN_ROWS = 20_000  # the documented bound of the labelled sample
-MAX_SUFFIXES = 10_000  # rows of the broadcast suffix table
 TREES = 40
 DEPTH = 3
 RATE = 0.2
@@ -68,12 +67,31 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+LEVELS = {"top": 1, "second": 2}
+
+
+def _suffix(levels: int) -> Column:
+    return F.substring_index("host", ".", -levels)
+
+
 def suffixes(host: str) -> tuple[str, str]:
     parts = host.rsplit(".", 2)
     return parts[-1], ".".join(parts[-2:])
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], stats: dict[str, tuple[float, float]], share: float) -> np.ndarray:
+def stats_of(table: DataFrame, hosts: list[str]) -> dict[str, tuple[float, float]]:
+    """The rows of the suffix table that these hosts need."""
+    need = sorted({s for h in hosts for s in suffixes(h)})
+    if not need:
+        return {}
+    wanted = table.sparkSession.createDataFrame([(s,) for s in need], "suffix string")
+    return {r["suffix"]: (r["p"], r["n"]) for r in table.join(wanted, "suffix", "left_semi").collect()}
+
+
+def features(urls: list[str | None], hosts: list[str], paths: list[str], stats: DataFrame | dict[str, tuple[float, float]], share: float) -> np.ndarray:
+    """``stats``: the suffix table, or the part of it that the hosts need."""
+    if isinstance(stats, DataFrame):
+        stats = stats_of(stats, hosts)
     out = np.zeros((len(urls), len(FEATURES)))
     for i, (url, host, path) in enumerate(zip(urls, hosts, paths)):
         url = url or ""
@@ -152,26 +170,34 @@ class BoostedTrees:
 
 def _judge(model_var):
     def run(batches):
-        stats, share, trees = model_var.value
+        share, trees = model_var.value
         for b in batches:
+            stats = {}
+            for level in ("top", "second"):
+                suffix, p, n = (b.column(f"{level}{c}").to_pylist() for c in ("", "_p", "_n"))
+                stats.update((k, (v, w)) for k, v, w in zip(suffix, p, n) if v is not None)
             x = features(b.column("url").to_pylist(), b.column("host").to_pylist(), b.column("path").to_pylist(), stats, share)
             p = trees.predict(x) if trees is not None else np.full(len(x), share)
-            names = b.schema.names
+            names = [n for n in b.schema.names if not n.startswith(("top", "second"))]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(p, pa.float64())], names=[*names, "score"])
     return run
 
 
 def train(spark: SparkSession, ruled: DataFrame, n_rows: int = TRAIN_ROWS):
-    """(suffix table, share of allowed URLs, trees) from the URLs that a rule decides."""
+    """(suffix table, share of allowed URLs, trees) from the URLs that a rule decides.
+
+    The suffix table (suffix, p, n) is a staged DataFrame with all suffixes of labelled URLs;
+    without URLs of both verdicts there is none (an empty dict) and no trees.
+    """
     labelled = ruled.where("rule_verdict is not null").withColumn("y", (F.col("rule_verdict") == "allow").cast("int"))
     total = labelled.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not total[0] or total[1] in (0, total[0]):
         return {}, 1.0 if not total[0] or total[1] else 0.0, None
     share = total[1] / total[0]
-    levels = F.array(F.substring_index("host", ".", -1), F.substring_index("host", ".", -2))
-    table = (labelled.select(F.explode(F.array_distinct(levels)).alias("suffix"), "y").groupBy("suffix")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a")).orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES).collect())
-    stats = {r["suffix"]: ((r["a"] + PRIOR * share) / (r["n"] + PRIOR), float(r["n"])) for r in table}
+    levels = F.array(*(_suffix(k) for k in LEVELS.values()))
+    n, allowed = F.count(F.lit(1)).cast("double"), F.sum("y").cast("double")
+    stats = stage_table(spark, labelled.select(F.explode(F.array_distinct(levels)).alias("suffix"), "y").groupBy("suffix")
+                        .agg(((allowed + PRIOR * share) / (n + PRIOR)).alias("p"), n.alias("n")), "suffixes")
     rows = labelled.select("url", "host", "path", "y").orderBy(F.xxhash64("url"), "url").limit(n_rows).collect()
     x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], stats, share)
     return stats, share, BoostedTrees().fit(x, np.array([r["y"] for r in rows], dtype=float))
@@ -182,8 +208,18 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     prepare(spark)
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
     ruled = with_rules(base, rules)
-    model = spark.sparkContext.broadcast(train(spark, ruled))
+    stats, share, trees = train(spark, ruled)
+    model = spark.sparkContext.broadcast((share, trees))
+    # Spark broadcasts the suffix table where it is small; otherwise it splits the partitions of a very common suffix.
+    known = ruled
+    for level, k in LEVELS.items():
+        known = known.withColumn(level, _suffix(k))
+        if trees is None:
+            known = known.withColumns({f"{level}_{c}": F.lit(None).cast("double") for c in "pn"})
+        else:
+            known = known.join(stats.select(F.col("suffix").alias(level), *(F.col(c).alias(f"{level}_{c}") for c in "pn")), level, "left")
+    known = known.select("page_id", "url", "host", "path", "rule", "rule_verdict", *(f"{x}{c}" for x in LEVELS for c in ("", "_p", "_n")))
     schema = "page_id bigint, url string, host string, path string, rule string, rule_verdict string, score double"
     method = F.when(F.col("score") >= 0.5, "allow").otherwise("block")
-    return ruled.mapInArrow(_judge(model), schema).select(
+    return known.mapInArrow(_judge(model), schema).select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score")
