@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing
+from . import chat_format, laesa, mixing
 from . import secret_scan as S
 
 #: (id, root) pairs of everything that links reach, then the smallest per id.
@@ -103,4 +103,5 @@ ORACLES = {
     "op8_secret_scan": secrets_sql(),
     "op9_ngram_jaccard_join": jaccard_sql(),
     "op10_source_mixing": mixing.oracle_sql(),
+    "op12_centroid_clustering": laesa.oracle_sql(),
 }

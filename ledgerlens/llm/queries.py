@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from .common import read_table
 from .jaccard_join import jaccard_components
+from .laesa import cluster_vectors
 from .language_id import identify
 from .lz_fingerprint import compare_neighbours
 from .oracles import ORACLES
+from .posting_lists import nearest_neighbours
 from .quality import quality_report
 from . import chat_format, mixing
 from .secret_scan import span_digest
 from .sentencepiece import round_trip_report
 from .url_filter import judge
 from .vector_join import near_duplicate_vectors
+from .whitening import whiten
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -55,8 +58,21 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whiten(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    return nearest_neighbours(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_language_id, op3_chat_formatting, op4_embedding_near_dedup, op5_quality_classifier,
-    op6_document_fingerprints, op7_url_filter, op8_secret_scan, op9_ngram_jaccard_join, op10_source_mixing)}
+    op6_document_fingerprints, op7_url_filter, op8_secret_scan, op9_ngram_jaccard_join, op10_source_mixing,
+    op11_embedding_whitening, op12_centroid_clustering, op13_nearest_neighbours)}
 
 __all__ = ["QUERIES", "ORACLES"]
