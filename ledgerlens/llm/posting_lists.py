@@ -16,7 +16,8 @@ neighbours of a bounded sample of queries, found among all vectors, tell how
 far lists must be read to hold ``TARGET`` of them.
 
 Lists and queries meet by list; a list longer than ``BLOCK`` is split into a
-grid of blocks, so no task holds a whole list. Equal vectors are one entry with
+grid of blocks, so no task holds a whole list. The scores of the fitted vectors
+bound a query's results from below, so a block returns few pairs. Equal vectors are one entry with
 their k + 1 smallest ids, which no result can exceed. Scores are inner products
 in double precision, summed in one fixed order.
 
@@ -78,7 +79,7 @@ class Index:
     """Centroids, their graph, and the two walks over it."""
 
     def __init__(self, points: np.ndarray, parts: int, norm: float):
-        self.norm = norm
+        self.norm, self.points = norm, points
         x = self.place(points)
         cell = halves(x, max(1, min(parts, len(x))))
         n = cell.max() + 1
@@ -98,6 +99,8 @@ class Index:
         ring = (np.arange(n)[:, None] + np.array([-1, 1])) % n  # neighbouring cells of the halving: no centroid is cut off
         self.graph = np.concatenate([np.argsort(d, axis=1)[:, :min(DEGREE, n - 1)], ring], axis=1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
+        row, at, first = self.homes(points)
+        self.home = at[first]
         self.ratio, self.width = 1.0, 1
         self.sizes = np.zeros(n, dtype=np.int64)  # entries whose nearest centroid each one is
 
@@ -167,6 +170,17 @@ class Index:
         row, at = np.nonzero(chosen)
         return row, ids[row, at], at == 0
 
+    def floor(self, vec: np.ndarray, row: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """A bound that the ``least`` best scores found for each query reach: the ``least``-th score among the
+        fitted vectors that are at home in the lists it reads (``row``, ``at``)."""
+        out = np.full(len(vec), -np.inf)
+        read = np.zeros((len(vec), len(self.centroids)), dtype=bool)
+        read[row, at] = True
+        for a in range(0, len(vec) if len(self.points) >= least else 0, 256):
+            s = np.where(read[a:a + 256][:, self.home], vec[a:a + 256].astype(np.float64) @ self.points.T, -np.inf)
+            out[a:a + 256] = np.partition(s, s.shape[1] - least, axis=1)[:, s.shape[1] - least]
+        return out
+
     def probes(self, vec: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every list a query reads: those within the ratio, and where these are home to
         fewer than ``least`` entries, the next nearest ones up to that number."""
@@ -204,13 +218,15 @@ def scores(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) * m.astype(np.float64)).sum(axis=-1)
 
 
-def best_pairs(q: np.ndarray, m: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, score): for each query at least its ``top`` largest scores, ties included."""
+def best_pairs(q: np.ndarray, m: np.ndarray, top: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, score): for each query its ``top`` largest scores, ties included, of those that reach its ``floor``."""
     q, m = q.astype(np.float64), m.astype(np.float64)
     found = []
     for a in range(0, len(q), 256):
         rough = q[a:a + 256] @ m.T
         edge = np.partition(rough, len(m) - top, axis=1)[:, len(m) - top] if len(m) > top else np.full(len(rough), -np.inf)
+        if floor is not None:
+            edge = np.maximum(edge, floor[a:a + 256])
         slack = 1e-12 * np.linalg.norm(q[a:a + 256], axis=1) * np.linalg.norm(m, axis=1).max()
         r, c = np.nonzero(rough >= (edge - slack)[:, None])
         found.append((r + a, c, scores(q[r + a], m[c])))
@@ -234,10 +250,11 @@ def _ask(index_var, schema, least):
     def run(batches):
         for b in batches:
             for dim, rows, x in matrices(b):
-                r, at = index_var.value[dim].probes(x, least)
+                index = index_var.value[dim]
+                r, at = index.probes(x, least)
                 take = pa.array(rows[r])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), dim, np.int32)), pa.array(at.astype(np.int32)),
-                                                  *(b.column(c).take(take) for c in ("k1", "k2", "vec"))], schema=schema)
+                                                  *(b.column(c).take(take) for c in ("k1", "k2", "vec")), pa.array(index.floor(x, r, at, least)[r])], schema=schema)
     return run
 
 
@@ -249,7 +266,7 @@ def _search(schema, top):
         q, m = np.flatnonzero(query), np.flatnonzero(~query)
         if not len(q) or not len(m):
             return schema.empty_table()
-        r, c, s = best_pairs(x[q], x[m], top)
+        r, c, s = best_pairs(x[q], x[m], top, table.column("floor").to_numpy()[q])
         return pa.Table.from_arrays([*(table.column(k).take(pa.array(q[r])) for k in ("k1", "k2")), table.column("k1").take(pa.array(m[c])),
                                      table.column("ids").take(pa.array(m[c])), pa.array(s)], schema=schema)
     return run
@@ -341,7 +358,8 @@ def nearest_neighbours(spark: SparkSession, embeddings: DataFrame, top: int = TO
     postings = stage_table(spark, postings, "postings")
     for r in postings.where("first").groupBy("dim", "list").count().collect():
         index[r["dim"]].sizes[r["list"]] = r["count"]
-    probes = stage_table(spark, queries.mapInArrow(_ask(spark.sparkContext.broadcast(index), pa.schema(base), top + 1), ddl), "probes")
+    probes = stage_table(spark, queries.mapInArrow(_ask(spark.sparkContext.broadcast(index), pa.schema([*base, ("floor", pa.float64())]), top + 1),
+                                                    f"{ddl}, floor double"), "probes")
 
     at = ["dim", "list"]
     # One row per list, at most MAX_LISTS per vector length.
@@ -349,9 +367,9 @@ def nearest_neighbours(spark: SparkSession, embeddings: DataFrame, top: int = TO
               .join(probes.groupBy(*at).agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("nq")), at))
     out = [*at, "i", "j", *key, "vec"]
     asked = (probes.join(F.broadcast(blocks), at).withColumn("i", F.pmod(F.xxhash64("k2"), "nq").cast("int"))
-             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).select(*out, F.lit(None).cast("array<bigint>").alias("ids"), F.lit(True).alias("query")))
+             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).select(*out, F.lit(None).cast("array<bigint>").alias("ids"), "floor", F.lit(True).alias("query")))
     members = (postings.join(F.broadcast(blocks), at).withColumn("j", F.pmod(F.xxhash64("k2"), "nm").cast("int"))
-               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select(*out, "ids", F.lit(False).alias("query")))
+               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select(*out, "ids", F.lit(0.0).alias("floor"), F.lit(False).alias("query")))
     found_schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("entry", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
     found = asked.unionByName(members).groupBy(*at, "i", "j").applyInArrow(_search(found_schema, top + 1), "k1 bigint, k2 bigint, entry bigint, ids array<bigint>, score double")
 
