@@ -119,7 +119,12 @@ class Index:
         return np.concatenate([v / np.linalg.norm(v, axis=1, keepdims=True), np.zeros((len(v), 1))], axis=1)
 
     def walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of the ``width`` nearest found from each row, nearest first: best-first search, four nodes a step."""
+        """(centroids, distances) of the ``width`` nearest found from each row, nearest first."""
+        parts = [self._walk(x[a:a + 512], width) for a in range(0, max(1, len(x)), 512)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first search, four nodes a step."""
         c = self.centroids
         rows, n = len(x), len(c)
         width = min(width, n)
