@@ -143,11 +143,21 @@ def agent_by_id(summary: DataFrame, agent_id) -> DataFrame:
     return summary.where(F.col("agent_id") == F.lit(n))
 
 
+def _requested(ids: list) -> list[tuple]:
+    """(requested, id, valid); an id beyond 64 bits is valid, but no agent can have it."""
+    return [(str(i), n if n is not None and 0 <= n < 1 << 63 else None, n is not None and n >= 0)
+            for i, n in ((i, parse_int_js(i)) for i in ids)]
+
+
+def requested_ids(ids: list) -> list[int]:
+    """The ids that a lookup of ``ids`` has to look for."""
+    return sorted({n for _, n, _ in _requested(ids) if n is not None})
+
+
 def lookup_agents(summary: DataFrame, ids: list) -> DataFrame:
     """B7 for a list of requested ids: (requested, status, agent columns);
     status is found, missing or invalid, as the point lookup tells them apart."""
-    parsed = [(str(i), n if n is not None and 0 <= n < 1 << 63 else None, n is not None and n >= 0)
-              for i, n in ((i, parse_int_js(i)) for i in ids)]
+    parsed = _requested(ids)
     asked = summary.sparkSession.createDataFrame(parsed, "requested string, agent_id bigint, valid boolean")
     status = (F.when(~F.col("valid"), F.lit("invalid")).when(F.col("rank").isNull(), F.lit("missing")).otherwise(F.lit("found")))
     known = F.when(F.col("rank").isNotNull(), F.col("agent_id"))

@@ -80,3 +80,4 @@ from . import queries_meta  # noqa: E402,F401
 from . import queries_names  # noqa: E402,F401
 from . import queries_stream  # noqa: E402,F401
 from . import queries_run  # noqa: E402,F401
+from . import queries_index  # noqa: E402,F401

@@ -178,3 +178,75 @@ def upsert_cache(spark: SparkSession, root: str, new_rows: DataFrame, key: str)
     old = read_current(spark, root)
     merged = new_rows if old is None else old.join(new_rows.select(key), key, "left_anti").unionByName(new_rows)
     return write_version(merged, root)
+
+
+# ---------------------------------------------------------------------------
+# A cache in key buckets
+# ---------------------------------------------------------------------------
+
+CACHE_BUCKETS = 64
+
+
+def key_bucket(key: str, buckets: int = CACHE_BUCKETS):
+    """The bucket of a key: four hexadecimal digits of its MD5, modulo the number of buckets."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(buckets))
+
+
+def read_buckets(spark: SparkSession, root: str) -> DataFrame | None:
+    """The cache at ``root``, None before the first run; ``bucket`` is the partition column."""
+    path = f"{root.rstrip('/')}/rows"
+    fs, p = file_system(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None
+
+
+def upsert_buckets(spark: SparkSession, root: str, new_rows: DataFrame, key: str, fresh=None, buckets: int = CACHE_BUCKETS) -> list[int]:
+    """Replace rows by key and rewrite only the buckets that hold a new key.
+
+    ``new_rows`` (one row per key) are staged once; the buckets they fall into are read, rows
+    with the same key and rows that are not ``fresh`` any more (a condition on the cache's
+    columns) are left out, and Spark overwrites just these partitions when all tasks have
+    succeeded. A run that fails before leaves the old rows. Returns the rewritten buckets."""
+    base = root.rstrip("/")
+    incoming = f"{base}/_incoming/{new_run_id()}"
+    new_rows.withColumn("bucket", key_bucket(key, buckets)).write.parquet(incoming)
+    new = spark.read.parquet(incoming)
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets`` rows
+    old = read_buckets(spark, base)
+    rows = new
+    if old is not None and touched:
+        kept = old.where(F.col("bucket").isin(touched))  # a partition filter: no other bucket is read
+        kept = kept if fresh is None else kept.where(fresh)
+        rows = kept.join(new.select("bucket", key), ["bucket", key], "left_anti").select(*new.columns).unionByName(new)
+    if touched or old is None:
+        (rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(f"{base}/rows"))
+    fs, p = file_system(spark, incoming)
+    fs.delete(p, True)
+    return touched
+
+
+# ---------------------------------------------------------------------------
+# A summary laid out for point lookups
+# ---------------------------------------------------------------------------
+
+ROW_GROUP_BYTES = 1 << 20
+
+
+def write_by_id(summary: DataFrame, root: str, row_group_bytes: int = ROW_GROUP_BYTES) -> str:
+    """A version of the summary in id order: small row groups, whose bounds and Bloom filters on the id tell a
+    reader which of them can hold an agent."""
+    version = f"v={new_run_id()}"
+    (summary.repartitionByRange("agent_id").sortWithinPartitions("agent_id").write.mode("errorifexists")
+     .option("parquet.bloom.filter.enabled#agent_id", "true").option("parquet.block.size", str(row_group_bytes))
+     .option("parquet.block.size.row.check.min", "100").option("parquet.page.size.row.check.min", "100")
+     .parquet(f"{root.rstrip('/')}/{version}"))
+    put_text(summary.sparkSession, f"{root.rstrip('/')}/{POINTER}", version)
+    return version
+
+
+def read_by_id(spark: SparkSession, root: str, ids: list[int]) -> DataFrame:
+    """The stored rows of some agents: the ids are a Parquet filter, so row groups without any of them are not read."""
+    rows = read_current(spark, root, schema=AGENT_SUMMARY_SCHEMA)
+    if rows is None:
+        raise ValueError(f"nothing stored under {root}")
+    return rows.where(F.col("agent_id").isin([int(i) for i in ids])) if ids else rows.limit(0)
