@@ -15,6 +15,9 @@ from pyspark.sql import SparkSession
 _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # An offset is a caller's number: beyond this many rows a page comes from a
+    # distributed sort, not from a heap of offset + limit rows in every task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Decoded keys are long expressions over hex strings. Constraint
     # propagation would copy them into inferred IS NOT NULL filters, push
     # those below exchanges (evaluating the decoders twice) and spend seconds
