@@ -128,3 +128,32 @@ def sql_int128_low_word(word: str) -> str:
              f"WHEN {hi_hex} = 'ffffffffffffffff' THEN CAST({lo} - {two64} AS DOUBLE) "
              f"ELSE CAST({signed_hi} AS DOUBLE) * CAST(18446744073709551616 AS DOUBLE) + CAST({lo} AS DOUBLE) END")
     return f"CASE WHEN {low} RLIKE '^[0-9a-fA-F]{{32}}$' THEN {value} END"
+
+
+# ---------------------------------------------------------------------------
+# Dynamic tails by their offset words
+# ---------------------------------------------------------------------------
+
+def sql_tail_offset(data: str, word: str, head_words: int) -> str:
+    """The byte offset in ``word`` (a column of 64 digits) where a tail can begin: whole words behind the
+    head, with room for a length word; NULL otherwise."""
+    offset = sql_hex_digits_to_long(word)
+    room = f"CAST(length({data}) DIV 2 - 33 AS BIGINT)"
+    return f"CASE WHEN ({offset}) BETWEEN {32 * head_words} AND {room} AND ({offset}) % 32 = 0 THEN {offset} END"
+
+
+def sql_tail_length_word(data: str, offset: str) -> str:
+    return f"substring({data}, CAST(3 + 2 * {offset} AS INT), {WORD})"
+
+
+def sql_tail_end(data: str, offset: str, word: str) -> str:
+    """The byte behind a tail whose length word is ``word``, padded to whole words; NULL where the data ends before."""
+    length = sql_hex_digits_to_long(word)
+    # Compared with what is left behind the offset, so that a huge length cannot overflow.
+    left = f"CAST(length({data}) DIV 2 - 33 AS BIGINT) - {offset}"
+    return f"CASE WHEN ({length}) BETWEEN 0 AND {left} THEN {offset} + 32 + 32 * CAST((({length}) + 31) DIV 32 AS BIGINT) END"
+
+
+def sql_tail_text(data: str, offset: str, word: str) -> str:
+    length = sql_hex_digits_to_long(word)
+    return f"make_valid_utf8(CAST(unhex(substring({data}, CAST(3 + 2 * ({offset} + 32) AS INT), CAST(2 * ({length}) AS INT))) AS STRING))"

@@ -123,6 +123,35 @@ def decode_feedback(logs: DataFrame, since: str | None = None, ordered: bool = F
     return out.orderBy("created_at") if ordered else out
 
 
+#: The strings of a NewFeedback log and the head word that holds each one's offset.
+FEEDBACK_TEXTS = {"tag1": 3, "tag2": 4, "endpoint": 5, "feedback_uri": 6}
+FEEDBACK_HEAD = 8
+
+
+def decode_feedback_texts(logs: DataFrame, since: str | None = None) -> DataFrame:
+    """NewFeedback -> (agent_id, client_address, feedback_index, tag1, tag2, endpoint, feedback_uri,
+    created_at, feedback_tx), each string read where its offset word says, in any order of the tails.
+
+    A string is NULL where its offset does not point to a whole word behind the head, where its length goes
+    beyond the data, or where its tail shares bytes with another one; the others are decoded all the same."""
+    fb = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=3, topic0=TOPIC["NewFeedback"])
+    names = list(FEEDBACK_TEXTS)
+    keep = ["_agent", "_client", "_w0", "data", "block_timestamp", "transaction_hash"]
+    words = fb.selectExpr(f"{H.sql_hex_body('get(topics, 1)')} AS _agent", "get(topics, 2) AS _client", f"{H.sql_data_word('data', 0)} AS _w0",
+                          "data", "block_timestamp", "transaction_hash", *(f"{H.sql_data_word('data', i)} AS _o_{n}" for n, i in FEEDBACK_TEXTS.items()))
+    offsets = words.selectExpr(*keep, *(f"{H.sql_tail_offset('data', f'_o_{n}', FEEDBACK_HEAD)} AS _at_{n}" for n in names))
+    lengths = offsets.selectExpr(*keep, *(f"_at_{n}" for n in names), *(f"{H.sql_tail_length_word('data', f'_at_{n}')} AS _len_{n}" for n in names))
+    ends = lengths.selectExpr(*keep, *(f"_{x}_{n}" for n in names for x in ("at", "len")),
+                              *(f"{H.sql_tail_end('data', f'_at_{n}', f'_len_{n}')} AS _end_{n}" for n in names))
+
+    def alone(n: str) -> str:
+        return " AND ".join(f"NOT coalesce(_at_{n} < _end_{m} AND _at_{m} < _end_{n}, false)" for m in names if m != n)
+    texts = [f"CASE WHEN _end_{n} IS NOT NULL AND {alone(n)} THEN {H.sql_tail_text('data', f'_at_{n}', f'_len_{n}')} END AS {n}" for n in names]
+    return ends.selectExpr(f"{H.sql_hex_digits_to_long('_agent')} AS agent_id", f"{H.sql_topic_to_address('_client')} AS client_address",
+                           f"{H.sql_hex_digits_to_long('_w0')} AS feedback_index", *texts,
+                           "block_timestamp AS created_at", "transaction_hash AS feedback_tx")
+
+
 def decode_revocations(logs: DataFrame, since: str | None = None) -> DataFrame:
     """FeedbackRevoked -> (agent_id, client_address, feedback_index, revoked_at)."""
     rv = scan_logs(logs, REPUTATION_REGISTRY, since, min_topics=4, topic0=TOPIC["FeedbackRevoked"])

@@ -68,7 +68,12 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
                                          F.lit(True).alias("_found")), "resolved_uri", "left")
                .select("token_uri", "resolved_uri", "_text", F.lit(False).alias("_inline"),
                        F.coalesce("_found", F.lit(False)).alias("_found")))
-    parsed = (inline.unionByName(fetched)
+    return _records(inline.unionByName(fetched), as_of)
+
+
+def _records(found: DataFrame, as_of: Column) -> DataFrame:
+    """(token_uri, resolved_uri, _text, _inline, _found) -> metadata records."""
+    parsed = (found
               .withColumn("_v", parse_json_or_null(F.col("_text")))
               .withColumns({"_obj": as_object(F.col("_v")), "_arr": as_array(F.col("_v"))})
               .withColumn("_truthy", F.expr(sql_is_truthy_root("_v", "_obj", "_arr"))))
@@ -90,6 +95,63 @@ def fetch_metadata(uris: DataFrame, documents: DataFrame, as_of: Column) -> Data
     )
 
 
+# ---------------------------------------------------------------------------
+# Documents stored in buckets: enrichment without a shuffle of bodies
+# ---------------------------------------------------------------------------
+
+DOCUMENT_BUCKETS = 64
+
+
+def store_documents(documents: DataFrame, table: str, buckets: int = DOCUMENT_BUCKETS) -> None:
+    """Write (uri, body) as a table in buckets of ``uri_key`` (SHA-256 of the URI), sorted by it: the one shuffle of
+    bodies, paid when documents arrive. ``buckets`` should fit the table's size; a join has as many tasks."""
+    (documents.select(F.sha2("uri", 256).alias("uri_key"), "uri", "body").repartition(buckets, "uri_key")
+     .write.mode("overwrite").bucketBy(buckets, "uri_key").sortBy("uri_key").saveAsTable(table))
+
+
+def fetch_stored(uris: DataFrame, table: str, as_of: Column) -> DataFrame:
+    """``fetch_metadata`` from a table of ``store_documents``: the URIs go to the documents' buckets by hash, bodies
+    are read where they lie. A URI shared by many agents is one row per task before it moves."""
+    u = uris.select("token_uri").where(F.col("token_uri").isNotNull()).distinct()
+    inline = u.where(is_data_uri("token_uri")).select(
+        "token_uri", F.col("token_uri").alias("resolved_uri"), data_uri_text("token_uri").alias("_text"),
+        F.lit(True).alias("_inline"), F.lit(True).alias("_found"))
+    resolved = resolve_uri("token_uri")
+    remote = u.where(~is_data_uri("token_uri")).select("token_uri", resolved.alias("resolved_uri"), F.sha2(resolved, 256).alias("uri_key"))
+    bodies = uris.sparkSession.table(table).select("uri_key", F.col("body").alias("_text"), F.lit(True).alias("_found"))
+    # Merge keeps both sides in place; a broadcast of URIs is Spark's choice where they are few.
+    found = remote.hint("merge").join(bodies, "uri_key", "left").select(
+        "token_uri", "resolved_uri", "_text", F.lit(False).alias("_inline"), F.coalesce("_found", F.lit(False)).alias("_found"))
+    return _records(inline.unionByName(found), as_of)
+
+
+def enrichment_run(summary: DataFrame, table: str, cache_root: str, as_of: Column, top: int | None = None) -> DataFrame:
+    """P9 through files: returns the results (agent_id, token_uri, x402, error, from_cache) and brings the cache in
+    ``cache_root`` up to date. What is fetched is parsed once and staged for both."""
+    from ..session import checkpoint_dir
+    from ..sources.snapshot import new_run_id, read_buckets, upsert_buckets
+    spark = summary.sparkSession
+    cache = read_buckets(spark, cache_root)
+    targets = enrich_targets(summary, top)
+    uris = targets.select("token_uri").distinct()
+    columns = [c for c in METADATA_COLUMNS if c != "raw"]
+    hits = None
+    if cache is not None:
+        hits = fresh_entries(cache, as_of).join(uris, "token_uri", "left_semi").select(*columns)
+        uris = refetch_candidates(uris, cache, as_of)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/enrichment-{new_run_id()}"
+    fetch_stored(uris, table, as_of).select(*columns).write.parquet(f"{base}/fetched")
+    fetched = spark.read.parquet(f"{base}/fetched")
+    known = fetched.withColumn("from_cache", F.lit(False))
+    if hits is not None:  # before the cache's files change
+        hits.write.parquet(f"{base}/hits")
+        known = known.unionByName(spark.read.parquet(f"{base}/hits").withColumn("from_cache", F.lit(True)))
+    alive = as_of <= expires_at(F.col("fetched_at"), F.col("error"))
+    upsert_buckets(spark, cache_root, fetched, "token_uri", alive)
+    return targets.join(known.select("token_uri", "x402", "error", "from_cache"), "token_uri", "left").select(
+        "agent_id", "token_uri", "x402", "error", "from_cache")
+
+
 def batch_enrich(items: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:
     """K4: (agent_id, token_uri) -> (agent_id, token_uri, x402, error), one
     output row per input; a missing URI gives ('', false, 'no tokenURI')."""

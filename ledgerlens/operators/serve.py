@@ -239,6 +239,57 @@ def stats_document(summary: DataFrame, as_of: str, source: str = "live") -> Data
                     "computed_at", "activity_series"))
 
 
+# Statistics from additive parts (G10-G13): one grouped table that merges.
+
+_PARTS = ["kind", "day", "score", "agents", "rated", "with_uri", "x402", "feedback"]
+
+
+def stats_parts(summary: DataFrame, sign: int = 1) -> DataFrame:
+    """(kind, day, score, counts): one pass over the agents, grouped by registration day, by score and not at all.
+
+    With ``sign=-1`` the parts of agents that leave; ``merge_parts`` adds tables up."""
+    one = F.lit(int(sign)).cast("bigint")
+    def total(cond):
+        return F.sum(F.when(cond, one).otherwise(F.lit(0).cast("bigint")))
+    grouped = (summary.select("*", F.to_date("registered_at").alias("day"), F.col("reputation_score").alias("score"))
+               .groupingSets([["day"], ["score"], []], "day", "score"))
+    kind = F.when(F.grouping("day") == 0, "day").when(F.grouping("score") == 0, "score").otherwise("all")
+    return grouped.agg(kind.alias("kind"), F.sum(one).alias("agents"), total(F.col("feedback_count") > 0).alias("rated"),
+                       total(F.col("token_uri").isNotNull()).alias("with_uri"), total(F.col("x402")).alias("x402"),
+                       F.sum(F.col("feedback_count") * one).alias("feedback")).select(*_PARTS)
+
+
+def merge_parts(*tables: DataFrame) -> DataFrame:
+    """The sum of parts; groups that no agent is left in go."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.groupBy("kind", "day", "score").agg(*(F.sum(c).alias(c) for c in _PARTS[3:])).where(F.col("agents") != 0).select(*_PARTS)
+
+
+def stats_from_parts(parts: DataFrame, as_of: str, computed_at: Column, source: str = "live", days: int = STATS_SERIES_DAYS) -> DataFrame:
+    """The stats document (histogram and series as JSON text) from ``stats_parts`` alone."""
+    def count(c):
+        return F.coalesce(F.sum(F.when(F.col("kind") == "all", F.col(c))), F.lit(0)).cast("bigint")
+    scored = F.when(F.col("kind") == "score", F.col("score"))
+    bucket = _bucket(scored)
+    hist = F.create_map(*[x for i in range(10) for x in (F.lit(f"{i * 10}-{i * 10 + 10}"),
+                                                         F.coalesce(F.sum(F.when(bucket == i, F.col("agents"))), F.lit(0)).cast("bigint"))])
+    cutoff = as_of_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    # The first day of the window counts from its hour on in ``activity_series``; whole days only here.
+    recent = (F.col("kind") == "day") & (F.col("day").cast("timestamp") >= cutoff)
+    series = F.array_sort(F.collect_list(F.when(recent, F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), F.col("agents").alias("count")))))
+    # Scores have four decimals, so their sum is exact.
+    mean = F.sum(scored.cast("decimal(20,4)") * F.when(F.col("kind") == "score", F.col("agents"))).cast("double") / count("agents")
+    return parts.agg(
+        F.lit(source).alias("source"), count("agents").alias("total_agents"), count("rated").alias("rated_agents"),
+        count("with_uri").alias("with_token_uri"), count("x402").alias("x402_count"), count("feedback").alias("total_feedback"),
+        F.coalesce(F.greatest(F.max(scored), F.lit(0.0)), F.lit(0.0)).alias("top_score"),
+        F.when(count("agents") > 0, round_half_up(mean, 2)).otherwise(F.lit(0.0)).alias("avg_score"),
+        F.when(count("agents") > 0, computed_at).alias("computed_at"),
+        F.to_json(hist).alias("score_distribution"), F.to_json(series).alias("activity_series"))
+
+
 def tier_summary(summary: DataFrame) -> DataFrame:
     """Agents and mean feedback count per score tier."""
     return (summary.groupBy(score_tier("reputation_score").alias("tier"))

@@ -1,12 +1,14 @@
-"""Stored layouts: pages by position, trigram search, ranks by counting, cache buckets, lookups by id, client sketches."""
+"""Stored layouts and mergeable states: pages by position, trigram search, ranks by counting, cache buckets, lookups by id,
+client sketches, additive statistics, bucketed documents; strings by offset words."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG
+from ..config import AS_OF, DEFAULT_CONFIG
 from ..operators import clients as C
 from ..operators import decode as D
 from ..operators import metadata as M
@@ -15,11 +17,12 @@ from ..operators import serve as S
 from ..operators.paging import PagedSummary, write_paged
 from ..plans.summary import scored_agents
 from ..sources import snapshot as SN
-from ..sources.fixtures import metadata_documents
+from ..sources.fixtures import feedback_text_logs, metadata_documents, table
 from . import oracle as O
 from .catalog import logs, register
 from .queries_meta import _summary_with_meta, as_of, summary
 from .queries_run import ENRICHED, LOOKUPS, _root, enriched
+from .queries_serve import HIST_SQL, SERIES_SQL, unranked
 
 ROWS_PER_FILE = 400  # small, so that the given tables make several files
 
@@ -159,3 +162,52 @@ def clients_by_window(spark, sf):
     """Distinct clients of any window from daily states."""
     states = _staged(spark, C.client_states(D.decode_feedback(logs(spark, sf, mints=False))), "clients")
     return _union([C.clients_between(states, a, b).select(F.lit(i).alias("part"), "*") for i, (a, b) in enumerate(WINDOWS)])
+
+
+@register("feedback_texts", f"""WITH {O.FEEDBACK}
+SELECT agent_id, client_address, feedback_index, '0x' || sha256('ft:' || feedback_index) AS feedback_tx, created_at,
+  CASE WHEN feedback_index % 10 NOT IN (4, 6) THEN event_type END AS tag1,
+  CASE WHEN feedback_index % 10 NOT IN (2, 7) THEN 't' || feedback_index END AS tag2,
+  CASE WHEN feedback_index % 10 NOT IN (3, 4) THEN 'https://agents.example.org/feedback/endpoint/' || feedback_index END AS endpoint,
+  CASE WHEN feedback_index % 10 NOT IN (5, 8) THEN 'ipfs://' || sha256(feedback_index::VARCHAR) END AS feedback_uri
+FROM fb JOIN (SELECT event_id AS feedback_index, event_type FROM events) USING (feedback_index)""")
+def feedback_texts(spark, sf):
+    """The four strings of a feedback by their offset words, odd and hostile ones among them."""
+    return D.decode_feedback_texts(feedback_text_logs(table(spark, sf, "events")))
+
+
+REVOKED = O.SUMMARY.replace("FROM events)", "FROM events WHERE event_id % 50 <> 0)")
+
+
+@register("stats_from_parts", f"""WITH {REVOKED}, {HIST_SQL}, {SERIES_SQL}
+SELECT 'live' AS source, CAST(count(*) AS BIGINT) AS total_agents, CAST(count(*) FILTER (WHERE feedback_count > 0) AS BIGINT) AS rated_agents,
+  CAST(count(token_uri) AS BIGINT) AS with_token_uri, CAST(count(*) FILTER (WHERE x402) AS BIGINT) AS x402_count,
+  CAST(COALESCE(sum(feedback_count), 0) AS BIGINT) AS total_feedback, COALESCE(greatest(max(reputation_score), 0.0), 0.0) AS top_score,
+  COALESCE(CAST(round(CAST(avg(reputation_score) AS DECIMAL(38,9)), 2) AS DOUBLE), 0.0) AS avg_score, max(computed_at) AS computed_at,
+  (SELECT '{{' || string_agg('"' || l.label || '":' || COALESCE(c.n, 0), ',' ORDER BY l.bucket) || '}}'
+   FROM labels l LEFT JOIN counts c USING (bucket)) AS score_distribution,
+  (SELECT COALESCE('[' || string_agg('{{"date":"' || date || '","count":' || count || '}}', ',' ORDER BY date) || ']', '[]') FROM series) AS activity_series
+FROM summary""")
+def stats_from_parts(spark, sf):
+    """The statistics after revocations, from the parts of all agents and those of the changed ones."""
+    before = _staged(spark, unranked(spark, sf), "before")
+    parts = _staged(spark, S.stats_parts(before), "parts")
+    revoked = logs(spark, sf, revocations=True)
+    hit = D.decode_revocations(revoked).select("agent_id").distinct()
+    after = (scored_agents(revoked, DEFAULT_CONFIG).join(hit, "agent_id", "left_semi")
+             .withColumn("x402", F.lit(False)).withColumn("computed_at", as_of()))
+    after = _staged(spark, after, "after")
+    gone = before.join(after.select("agent_id"), "agent_id", "left_semi")
+    return S.stats_from_parts(S.merge_parts(parts, S.stats_parts(gone, -1), S.stats_parts(after)), AS_OF, as_of())
+
+
+@register("enrichment_runs", _summary_with_meta() + """,
+uris AS (SELECT token_uri, any_value(error) AS error, min(rank) AS best FROM tmeta GROUP BY token_uri)
+SELECT t.agent_id, t.token_uri, t.x402, t.error, u.best <= 100 AND u.error IS NULL AS from_cache FROM tmeta t JOIN uris u USING (token_uri)""")
+def enrichment_runs(spark, sf):
+    """Two runs over documents in buckets and a cache in buckets, half an hour apart."""
+    s = _staged(spark, summary(spark, sf), "summary")
+    name, cache = f"documents_{uuid.uuid4().hex[:8]}", _root(spark, "metadata")
+    M.store_documents(metadata_documents(spark, sf), name, 16)
+    M.enrichment_run(s, name, cache, as_of() - F.expr("INTERVAL 30 MINUTES"), 100)
+    return M.enrichment_run(s, name, cache, as_of())

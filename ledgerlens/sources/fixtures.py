@@ -177,6 +177,44 @@ def feedback_logs(events: DataFrame, signed: bool = False) -> DataFrame:
     ))
 
 
+def feedback_text_logs(events: DataFrame) -> DataFrame:
+    """NewFeedback logs with four strings: event type, t<event_id>, an endpoint of several words, an ipfs:// URI.
+
+    event_id % 10 tells what is odd: 1 tails in reverse order, 2 offset of tag2 2^255, 3 offset of the endpoint
+    behind the data, 4 endpoint at the offset of tag1, 5 length of the URI 2^31, 6 offset of tag1 inside the head,
+    7 length of tag2 beyond 64 bits, 8 offset of the URI not a whole word."""
+    e = F.col("event_id")
+    s = e.cast("string")
+    r = e % 10
+    texts = [F.col("event_type"), F.concat(F.lit("t"), s), F.concat(F.lit("https://agents.example.org/feedback/endpoint/"), s),
+             F.concat(F.lit("ipfs://"), F.sha2(s, 256))]
+    sizes = [32 + 32 * F.ceil(F.octet_length(t) / F.lit(32)).cast("bigint") for t in texts]
+    tails = [abi_string_tail(t) for t in texts]
+    forth, back, at = [], [None] * 4, F.lit(256).cast("bigint")
+    for size in sizes:
+        forth.append(at)
+        at = at + size
+    at = F.lit(256).cast("bigint")
+    for i in (3, 2, 1, 0):
+        back[i] = at
+        at = at + sizes[i]
+    o = [uint_word(F.when(r == 1, b).otherwise(f)) for f, b in zip(forth, back)]
+    o[0] = F.when(r == 6, uint_word(F.lit(224))).otherwise(o[0])
+    o[1] = F.when(r == 2, F.lit("8" + "0" * 63)).otherwise(o[1])
+    o[2] = F.when(r == 3, uint_word(at)).when(r == 4, uint_word(F.lit(256))).otherwise(o[2])
+    o[3] = F.when(r == 8, uint_word(forth[3] + 1)).otherwise(o[3])
+    long_word = F.lit("0" * 40 + "f" * 24)
+    tails[1] = F.when(r == 7, F.concat(long_word, F.substr(tails[1], F.lit(65)))).otherwise(tails[1])
+    tails[3] = F.when(r == 5, F.concat(uint_word(F.lit(1 << 31)), F.substr(tails[3], F.lit(65)))).otherwise(tails[3])
+    body = F.when(r == 1, F.concat(*reversed(tails))).otherwise(F.concat(*tails))
+    data = F.concat(F.lit("0x"), uint_word(e), uint_word(F.lit(1)), uint_word(F.lit(0)), *o, F.sha2(F.concat(F.lit("fbhash:"), s), 256), body)
+    return events.select(*_log(
+        REPUTATION_REGISTRY,
+        [F.lit(TOPIC["NewFeedback"]), hex_topic(uint_word(F.col("user_id"))),
+         hex_topic(address_word(client_address(F.col("event_type")))), F.concat(F.lit("0x"), F.sha2(F.col("event_type"), 256))],
+        data, F.col("ts"), tx_hash("ft", e), 0))
+
+
 def revocation_logs(events: DataFrame) -> DataFrame:
     """FeedbackRevoked for every event_id % 50 = 0, one day after the feedback."""
     e = F.col("event_id")
