@@ -26,8 +26,10 @@ Set and shingle keys are 64-bit hashes.
 
 Defined results: null or empty text, or text without words: no shingles, a
 component of its own. A null doc_id stays a row of its own with a null
-component unless its set links it. Rows that repeat a doc_id with another text
-are one vertex. Extra columns are ignored. An empty table gives an empty result.
+component unless its set links it to one with an id. Rows that repeat a doc_id
+with another text are documents of their own (``jaccard_groups`` tells them
+apart by a hash of the text). A very long text is one row of shingle keys in a
+task, never cut. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,16 +47,17 @@ from .shingles import Shingler, mix64
 SKETCH_BITS = 18
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # as a fraction: the comparison stays in whole numbers
-HOT_SALTS = 64
 CENTRAL_ROUNDS = 1
 SLOTS = 256
-NAMELESS = 1 << 62
 
-_INFO = "doc_id bigint, n int, node bigint, slots binary, sketch array<int>"
-_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slots", pa.binary()),
+_INFO = "doc_id bigint, text_key bigint, n int, node bigint, slots binary, sketch array<int>"
+_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slots", pa.binary()),
                          ("sketch", pa.list_(pa.int32()))])
-_PREFIX = "token bigint, node bigint, n int, pos int, salt int"
-_PREFIX_ARROW = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("salt", pa.int32())])
+# A prefix row is packed before it travels: 47 bits of the shingle key, one that marks a frequent shingle, 16 of the position.
+# Shingles that share these bits are only compared in vain, and a position held at its largest value filters less.
+PLACES = 16
+_PREFIX = "key bigint, node bigint, n int"
+_PREFIX_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
 _shingler: dict[int, Shingler] = {}
 
@@ -91,11 +94,11 @@ def _describe(k: int):
                 slots.append(slot_counts(s) if len(s) else None)
                 np.add.at(sketch, _buckets(s), 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(slots, pa.binary()),
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(slots, pa.binary()),
                  pa.nulls(len(n), pa.list_(pa.int32()))], schema=_INFO_ARROW)
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([np.minimum(sketch, 2**31 - 1).astype(np.int32)], pa.list_(pa.int32()))], schema=_INFO_ARROW)
     return run
 
@@ -123,9 +126,10 @@ def _prefixes(k: int, num: int, den: int, sketch_var):
                 f = sketch[_buckets(s)]
                 order = np.lexsort((s, f))[:prefix_length(len(s), num, den)]
                 p = len(order)
-                out.append((s[order].view(np.int64), np.full(p, node, np.int64), np.full(p, len(s), np.int32),
-                            np.arange(p, dtype=np.int32),
-                            np.where(f[order] > hot, 1 + node % HOT_SALTS, 0).astype(np.int32)))
+                places = (1 << PLACES) - 1
+                key = (s[order] & ~np.uint64(2 * places + 1)) | ((f[order] > hot).astype(np.uint64) << np.uint64(PLACES)) \
+                    | np.minimum(np.arange(p), places).astype(np.uint64)
+                out.append((key.view(np.int64), np.full(p, node, np.int64), np.full(p, len(s), np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_PREFIX_ARROW)
     return run
@@ -195,17 +199,15 @@ class JaccardJoin:
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def _describe(self) -> None:
-        info = stage_table(self.spark, self.docs.mapInArrow(_describe(self.k), _INFO), "info")
+        info = stage_table(self.spark, self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(self.k), _INFO), "info")
         counts = (info.where("n < 0").select(F.posexplode("sketch").alias("bucket", "c"))
                   .where("c > 0").groupBy("bucket").agg(F.sum("c").alias("c")).collect())  # 2^SKETCH_BITS rows at most
         self.sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for r in counts:
             self.sketch[r["bucket"]] = r["c"]
-        self.info = info.where("n >= 0").select("doc_id", "n", "node", "slots")
-        # A set that only rows without an id hold takes part under a number above all ids.
-        nameless = F.lit(NAMELESS).bitwiseOR(F.col("node").bitwiseAND(F.lit(NAMELESS - 1)))
+        self.info = info.where("n >= 0").select("doc_id", "text_key", "n", "node", "slots")
         reps = self.info.where("node is not null").groupBy("node").agg(
-            F.coalesce(F.min("doc_id"), nameless).alias("rep"), F.first("n").alias("n"), F.first("slots").alias("slots"))
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slots").alias("slots"))
         self.reps = stage_table(self.spark, reps, "reps")
 
     def _shared_prefixes(self) -> DataFrame:
@@ -213,7 +215,13 @@ class JaccardJoin:
         share of the row's prefix that is shared (``central``)."""
         sketch = self.spark.sparkContext.broadcast(self.sketch)
         rows = self.docs.select("text").mapInArrow(_prefixes(self.k, self.num, self.den, sketch), _PREFIX)
-        w = W.partitionBy("token", "salt")
+        # Frequent shingles are kept whatever their rows and go by set; the others meet by shingle.
+        frequent = F.col("key").bitwiseAND(1 << PLACES) != 0
+        token = F.shiftrightunsigned("key", PLACES + 1)
+        rows = rows.repartition(F.when(frequent, F.xxhash64("node")).otherwise(token)).select(
+            F.when(frequent, F.xxhash64("node")).otherwise(token).alias("place"), token.alias("token"), "node", "n",
+            F.col("key").bitwiseAND((1 << PLACES) - 1).cast("int").alias("pos"), frequent.alias("frequent"))
+        w = W.partitionBy("place")
         by_size = w.orderBy("n", "node")
         rows = rows.withColumns({
             "lo": F.min("node").over(w), "hi": F.max("node").over(w), "rows": F.count(F.lit(1)).over(w),
@@ -224,7 +232,7 @@ class JaccardJoin:
         near = ((self.den * F.col("n_before") >= self.num * F.col("n")) | (self.den * F.col("n") >= self.num * F.col("n_after")))
         need = F.ceil(F.lit(self.num) * (F.col("n") + F.coalesce("n_before", "n_after")) / F.lit(self.num + self.den))
         pair = (F.col("rows") > 2) | (F.least(F.col("n") - F.col("pos"), "left") >= need)
-        shared = (rows.where((F.col("salt") > 0) | ((F.col("lo") != F.col("hi")) & near & pair))
+        shared = (rows.where(F.col("frequent") | ((F.col("lo") != F.col("hi")) & near & pair))
                   .select("token", "node", "n", "pos").dropDuplicates(["token", "node"]))
         shared = stage_table(self.spark, shared, "shared")
         length = F.col("n") - F.ceil(F.col("n") * self.num / F.lit(self.den)) + 1
@@ -262,15 +270,8 @@ class JaccardJoin:
         drop_staged(self.spark, sets, pairs)
         return links
 
-    def _components(self, links: DataFrame) -> DataFrame:
-        """(node, comp) for the nodes that links join; comp is a node's rep."""
-        a = self.reps.select(F.col("node").alias("src"), F.col("rep").alias("a"))
-        b = self.reps.select(F.col("node").alias("dst"), F.col("rep").alias("b"))
-        edges = links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        return connected_components(self.spark, edges)
-
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id), one row per document row."""
+        """The rows of ``jaccard_groups``."""
         self._describe()
         rows = self._shared_prefixes()
         links, done, comp = None, None, None
@@ -280,8 +281,8 @@ class JaccardJoin:
                 labelled = rows.select("token", "node", "n", "pos")
                 apart = F.col("a.node") != F.col("b.node")
             else:
-                labels = (self.reps.select("node", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-                          .select("node", F.coalesce("component", "rep").alias("comp")))
+                labels = (self.reps.select("node").join(comp.withColumnRenamed("id", "node"), "node", "left")
+                          .select("node", F.coalesce("component", "node").alias("comp")))
                 labelled = rows.select("token", "node", "n", "pos").join(labels, "node")
                 apart = F.col("a.comp") < F.col("b.comp") if step == CENTRAL_ROUNDS else F.col("a.comp") != F.col("b.comp")
             if step < CENTRAL_ROUNDS:  # each row with one central row of its shingle, another one each round
@@ -304,14 +305,23 @@ class JaccardJoin:
             found = self._verified(pairs)
             done = pairs if done is None else done.unionAll(pairs)
             links = found if links is None else links.unionAll(found)
-            comp = self._components(links)
-        out = (self.info.select("doc_id", "n", "node").join(self.reps.select("node", "rep"), "node", "left")
-               .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left"))
-        found = F.coalesce("component", "rep", "doc_id")
-        return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-                          F.when(found < NAMELESS, found).alias("component_id"))
+            comp = connected_components(self.spark, links)
+        # A component is known by one of its sets; its least id is looked up once per component.
+        comp = comp.withColumnRenamed("id", "node")
+        least = comp.join(self.reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+        joined = stage_table(self.spark, comp.join(least, "component"), "components")
+        out = self.info.join(self.reps.select("node", "rep"), "node", "left").join(joined, "node", "left")
+        return out.select("doc_id", "text_key", F.col("n").cast("bigint").alias("n_shingles"),
+                          F.coalesce("least", "rep", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
+
+
+def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, group) per row: ``text_key`` is xxhash64 of the text, ``group`` names
+    the component also where it has no id, and is null for texts without words."""
+    return JaccardJoin(spark, docs, k, threshold).run()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS,
                        threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    return JaccardJoin(spark, docs, k, threshold).run()
+    """(doc_id, n_shingles, component_id), one row per document row."""
+    return jaccard_groups(spark, docs, k, threshold).select("doc_id", "n_shingles", "component_id")
