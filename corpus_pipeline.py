@@ -8,11 +8,11 @@ ends a stage: see each function.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import read_table, stage_table
-from ledgerlens.llm.jaccard_join import jaccard_components
+from ledgerlens.llm.jaccard_join import jaccard_groups
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.quality import THRESHOLD, score_documents
 from ledgerlens.llm.secret_scan import redact
@@ -29,12 +29,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that repeat an id one stays;
-    rows without an id stay, as nothing names them."""
-    groups = jaccard_components(spark, docs.select("doc_id", "text"))
-    kept = stage_table(spark, groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group: the one with the smallest id (rows without an id last), then the smallest hash
+    of its text. A document is an id with a text: an id that repeats with another text is another document, and of
+    rows that repeat both one stays. Texts without words are linked with nothing, so all their rows stay."""
+    groups = jaccard_groups(spark, docs.select("doc_id", "text"))
+    first = groups.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first"))
+    kept = stage_table(spark, first.select("first.*").distinct(), "kept")
+    wordless = stage_table(spark, groups.where("group is null").select("doc_id", "text_key").distinct(), "wordless")
+    key = F.xxhash64("text")
+    # Packed, so that no column of the table can clash with the ones added here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", key).alias("id"), key.alias("text_key"),
+                       *(c for c in ("lang", "source", "n_chars") if c in docs.columns))
+
+    def among(keys):
+        named = keys.select(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", "text_key").alias("id"), "text_key")
+        return rows.join(named, ["nameless", "id", "text_key"], "left_semi")
+    # Spark keeps the first row of a partition's group before it shuffles.
+    once = Window.partitionBy("nameless", "id", "text_key").orderBy(*(c for c in ("lang", "source", "n_chars") if c in docs.columns))
+    one = among(kept).withColumn("at", F.row_number().over(once)).where("at = 1")
+    return one.select("row").unionAll(among(wordless).select("row")).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
