@@ -44,6 +44,21 @@ def test_one_of_each_group_stays(spark, seed):
     assert rows_of(kept) == rows_of(df.where(F.col("doc_id").isin(sorted(want))))
 
 
+@pytest.mark.parametrize("order", range(3))
+def test_no_text_goes_because_an_id_repeats(spark, order):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(2, a), (1, b), (1, a), (None, a), (None, a), (None, "only a row without an id says this"), (None, "ONLY a row without an id says this"),
+            (5, None), (5, None), (None, ""), (None, ""), (1 << 62, "an id beyond two to the power of sixty two"), (-3, "an id below zero is the smallest one"),
+            (1 << 62, "An id beyond two to the power of sixty two"), (9, b), (9, b)]
+    rows = [rows, rows[::-1], rows[5:] + rows[:5]][order]
+    df = clashing(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3))
+    kept = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, df, SF_SMALL).collect()]
+    words = [k for k in kept if k[1]]
+    assert sorted(k[1].lower() for k in words) == sorted({t.lower() for _, t in rows if t})  # every text once
+    assert {k for k in words if k[1] in (a, b)} == {(1, a), (1, b)} and (None, a) not in kept
+    assert sorted((k for k in kept if not k[1]), key=str) == sorted((r for r in rows if not r[1]), key=str)
+
+
 def test_secrets_are_masked(spark):
     documents = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
     out = {r["doc_id"]: r for r in P.secrets(spark, documents, SF_SMALL).collect()}
