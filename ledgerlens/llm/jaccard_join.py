@@ -49,6 +49,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # as a fraction: the comparison stays in whole numbers
 CENTRAL_ROUNDS = 1
 SLOTS = 256
+FEW_SLOTS, FEW = 64, 512  # sets of fewer shingles have fewer slots: what travels with a pair is a quarter
 
 _INFO = "doc_id bigint, text_key bigint, n int, node bigint, slots binary, sketch array<int>"
 _INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slots", pa.binary()),
@@ -82,6 +83,17 @@ def slot_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
 
 
+def few_slots(counts: np.ndarray) -> np.ndarray:
+    """Rows of SLOTS counts as rows of FEW_SLOTS: neighbouring slots added up, at most 255 again."""
+    return np.minimum(counts.reshape(len(counts), FEW_SLOTS, -1).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+
+
+def packed_slots(s: np.ndarray) -> bytes:
+    """What travels of ``slot_counts``."""
+    counts = slot_counts(s)
+    return few_slots(np.frombuffer(counts, np.uint8)[None]).tobytes() if len(s) < FEW else counts
+
+
 def _describe(k: int):
     def run(batches):
         shingler, sketch = _shingler_of(k), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -91,7 +103,7 @@ def _describe(k: int):
                 s = shingler.shingles(text)
                 n.append(len(s))
                 node.append(set_key(s) if len(s) else None)
-                slots.append(slot_counts(s) if len(s) else None)
+                slots.append(packed_slots(s) if len(s) else None)
                 np.add.at(sketch, _buckets(s), 1)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(slots, pa.binary()),
@@ -156,6 +168,25 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs(x.astype(np.int64) - y.astype(np.int64)).sum(axis=-1)
 
 
+def pair_bounds(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """``suffix_bound`` of pairs of ``packed_slots``, over the slots that both of a pair have."""
+    out = np.empty(len(xs), dtype=np.int64)
+    full = np.array([len(x) == SLOTS == len(y) for x, y in zip(xs, ys)])
+    for rows, width in ((np.flatnonzero(full), SLOTS), (np.flatnonzero(~full), FEW_SLOTS)):
+        sides = []
+        for side in (xs, ys):
+            counts = np.zeros((len(rows), width), dtype=np.uint8)
+            long = np.array([len(side[i]) > width for i in rows], dtype=bool)
+            for wide, pick in ((width, ~long), (SLOTS, long)):
+                rows_of = rows[pick]
+                if len(rows_of):
+                    part = np.frombuffer(b"".join(side[i] for i in rows_of), dtype=np.uint8).reshape(-1, wide)
+                    counts[pick] = part if wide == width else few_slots(part)
+            sides.append(counts)
+        out[rows] = suffix_bound(*sides)
+    return out
+
+
 def _suffix_filter(num: int, den: int):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
@@ -163,11 +194,11 @@ def _suffix_filter(num: int, den: int):
         for b in batches:
             if not len(b):
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in ("xs", "ys"))
+            apart = pair_bounds(b.column("xs").to_pylist(), b.column("ys").to_pylist())
             n = b.column("xn").to_numpy().astype(np.int64) + b.column("yn").to_numpy()
             need = -(-num * n // (num + den))
             pairs = pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], schema=schema)
-            yield pairs.filter(pa.array(suffix_bound(x, y) <= n - 2 * need))
+            yield pairs.filter(pa.array(apart <= n - 2 * need))
     return run
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.llm.components import connected_components
-from ledgerlens.llm.jaccard_join import SLOTS, jaccard_components, similar, slot_counts, suffix_bound
+from ledgerlens.llm.jaccard_join import SLOTS, jaccard_components, packed_slots, pair_bounds, similar, slot_counts, suffix_bound
 from ledgerlens.llm.shingles import Shingler
 from ledgerlens.llm.vector_join import near_duplicate_vectors, spanning_forest
 
@@ -93,6 +93,20 @@ def test_filters_never_reject_a_link():
         assert similar(x, y, 75, 100) == (100 * both >= 75 * (len(x) + len(y) - both))
 
 
+def test_packed_slots_never_reject_a_link():
+    rng = np.random.default_rng(2)
+    pairs = []
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 2 ** int(rng.choice([56, 63])), rng.integers(1, 1400)).astype(np.uint64))
+        y = np.unique(np.r_[rng.choice(x, max(1, int(len(x) * rng.uniform(0.4, 1)))), rng.integers(0, 2**63, rng.integers(0, 200)).astype(np.uint64)])
+        pairs.append((x, y))
+    bounds = pair_bounds([packed_slots(x) for x, _ in pairs], [packed_slots(y) for _, y in pairs])
+    assert len({len(packed_slots(s)) for p in pairs for s in p}) == 2
+    for (x, y), bound in zip(pairs, bounds):
+        assert bound <= len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+    assert len(pair_bounds([], [])) == 0
+
+
 def test_shingler_counts_words_as_the_rule_says():
     s = Shingler(5)
     for text in ("a b c d e f", "A  b\tc\nd e", "é É a b c", "one", "", None, "a\xa0b c d e f"):
