@@ -16,6 +16,9 @@ _BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
+# Spark then removes the shuffle files of a query when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 BITMAP_BITS = 1 << 24  # 2 MB, whatever the number of keys
@@ -33,9 +36,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the
-    lineage ends there, and a lost executor costs nothing that was staged."""
+    lineage ends there, and a lost executor costs nothing that was staged. The
+    shuffle files behind it go with the write; nothing reads them again."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     staged = spark.read.schema(df.schema).parquet(path)
     _paths[staged] = path
     return staged
