@@ -73,6 +73,7 @@ CUT = ((UUID, 36), *((f"(?i){w}", len(w)) for p in ALLOW[:2] for w in p.removepr
 MASK = "[SECRET]"
 
 _SPAN = "struct<start:int,ord:int,stop:int>"
+_RUN = "struct<start:int,ord:int,stop:int,m:string>"
 
 
 def _q(pattern: str) -> str:
@@ -80,19 +81,45 @@ def _q(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _located(found: str, rest: str, keep: str, ord_: int) -> str:
-    """Spans of the matches ``found`` (array of strings) between the pieces ``rest``."""
-    return f"""
-      IF(size({found}) = 0, CAST(array() AS array<{_SPAN}>),
-        aggregate(sequence(0, size({found}) - 1),
-          named_struct('at', 0, 'out', CAST(array() AS array<{_SPAN}>)),
-          (a, i) -> named_struct(
-            'at', a.at + length({rest}[i]) + length({found}[i]),
-            'out', IF({keep.replace('@match', f'{found}[i]')},
-                      array_append(a.out, named_struct('start', a.at + length({rest}[i]), 'ord', {ord_},
-                                                       'stop', a.at + length({rest}[i]) + length({found}[i]))),
-                      a.out)),
-          a -> a.out))"""
+def _bases(n: str, zero: str, value: str, join: str) -> str:
+    """What comes before each piece of ``w`` numbers i below ``n``, and before the end: the ``value`` of all smaller i,
+    joined. ``join`` is written with @a and @b, ``value`` with i."""
+    both = join.replace("@a", "a").replace("@b", f"({value})")
+    return f"""aggregate(sequence(0, CAST(({n} - 1) DIV w AS int)), array({zero}),
+        (bs, k) -> array_append(bs, aggregate(sequence(k * w, least({n}, (k + 1) * w) - 1), element_at(bs, -1), (a, i) -> {both})))"""
+
+
+def _running(n: str, zero: str, value: str, join: str, keep: str, row: str, kind: str) -> str:
+    """Array (of ``kind``) of ``row`` for each i below ``n`` for which ``keep`` holds; both may read a.at, the ``value``
+    of all smaller i, joined. Folded in pieces of about sqrt(n), so that no array is copied once per row."""
+    both = join.replace("@a", "a.at").replace("@b", f"({value})")
+    none = f"CAST(array() AS array<{kind}>)"
+    pieces = f"""flatten(transform(sequence(0, CAST(({n} - 1) DIV w AS int)), k -> aggregate(
+        sequence(k * w, least({n}, (k + 1) * w) - 1), named_struct('at', before[k], 'out', {none}),
+        (a, i) -> named_struct('at', {both}, 'out', IF({keep}, array_append(a.out, {row}), a.out)), a -> a.out)))"""
+    return f"""IF({n} = 0, {none}, transform(array(CAST(ceil(sqrt({n})) AS int)), w ->
+        transform(array({_bases(n, zero, value, join)}), before -> {pieces})[0])[0])"""
+
+
+def _located(found: str, rest: str, keep: str, ord_: int, text: bool = False) -> str:
+    """Spans of the matches ``found`` (array of strings) between the pieces ``rest``; with their ``text`` if asked for."""
+    start = f"a.at + length({rest}[i])"
+    shown, kind = (f", 'm', {found}[i]", _RUN) if text else ("", _SPAN)
+    row = f"named_struct('start', {start}, 'ord', {ord_}, 'stop', {start} + length({found}[i]){shown})"
+    return _running(f"size({found})", "0", f"length({rest}[i]) + length({found}[i])", "@a + @b", keep.replace("@match", f"{found}[i]"), row, kind)
+
+
+def _flags(spans: str, others: str, around: bool = False) -> str:
+    """For each of ``spans`` whether one of ``others`` contains it (``around``: whether it contains one of them).
+    Both are sorted into one sequence, along which the furthest end so far decides."""
+    sign, zero, join, test = ("-", "2147483647", "least(@a, @b)", "a.at <= ev[i].stop") if around else ("", "-1", "greatest(@a, @b)", "a.at >= ev[i].stop")
+    events = f"""array_sort(concat(
+        transform({others}, o -> named_struct('key', {sign}o.start, 'item', 0, 'stop', o.stop, 'nr', -1)),
+        transform({spans}, (o, nr) -> named_struct('key', {sign}o.start, 'item', 1, 'stop', o.stop, 'nr', nr))))"""
+    told = _running("size(ev)", zero, f"IF(ev[i].item = 0, ev[i].stop, {zero})", join, "ev[i].item = 1",
+                    f"named_struct('nr', ev[i].nr, 'yes', {test})", "struct<nr:int,yes:boolean>")
+    return f"""IF(size({spans}) = 0 OR size({others}) = 0, array_repeat(false, size({spans})),
+        transform(array({events}), ev -> transform(array_sort({told}), x -> x.yes))[0])"""
 
 
 def _some(s: str, patterns) -> str:
@@ -142,30 +169,40 @@ def scan(docs: DataFrame) -> DataFrame:
             ("segment", SEGMENT, f"{_some('@match', [p for p, _ in SEGMENT_CLASSES])} AND NOT @match RLIKE {_q(WORDS)}", SEGMENT_CLASSES)):
         df = df.withColumn("_found", F.expr(f"regexp_extract_all(_cut, {_q(pattern)}, 0)"))
         df = df.withColumn("_found_rest", F.expr(f"IF(size(_found) = 0, CAST(array() AS array<string>), split(_cut, {_q(pattern)}, -1))"))
-        df = df.withColumn("_runs", F.expr(_located("_found", "_found_rest", keep, len(KINDS) - 1)))
-        df = df.withColumn("_runs", F.expr("filter(_runs, r -> NOT exists(_base, b -> b.start <= r.start AND r.stop <= b.stop))"))
-        dense = _dense("substring(_t, r.start + 1, r.stop - r.start)", classes)
-        df = df.withColumn("_dense", F.expr(f"transform(_runs, r -> named_struct('run', r, 'start', r.start, 'd', {dense}))"))
+        df = df.withColumn("_runs", F.expr(_located("_found", "_found_rest", keep, len(KINDS) - 1, text=True)))
+        df = df.withColumn("_covered", F.expr(_flags("_runs", "_base")))
+        # Flags are zipped, not looked up: Spark may put a column's expression in its place, also inside a lambda.
+        df = df.withColumn("_runs", F.expr("transform(filter(arrays_zip(_runs, _covered), z -> NOT z._covered), z -> z._runs)"))
+        df = df.withColumn("_dense", F.expr(f"transform(_runs, r -> named_struct('run', r, 'd', {_dense('r.m', classes)}))"))
         df = df.withColumn(f"_{name}", F.expr(f"""transform(filter(_dense, x -> x.d.first >= 0), x -> named_struct('run', x.run, 'span', named_struct(
-            'start', x.start + x.d.first - {WINDOW - 1}, 'ord', {len(KINDS) - 1}, 'stop', x.start + x.d.last + 1)))"""))
-    path = f"""(substring(_t, w.run.start + 1, w.run.stop - w.run.start) RLIKE {_q(PATH)}
-        OR exists(_paths, p -> p.start <= w.run.start AND w.run.stop <= p.stop))"""
-    plain = "NOT exists(_segment, g -> w.run.start <= g.run.start AND g.run.stop <= w.run.stop)"
-    df = df.withColumn("_whole", F.expr(f"transform(filter(_whole, w -> NOT ({path} AND {plain})), w -> w.span)"))
-    added = """_whole, transform(filter(_segment, g -> NOT exists(_whole, w -> w.start <= g.span.start AND g.span.stop <= w.stop)), g -> g.span)"""
-    df = df.withColumn("secret_spans", F.expr(f"array_sort(concat(_base, {added}))"))
-    return df.drop("_t", "_base", "_paths", "_cut", "_found", "_found_rest", "_runs", "_dense", "_whole", "_segment", *(f"_{k}{s}" for k, _ in kinds for s in ("", "_rest")))
+            'start', x.run.start + x.d.first - {WINDOW - 1}, 'ord', {len(KINDS) - 1}, 'stop', x.run.start + x.d.last + 1)))"""))
+    df = df.withColumns({f"_{name}_runs": F.expr(f"transform(_{name}, x -> x.run)") for name in ("whole", "segment")})
+    df = df.withColumns({"_in_path": F.expr(_flags("_whole_runs", "_paths")), "_split": F.expr(_flags("_whole_runs", "_segment_runs", around=True))})
+    path = f"(z._whole.run.m RLIKE {_q(PATH)} OR z._in_path)"
+    df = df.withColumn("_whole", F.expr(f"transform(filter(arrays_zip(_whole, _in_path, _split), z -> NOT ({path} AND NOT z._split)), z -> z._whole.span)"))
+    df = df.withColumn("_parts", F.expr("transform(_segment, g -> g.span)"))
+    df = df.withColumn("_covered", F.expr(_flags("_parts", "_whole")))
+    df = df.withColumn("secret_spans", F.expr("array_sort(concat(_base, _whole, transform(filter(arrays_zip(_parts, _covered), z -> NOT z._covered), z -> z._parts)))"))
+    return df.drop("_t", "_base", "_paths", "_cut", "_found", "_found_rest", "_runs", "_dense", "_whole", "_segment", "_covered",
+                   "_whole_runs", "_segment_runs", "_in_path", "_split", "_parts", *(f"_{k}{s}" for k, _ in kinds for s in ("", "_rest")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by a mask; overlapping spans
     become one. Texts without spans stay as they are, null stays null."""
     spans = scan(docs)
-    masked = f"""aggregate(secret_spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> IF(s.start >= a.at,
-            named_struct('at', s.stop, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), '{MASK}')),
-            named_struct('at', greatest(a.at, s.stop), 'out', a.out)),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
+    # Spans in pieces of about sqrt(n); a piece works on the text from the end of what comes before it to its own end.
+    piece = f"""aggregate(sequence(k * w, least(size(secret_spans), (k + 1) * w) - 1),
+        named_struct('at', before[k], 'out', CAST(array() AS array<string>)),
+        (a, i) -> IF(secret_spans[i].start >= a.at,
+            named_struct('at', secret_spans[i].stop, 'out', concat(a.out, array(substring(sub, a.at - before[k] + 1, secret_spans[i].start - a.at), '{MASK}'))),
+            named_struct('at', greatest(a.at, secret_spans[i].stop), 'out', a.out)),
+        a -> array_join(a.out, ''))"""
+    pieces = f"""transform(sequence(0, size(before) - 2), k ->
+        transform(array(substring(text, before[k] + 1, before[k + 1] - before[k])), sub -> {piece})[0])"""
+    masked = f"""transform(array(CAST(ceil(sqrt(size(secret_spans))) AS int)), w ->
+        transform(array({_bases("size(secret_spans)", "0", "secret_spans[i].stop", "greatest(@a, @b)")}), before ->
+            concat(array_join({pieces}, ''), substring(text, element_at(before, -1) + 1)))[0])[0]"""
     return spans.withColumn("text", F.expr(f"IF(text IS NULL OR size(secret_spans) = 0, text, {masked})")).drop("secret_spans")
 
 
