@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stage_table
+from .common import least_hashed, prepare, stage_table
 
 # Fixed values of the result contract: (host, path prefix, verdict).
 RULES = (
@@ -198,7 +198,8 @@ def train(spark: SparkSession, ruled: DataFrame, n_rows: int = TRAIN_ROWS):
     n, allowed = F.count(F.lit(1)).cast("double"), F.sum("y").cast("double")
     stats = stage_table(spark, labelled.select(F.explode(F.array_distinct(levels)).alias("suffix"), "y").groupBy("suffix")
                         .agg(((allowed + PRIOR * share) / (n + PRIOR)).alias("p"), n.alias("n")), "suffixes")
-    rows = labelled.select("url", "host", "path", "y").orderBy(F.xxhash64("url"), "url").limit(n_rows).collect()
+    # By url and page, so that one url on many pages does not fill the sample.
+    rows = least_hashed(labelled.select("url", "host", "path", "y", "page_id"), ["url", "page_id"], n_rows, total[0]).collect()
     x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], stats, share)
     return stats, share, BoostedTrees().fit(x, np.array([r["y"] for r in rows], dtype=float))
 
