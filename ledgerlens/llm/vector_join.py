@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stage_table
+from .common import least_hashed, prepare, stage_table
 from .components import connected_components
 
 THRESHOLD = 0.98
@@ -147,7 +147,7 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     sizes = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
     n_pivots = int(min(MAX_PIVOTS, max(1, sizes[0] // (CELL_ROWS * max(1, sizes[1])))))
     pivots: dict[int, list] = {}
-    for r in reps.orderBy(F.xxhash64("rep", "label")).limit(n_pivots).select("dim", "vec").collect():
+    for r in least_hashed(reps, ["rep", "label"], n_pivots, sizes[0]).select("dim", "vec").collect():
         pivots.setdefault(r["dim"], []).append(r["vec"])
     pivot_var = spark.sparkContext.broadcast({d: _unit(np.array(v, dtype=np.float64)) for d, v in pivots.items()})
     cells = stage_table(spark, reps.select("rep", "label", "dim", "copies", "vec").mapInArrow(_assign(pivot_var, radius), _CELLS), "cells")
