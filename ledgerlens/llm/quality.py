@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, prepare
+from .common import fold_of, least_hashed, prepare
 
 TRAIN_DOCS = 5000  # the documented bound of the labelled sample
 BUCKETS = 1 << 15
@@ -154,6 +154,13 @@ def fit_network(x: np.ndarray, y: np.ndarray, model: QualityModel) -> QualityMod
     return model
 
 
+def _tokens(batches):
+    schema = pa.schema([("quality", pa.int32()), ("o", pa.int64()), ("tokens", pa.binary())])
+    for b in batches:
+        tokens = [token_buckets(t).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("o"), pa.array(tokens, pa.binary())], schema=schema)
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> QualityModel:
     """``labels`` (doc_id, quality) without the held-out fold. Shares are counted
     over all labels; ``n_docs`` ids at most, then their texts, are collected."""
@@ -164,17 +171,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_docs: int =
         return QualityModel(None, constant=float(next(iter(shares))) if total else 0.5)
     sample = None
     for q in (0, 1):
-        some = labels.where(F.col("quality") == q).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs // 2)
+        some = least_hashed(labels.where(F.col("quality") == q).select("doc_id", "quality"), ["doc_id"], n_docs // 2, shares[q])
         sample = some if sample is None else sample.unionAll(some)
     # At most n_docs rows of two numbers: the bound of this broadcast.
-    rows = docs.join(F.broadcast(sample), "doc_id").select("quality", "text", F.xxhash64("doc_id").alias("o")).toLocalIterator()
-    ids, y, order = [], [], []
-    for r in rows:
-        ids.append(token_buckets(r["text"]))
-        y.append(float(r["quality"]))
-        order.append(r["o"])
-    at = np.argsort(np.array(order, dtype=np.int64), kind="stable")
-    ids, y = [ids[i] for i in at], np.array(y)[at]
+    texts = docs.join(F.broadcast(sample), "doc_id").select(F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("o"), "text")
+    # Tokens are cut in the tasks; two bytes a token reach the driver, all in one job.
+    rows = texts.mapInArrow(_tokens, "quality int, o bigint, tokens binary").toArrow().sort_by([("o", "ascending"), ("quality", "ascending"), ("tokens", "ascending")])
+    ids = [np.frombuffer(t, dtype=np.uint16).astype(np.int32) for t in rows["tokens"].to_pylist()]
+    y = rows["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return QualityModel(None, constant=shares[1] / total)
     model = QualityModel(word_vectors(ids))
