@@ -61,8 +61,22 @@ def trigram_buckets(text: str) -> np.ndarray:
     return (h >> np.uint64(49)).astype(np.int64)
 
 
+def _count(batches):
+    """Trigram counts of a task's texts by language."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("c", pa.int64())])
+    sums: dict[str, np.ndarray] = {}
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+            np.add.at(sums[lang], trigram_buckets(text), 1)
+    for lang, c in sums.items():
+        some = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some])], schema=schema)
+
+
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> LanguageModel:
-    """Fit from ``docs`` (doc_id, text, lang); one row per language is collected, then the sample, streamed."""
+    """Fit from ``docs`` (doc_id, text, lang); one row per language is
+    collected, then the sample's trigram counts (languages x BUCKETS at most), summed in Spark."""
     rows = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -75,8 +89,10 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> LanguageModel:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     counts = np.zeros((BUCKETS, len(langs)))
     at = {lang: i for i, lang in enumerate(langs)}
-    for r in rows.where(draw < share).select("lang", "text").toLocalIterator():
-        counts[:, at[r["lang"]]] += np.bincount(trigram_buckets(r["text"]), minlength=BUCKETS)
+    sums = (rows.where(draw < share).select("lang", "text").mapInArrow(_count, "lang string, bucket int, c bigint")
+            .groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow())
+    lang = np.array([at[v] for v in sums["lang"].to_pylist()], dtype=np.int64)
+    counts[sums["bucket"].to_numpy(), lang] = sums["c"].to_numpy()
     counts += 0.5 * counts.sum(axis=1, keepdims=True) / max(1.0, counts.sum()) + 1e-2
     return LanguageModel(langs, counts / counts.sum(axis=0))
 
