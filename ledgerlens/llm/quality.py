@@ -159,6 +159,7 @@ def _tokens(batches):
     for b in batches:
         tokens = [token_buckets(t).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("o"), pa.array(tokens, pa.binary())], schema=schema)
+    _buckets.clear()
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> QualityModel:
@@ -198,6 +199,7 @@ def _score(model_var, name: str):
                 x = np.stack([pooled(m.words, token_buckets(t)) for t in b.column("text").to_pylist()]) if len(b) else np.zeros((0, DIM + 1))
                 s = _sigmoid(_logits(m, x) / m.temperature + m.offset)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
+        _buckets.clear()  # a worker goes on to other stages; what it remembers is for one task
     return run
 
 
