@@ -59,13 +59,6 @@ PLACES = 16
 _PREFIX = "key bigint, node bigint, n int"
 _PREFIX_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
-_shingler: dict[int, Shingler] = {}
-
-
-def _shingler_of(k: int) -> Shingler:
-    return _shingler.setdefault(k, Shingler(k))
-
-
 def set_key(s: np.ndarray) -> int:
     """64-bit key of a sorted set of shingle keys."""
     with np.errstate(over="ignore"):
@@ -84,7 +77,7 @@ def slot_counts(s: np.ndarray) -> bytes:
 
 def _describe(k: int):
     def run(batches):
-        shingler, sketch = _shingler_of(k), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        shingler, sketch = Shingler(k), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
             n, node, slots = [], [], []
             for text in b.column("text").to_pylist():
@@ -109,7 +102,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def _prefixes(k: int, num: int, den: int, sketch_var):
     def run(batches):
-        shingler, sketch, seen = _shingler_of(k), sketch_var.value, set()
+        shingler, sketch, seen = Shingler(k), sketch_var.value, set()
         mean = sketch.mean()
         hot = mean + 10 * mean ** 0.5 + 100_000
         for b in batches:
@@ -139,7 +132,7 @@ def _sets(k: int, bitmap_var):
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        shingler = _shingler_of(k)
+        shingler = Shingler(k)
         bits = np.frombuffer(bitmap_var.value, dtype=np.uint8)
         for b in batches:
             at = b.column("bit").to_numpy(zero_copy_only=False)
