@@ -1,19 +1,19 @@
-"""Incremental reputation refresh on Structured Streaming.
+"""Incremental reputation refresh on Structured Streaming, by additive parts.
 
 The stream decodes all four event kinds (registrations, URI updates, feedback,
-revocations). Its state has two tables, both dealt into buckets by agent:
+revocations). A micro-batch appends to two tables and rewrites nothing:
 
-* ``events``: the decoded events, one row per log, keyed by
-  (transaction_hash, log_index);
-* ``agents``: one row per agent with its identity and the mergeable sums of its
-  feedback that no revocation names.
+* ``events`` (by kind, month and batch): the decoded events that no earlier batch
+  had, keyed by (transaction_hash, log_index);
+* ``parts`` (by batch): what the batch adds to the sums of each (agent, client,
+  time of feedback). Feedback that some revocation names adds nothing;
+  a revocation of feedback that earlier batches counted subtracts it again.
 
-A micro-batch touches the buckets of its agents only. Each is merged with its
-events by key, so a log that arrives twice, late or in a replayed batch counts
-once, in whatever order files come, and nothing is dropped by age. The agents
-of the touched buckets are then computed anew from their events. Merged
-buckets go to new folders; a manifest (one line per bucket), written aside and
-renamed, makes them current, so a failure in between leaves the old state.
+A log that arrives twice, late or in a replayed batch counts once, in whatever
+order files come, and nothing is dropped by age. A log keeps its time, so a batch
+looks for its own logs in the stored keys of its months only; stored feedback is
+read only for new revocations. Each batch overwrites its own partitions and reads
+only those of others, so a batch that failed half-way and runs again ends the same.
 
 The decay weight factorises over whole days:
     0.5^((T - d)/H) = 0.5^((T - A)/H) * 0.5^((A - d)/H)
@@ -23,7 +23,7 @@ anchored sums by one scalar factor.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +36,19 @@ from ..operators.latest import earliest_per_key, latest_per_key
 from ..operators.rank import rank_agents
 from ..operators.score import as_of_col, score_agents
 from ..sources.logs import LOG_SCHEMA
-from ..sources.snapshot import file_system, get_text, put_text
+from ..sources.snapshot import file_system
 
 ANCHOR = "2024-01-01"
-BUCKETS = 64
 
 EVENT_KEY = ["transaction_hash", "log_index"]
-EVENT_COLUMNS = ["kind", "agent_id", "client_address", "feedback_index", "score", "owner_address", "uri", "at", *EVENT_KEY]
+VOTE_KEY = ["agent_id", "client_address", "feedback_index"]
+EVENT_COLUMNS = [*VOTE_KEY, "score", "owner_address", "uri", "at", *EVENT_KEY]
+EVENTS = ("agent_id bigint, client_address string, feedback_index bigint, score double, owner_address string, uri string, "
+          "at timestamp, transaction_hash string, log_index bigint, kind string, month string, batch string")
+PARTS = ("agent_id bigint, client_address string, at timestamp, n bigint, sw0 double, swq0 double, sq100 decimal(38,9), "
+         "nq bigint, pos bigint, neu bigint, neg bigint, batch string")
+ADDITIVE = ["n", "sw0", "swq0", "sq100", "nq", "pos", "neu", "neg"]
+
 
 
 def bronze_schema() -> StructType:
@@ -69,124 +75,108 @@ def decode_events(logs: DataFrame, since: str | None = None) -> DataFrame:
     for kind, df in parts.items():
         df = df.withColumn("kind", F.lit(kind))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return (out.where("agent_id IS NOT NULL").select(*EVENT_COLUMNS)
-            .withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(BUCKETS)).cast("int")))
+    return out.where("agent_id IS NOT NULL").select(*EVENT_COLUMNS, "kind", F.date_format("at", "yyyy-MM").alias("month"))
 
 
-def anchored_partials(feedback: DataFrame, cfg: ScoreConfig, anchor: str = ANCHOR) -> DataFrame:
-    """Per (agent, client) mergeable sums with weights anchored at ``anchor``."""
+def feedback_parts(feedback: DataFrame, cfg: ScoreConfig, sign: int = 1, anchor: str = ANCHOR) -> DataFrame:
+    """Additive sums by (agent, client, time of feedback), weights anchored at ``anchor``; all negative for ``sign`` -1."""
     q = clamp01(F.col("score") / F.lit(100.0))
-    w0 = F.pow(F.lit(0.5), F.datediff(F.to_date(F.lit(anchor)), F.to_date("created_at")) / F.lit(cfg.half_life_days))
-    scored = feedback.select("agent_id", "client_address", "created_at", q.alias("q"), w0.alias("w0"))
-    return scored.groupBy("agent_id", "client_address").agg(
+    w0 = F.pow(F.lit(0.5), F.datediff(F.to_date(F.lit(anchor)), F.to_date("at")) / F.lit(cfg.half_life_days))
+    scored = feedback.select("agent_id", "client_address", "at", q.alias("q"), w0.alias("w0"))
+    sums = scored.groupBy("agent_id", "client_address", "at").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("w0").alias("sw0"),
         F.sum(F.col("w0") * F.col("q")).alias("swq0"),
         F.sum((F.col("q") * 100.0).cast("decimal(20,9)")).alias("sq100"),
         F.count("q").alias("nq"),
-        F.max("created_at").alias("last_at"),
         F.count_if(is_positive("q")).alias("pos"),
         F.count_if(is_neutral("q")).alias("neu"),
         F.count_if(is_negative("q")).alias("neg"),
     )
-
-
-def agent_state(events: DataFrame, cfg: ScoreConfig, anchor: str = ANCHOR) -> DataFrame:
-    """Events -> one row per agent: identity (null if unregistered) and anchored sums (null without feedback)."""
-    reg = earliest_per_key(
-        events.where("kind = 'registered'").withColumnsRenamed({"uri": "reg_uri", "at": "registered_at", "transaction_hash": "registered_tx"}),
-        "agent_id", ["registered_at", "log_index"], ["owner_address", "reg_uri", "registered_at", "registered_tx"])
-    upd = latest_per_key(events.where("kind = 'uri'").withColumnRenamed("uri", "new_uri").withColumnRenamed("at", "block_timestamp"),
-                         "agent_id", ["block_timestamp", "log_index"], ["new_uri"])
-    feedback = D.drop_revoked(events.where("kind = 'feedback'").withColumnRenamed("at", "created_at"), events.where("kind = 'revoked'"))
-    sums = anchored_partials(feedback, cfg, anchor).groupBy("agent_id").agg(
-        F.count("client_address").alias("clients"),
-        *[F.sum(c).alias(c) for c in ("n", "sw0", "swq0", "sq100", "nq", "pos", "neu", "neg")],
-        F.max("last_at").alias("last_at"))
-    return (D.resolve_identity(reg, upd).join(sums, "agent_id", "full")
-            .withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(BUCKETS)).cast("int")))
+    return sums.select("agent_id", "client_address", "at",
+                       *[(F.col(c) * F.lit(sign)).cast("decimal(38,9)" if c == "sq100" else sums.schema[c].dataType).alias(c) for c in ADDITIVE])
 
 
 # ---------------------------------------------------------------------------
-# State folders: <root>/<table>/<version>/bucket=<b>, <root>/manifest/<number>
+# State folders: <root>/events/kind=/month=/batch=, <root>/parts/batch=
 # ---------------------------------------------------------------------------
 
-def manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, str]]:
-    """Number and content (bucket -> version) of the current manifest."""
-    fs, folder = file_system(spark, f"{root}/manifest")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-    names = [n for n in names if n.isdigit()]
-    if not names:
-        return 0, {}
-    return int(names[-1]), _versions(get_text(spark, f"{root}/manifest/{names[-1]}"))
-
-
-def _versions(text: str | None) -> dict[int, str]:
-    """Lines of bucket and version."""
-    return {int(b): v for b, v in map(str.split, (text or "").splitlines())}
-
-
-def read_state(spark: SparkSession, root: str, table: str, schema: StructType, buckets=None) -> DataFrame:
-    """The current rows of ``table`` (of some buckets)."""
-    _, current = manifest(spark, root)
-    paths = [f"{root}/{table}/{v}/bucket={b}" for b, v in sorted(current.items()) if buckets is None or b in buckets]
-    fs, _ = file_system(spark, root)
-    paths = [p for p in paths if fs.exists(file_system(spark, p)[1])]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    out = None
-    for version in sorted({p.rsplit("/", 1)[0] for p in paths}):
-        some = spark.read.schema(schema).option("basePath", version).parquet(*[p for p in paths if p.startswith(version + "/")])
-        out = some if out is None else out.unionByName(some)
-    return out.select(*schema.fieldNames())
-
-
-def merge_batch(batch: DataFrame, root: str, cfg: ScoreConfig) -> None:
-    """Merge one micro-batch of logs into the state under ``root``."""
-    spark = batch.sparkSession
-    version = uuid.uuid4().hex
-    new = decode_events(batch, cfg.since)
-    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # BUCKETS rows at most
-    if not touched:
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored rows under ``path``; none if nothing was written yet."""
+    fs, folder = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(folder) else spark.createDataFrame([], schema)
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/events", EVENTS)
+
+
+def read_parts(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/parts", PARTS)
+
+
+def _write(df: DataFrame, path: str, batch: str, *by: str) -> None:
+    """Replace the partitions of ``batch`` that ``df`` has rows for."""
+    (df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by, "batch").parquet(path))
+
+
+def merge_batch(logs: DataFrame, root: str, cfg: ScoreConfig, batch: str) -> None:
+    """Add one micro-batch of logs, named ``batch``, to the state under ``root``."""
+    spark = logs.sparkSession
+    decoded = decode_events(logs, cfg.since)
+    months = [r[0] for r in decoded.select("month").distinct().collect()]  # one row a calendar month
+    if not months:
         return
-    number, current = manifest(spark, root)
-    merged = read_state(spark, root, "events", new.schema, touched).unionByName(new).dropDuplicates(EVENT_KEY)
-    merged.write.partitionBy("bucket").parquet(f"{root}/events/{version}")
-    events = spark.read.schema(new.schema).parquet(f"{root}/events/{version}")
-    agent_state(events, cfg).write.partitionBy("bucket").parquet(f"{root}/agents/{version}")
-    current.update({b: version for b in touched})
-    put_text(spark, f"{root}/manifest/{number + 1:012d}", "\n".join(f"{b} {v}" for b, v in sorted(current.items())))
-    _drop_unused(spark, root, number, set(current.values()))
-
-
-def _drop_unused(spark: SparkSession, root: str, previous: int, used: set[str]) -> None:
-    """Remove versions that neither the current nor the previous manifest names (a reader may hold that one)."""
-    used = used | set(_versions(get_text(spark, f"{root}/manifest/{previous:012d}")).values())
-    for table in ("events", "agents"):
-        fs, folder = file_system(spark, f"{root}/{table}")
-        for status in fs.listStatus(folder):
-            if status.getPath().getName() not in used:
-                fs.delete(status.getPath(), True)
+    known = read_events(spark, root).where(F.col("batch") != batch)
+    new = (decoded.dropDuplicates(EVENT_KEY)
+           .join(known.where(F.col("month").isin(months)).select(*EVENT_KEY), EVENT_KEY, "left_anti")
+           .select(*decoded.columns))
+    _write(new.hint("rebalance", "kind", "month"), f"{root}/events", batch, "kind", "month")
+
+    stored = read_events(spark, root)
+
+    def of(kind, mine):
+        return stored.where((F.col("kind") == kind) & ((F.col("batch") == batch) if mine else (F.col("batch") != batch)))
+    parts = feedback_parts(D.drop_revoked(of("feedback", True), stored.where("kind = 'revoked'")), cfg)
+    revoked = of("revoked", True).select(*VOTE_KEY).distinct()
+    if not revoked.isEmpty():
+        counted = D.drop_revoked(of("feedback", False).join(revoked, VOTE_KEY, "left_semi"), of("revoked", False))
+        parts = parts.unionByName(feedback_parts(counted, cfg, -1))
+    _write(parts, f"{root}/parts", batch)
 
 
 def start_refresh(spark: SparkSession, bronze_path: str, state_root: str, checkpoint: str,
                   cfg: ScoreConfig = DEFAULT_CONFIG, files_per_batch: int | None = None):
     """Run the stream over every bronze file not yet processed (availableNow)."""
     root = state_root.rstrip("/")
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]  # batch numbers are those of a checkpoint
     reader = spark.readStream.schema(bronze_schema())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.parquet(bronze_path).writeStream
-            .foreachBatch(lambda batch, batch_id: merge_batch(batch, root, cfg))
+            .foreachBatch(lambda batch, batch_id: merge_batch(batch, root, cfg, f"{stream}-{batch_id}"))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
 
 
-def latest_agents(spark: SparkSession, state_root: str, cfg: ScoreConfig = DEFAULT_CONFIG) -> DataFrame:
-    """The agents table of the current state."""
-    empty = spark.createDataFrame([], bronze_schema())
-    return read_state(spark, state_root.rstrip("/"), "agents", agent_state(decode_events(empty), cfg).schema)
+def latest_agents(spark: SparkSession, state_root: str) -> DataFrame:
+    """One row per agent: identity (null if unregistered) and anchored sums (null without feedback)."""
+    root = state_root.rstrip("/")
+    events = read_events(spark, root)
+    reg = earliest_per_key(
+        events.where("kind = 'registered'").withColumnsRenamed({"uri": "reg_uri", "at": "registered_at", "transaction_hash": "registered_tx"}),
+        "agent_id", ["registered_at", "log_index"], ["owner_address", "reg_uri", "registered_at", "registered_tx"])
+    upd = latest_per_key(events.where("kind = 'uri'").withColumnRenamed("uri", "new_uri").withColumnRenamed("at", "block_timestamp"),
+                         "agent_id", ["block_timestamp", "log_index"], ["new_uri"])
+    # Sums per time first: what was revoked whole leaves no rest and no time behind.
+    times = (read_parts(spark, root).groupBy("agent_id", "client_address", "at").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
+             .where("n > 0"))
+    clients = times.groupBy("agent_id", "client_address").agg(*[F.sum(c).alias(c) for c in ADDITIVE], F.max("at").alias("last_at"))
+    sums = clients.groupBy("agent_id").agg(
+        F.count("client_address").alias("clients"), *[F.sum(c).alias(c) for c in ADDITIVE], F.max("last_at").alias("last_at"))
+    return D.resolve_identity(reg, upd).join(sums, "agent_id", "full")
 
 
 def summary_from_state(agents: DataFrame, cfg: ScoreConfig = DEFAULT_CONFIG, anchor: str = ANCHOR) -> DataFrame:
@@ -211,4 +201,4 @@ def summary_from_state(agents: DataFrame, cfg: ScoreConfig = DEFAULT_CONFIG, anc
         F.lit(False).alias("x402"), as_of_col(cfg).alias("computed_at")).select(*SUMMARY_COLUMNS)
 
 
-__all__ = ["start_refresh", "merge_batch", "latest_agents", "summary_from_state", "decode_events", "agent_state"]
+__all__ = ["start_refresh", "merge_batch", "latest_agents", "summary_from_state", "decode_events", "feedback_parts"]
