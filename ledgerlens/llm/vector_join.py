@@ -1,7 +1,8 @@
 """Embedding near-duplicates: an exact metric range join on the unit sphere.
 
 cos(u, v) >= t is |u - v| <= r with r = sqrt(2 - 2t) for unit vectors. Pivots
-(a hash sample of fixed size) cut each label's vectors into cells, a vector's
+(for a large label a hash sample of its own vectors, about one for every ``CELL_ROWS``
+and ``MAX_PIVOTS`` in all) cut each label's vectors into cells, a vector's
 home being its nearest pivot. By the triangle inequality a vector u within r
 of a vector at home at pivot j has d(u, j) - d(u, home) <= 2r, so u is copied
 to exactly those cells (in Euclidean space the distance to the bisecting plane
@@ -15,7 +16,7 @@ forests' connected components are the components of all links.
 
 Defined results: a vector that is null, empty, zero or holds a null or
 non-finite component, and one without label or id, links with nothing and is
-kept. Vectors of different lengths do not link. Repeated rows are vectors of
+kept. Labels of any simple type are compared as they are. Vectors of different lengths do not link. Repeated rows are vectors of
 their own. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,12 +32,13 @@ from .components import connected_components
 
 THRESHOLD = 0.98
 CELL_ROWS = 2000  # vectors of one label that a pivot is meant for
-MAX_PIVOTS = 1024  # bounds the broadcast; larger cells are split into more blocks
+MAX_PIVOTS = 1024  # of all labels: bounds the broadcast; larger cells are split into more blocks
+_CHUNK = 1024
 BLOCK = 2048
 _SLACK = 1e-9
 
-_CELLS = "rep bigint, label bigint, dim int, cell int, home boolean, copies bigint, ring double, vec array<double>"
-_CELLS_ARROW = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()),
+_CELLS = "rep bigint, label string, dim int, cell int, home boolean, copies bigint, ring double, vec array<double>"
+_CELLS_ARROW = pa.schema([("rep", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()),
                           ("home", pa.bool_()), ("copies", pa.int64()), ("ring", pa.float64()), ("vec", pa.list_(pa.float64()))])
 _FOUND = "rep bigint, other bigint, links bigint"
 _FOUND_ARROW = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
@@ -47,25 +49,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
+def _with_gaps(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots and the distances between them."""
+    return p, np.stack([np.linalg.norm(p - row, axis=1) for row in p])
+
+
 def _assign(pivots_var, radius: float):
     def run(batches):
         pivots = pivots_var.value
         for b in batches:
-            dims = b.column("dim").to_numpy()
+            labels = b.column("label").to_pylist()
+            groups: dict[tuple, list] = {}
+            for i, (label, dim) in enumerate(zip(labels, b.column("dim").to_pylist())):
+                # labels without pivots share one: the first axis
+                groups.setdefault((label if (label, dim) in pivots else None, dim), []).append(i)
             flat, off = b.column("vec").flatten().to_numpy(zero_copy_only=False), b.column("vec").offsets.to_numpy()
             off = off - off[0]
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
+            for (key, rows) in ((k, np.array(g[a:a + _CHUNK])) for k, g in groups.items() for a in range(0, len(g), _CHUNK)):
+                dim = key[1]
                 x = _unit(np.stack([flat[off[i]:off[i + 1]] for i in rows]).astype(np.float64))
-                p = pivots.get(int(dim))
-                if p is None:
-                    p = np.zeros((1, dim))
-                    p[0, 0] = 1.0
+                p, between = pivots[key] if key in pivots else (np.eye(1, dim), np.zeros((1, 1)))
                 d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * x @ p.T))
                 home = d.argmin(axis=1)
                 near = d[np.arange(len(x)), home]
-                apart = np.linalg.norm(p[home][:, None, :] - p[None, :, :], axis=2) if len(p) > 1 else np.zeros((len(x), 1))
-                reach = (d - near[:, None] <= 2 * radius + _SLACK) & (d ** 2 - near[:, None] ** 2 <= 2 * radius * apart + _SLACK)
+                reach = (d - near[:, None] <= 2 * radius + _SLACK) & (d ** 2 - near[:, None] ** 2 <= 2 * radius * between[home] + _SLACK)
                 reach[np.arange(len(x)), home] = True
                 r, c = np.nonzero(reach)
                 take = pa.array(rows[r])
@@ -136,7 +143,10 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings``."""
     prepare(spark)
     radius = float(np.sqrt(2.0 - 2.0 * threshold))
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"),
+    kind = embeddings.schema["label"].dataType.simpleString()
+    label = F.col("label") + F.lit(0.0).cast(kind) if kind in ("float", "double") else F.col("label")  # one zero
+    label = label.cast("string")  # different values of a simple type have different strings
+    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), label.alias("label"),
                              F.col("embedding").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False))
@@ -144,12 +154,15 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     usable = rows.where(valid).withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0)))
     reps = stage_table(spark, usable.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                        .withColumn("dim", F.size("vec")), "vectors")
-    sizes = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
-    n_pivots = int(min(MAX_PIVOTS, max(1, sizes[0] // (CELL_ROWS * max(1, sizes[1])))))
-    pivots: dict[int, list] = {}
-    for r in least_hashed(reps, ["rep", "label"], n_pivots, sizes[0]).select("dim", "vec").collect():
-        pivots.setdefault(r["dim"], []).append(r["vec"])
-    pivot_var = spark.sparkContext.broadcast({d: _unit(np.array(v, dtype=np.float64)) for d, v in pivots.items()})
+    total = reps.count()
+    step = max(CELL_ROWS, total // MAX_PIVOTS)
+    by_label = reps.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= 2 * step)
+    large = reps.join(by_label.select("label"), "label", "left_semi")
+    found_rows = by_label.agg(F.sum("rows")).first()[0] or 0
+    pivots: dict[tuple, list] = {}
+    for r in least_hashed(large, ["rep", "label"], int(found_rows // step), found_rows).select("label", "dim", "vec").collect():  # MAX_PIVOTS at most
+        pivots.setdefault((r["label"], r["dim"]), []).append(r["vec"])
+    pivot_var = spark.sparkContext.broadcast({k: _with_gaps(_unit(np.array(v, dtype=np.float64))) for k, v in pivots.items()})
     cells = stage_table(spark, reps.select("rep", "label", "dim", "copies", "vec").mapInArrow(_assign(pivot_var, radius), _CELLS), "cells")
 
     key = ["label", "dim", "cell"]
