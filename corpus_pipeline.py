@@ -59,10 +59,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+#: Part of all tokens that the mixture keeps; cells too scarce for it are kept whole.
+MIX_SHARE = 0.8
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated draw keeps."""
+    """The documents that the calibrated draw keeps: about ``MIX_SHARE`` of the tokens, whatever the scarcest cell."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
-    return mix(spark, packed).where("kept").select("row.*")
+    return mix(spark, packed, share=MIX_SHARE).where("kept").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
