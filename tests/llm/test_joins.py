@@ -151,6 +151,27 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert near_duplicate_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_one_label_with_most_vectors_among_many_small_ones(spark, monkeypatch):
+    import ledgerlens.llm.vector_join as V
+    monkeypatch.setattr(V, "CELL_ROWS", 20)
+    monkeypatch.setattr(V, "MAX_PIVOTS", 12)
+    monkeypatch.setattr(V, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 60] + 0.08 * rng.normal(size=8)], 0 if i < 400 else i % 40) for i in range(520)]
+    want, links = brute_vectors(rows)
+    assert len(links) > 400
+    got = near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+
+
+def test_labels_are_compared_in_their_own_type(spark):
+    v = [1.0, 2.0]
+    for kind, labels in (("double", [1.2, 1.7, 0.0, -0.0, 1.2]), ("string", ["a", "b", "c", "c", "a"])):
+        df = spark.createDataFrame([(i, v, x) for i, x in enumerate(labels)], f"vec_id bigint, embedding array<double>, label {kind}")
+        assert {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(spark, df).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 0}
+
+
 def test_vectors_without_an_id_or_repeated(spark):
     v = [1.0, 2.0, 3.0]
     df = spark.createDataFrame([(1, v, 0), (1, v, 0), (None, v, 0), (2, v, 1)], "vec_id bigint, embedding array<float>, label int")

@@ -437,6 +437,53 @@ def test_raked_weights_meet_all_marginals(spark):
             assert got[k] == pytest.approx(want[k], abs=1e-6)
 
 
+def plain_raking(cells, rounds=20000):
+    """Weights by array arithmetic, many rounds; targets by the rule."""
+    index = [sorted({c[d] for c in cells}) for d in range(3)]
+    share = np.zeros([len(i) for i in index])
+    for *key, n in cells:
+        share[tuple(index[d].index(key[d]) for d in range(3))] = n
+    share /= share.sum()
+    goals = []
+    for d in range(3):
+        m = share.sum(axis=tuple(x for x in range(3) if x != d)) ** mixing.ALPHA
+        goals.append((m / m.sum()).reshape([-1 if x == d else 1 for x in range(3)]))
+    w = share.copy()
+    for _ in range(rounds):
+        for d in range(3):
+            w = w * goals[d] / w.sum(axis=tuple(x for x in range(3) if x != d), keepdims=True)
+    return {tuple(key): w[tuple(index[d].index(key[d]) for d in range(3))] for *key, _ in cells}
+
+
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_raking_goes_on_where_source_and_language_depend_on_each_other(spark, monkeypatch, one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK", one_task)
+    rng = np.random.default_rng(4)
+    cells = [(f"s{s}", f"l{l}", t, int(rng.integers(1, 50) * (400 if l == s % 3 else 20))) for s in range(6) for l in range(3) for t in ("a", "b")]
+    fitted = mixing.fit(spark.createDataFrame(cells, "c_source string, c_lang string, c_topic string, tokens bigint"))
+    want = plain_raking(cells)
+    assert {(r["c_source"], r["c_lang"], r["c_topic"]): r["weight"] for r in fitted.collect()} == pytest.approx(want, rel=1e-6)
+    assert all(r["reached"] == pytest.approx(r["target"], rel=1e-8) for r in mixing.marginals(fitted).collect())
+
+
+def test_contradicting_targets_end_and_are_reported(spark):
+    cells = [(f"s{i}", f"l{i % 2}", "a", 10 ** (i + 1)) for i in range(4)]  # a source has one language only
+    goal = spark.createDataFrame([("l0", 0.9), ("l1", 0.1)], "value string, target double")
+    fitted = mixing.fit(spark.createDataFrame(cells, "c_source string, c_lang string, c_topic string, tokens bigint"), targets={"lang": goal})
+    off = {(r["dim"], r["value"]) for r in mixing.marginals(fitted).collect() if abs(r["reached"] - r["target"]) > 1e-3}
+    assert off and {d for d, _ in off} <= {"source", "lang"}
+
+
+def test_the_share_sets_the_sample_and_short_cells_are_kept_whole(spark):
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    cells = mixing.with_cells(docs).groupBy("c_source", "c_lang", "c_topic").agg(F.sum("tokens").alias("tokens"))
+    fitted = mixing.fit(cells)
+    for share in (0.001, 0.9):
+        for r in mixing.probabilities(fitted, share).collect():
+            assert r["p"] == pytest.approx(min(1.0, share * r["weight"] / r["share"])) and r["p"] > 0
+            assert r["short"] == (share * r["weight"] / r["share"] > 1 + 1e-9)
+
+
 def test_draw_follows_the_probabilities(spark):
     rows = mixing.mix_report(spark, spark.read.parquet(f"{SF_ORACLE}/documents.parquet")).collect()
     assert max(r["probability"] for r in rows) == 1.0

@@ -80,7 +80,7 @@ def test_secrets_are_masked(spark):
 def test_the_mixture_draw_takes_effect(spark, documents):
     kept = P.mixture(spark, documents, SF_SMALL)
     assert kept.schema == documents.schema
-    want = mixing.mix_report(spark, documents).where("kept").select("doc_id")
+    want = mixing.mix_report(spark, documents, share=P.MIX_SHARE).where("kept").select("doc_id")
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in want.collect())
 
 
