@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, least_hashed, prepare
+from .common import fold_of, give_back, least_hashed, prepare
 
 TRAIN_DOCS = 5000  # the documented bound of the labelled sample
 BUCKETS = 1 << 15
@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 5, 0
 SEED = 7
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_MAX_CACHE = 400_000
+_MAX_CACHE = 200_000
 _buckets: dict[str, bytes] = {}
 
 
@@ -160,6 +160,7 @@ def _tokens(batches):
         tokens = [token_buckets(t).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("o"), pa.array(tokens, pa.binary())], schema=schema)
     _buckets.clear()
+    give_back()
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> QualityModel:
@@ -200,6 +201,7 @@ def _score(model_var, name: str):
                 s = _sigmoid(_logits(m, x) / m.temperature + m.offset)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
         _buckets.clear()  # a worker goes on to other stages; what it remembers is for one task
+        give_back()
     return run
 
 

@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -43,12 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import give_back, prepare
 
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-MAX_WORDS = 1_000_000  # words remembered per Python worker
-MAX_PAIRS = 1_000_000
+MAX_WORDS = 250_000  # words remembered in a task
+MAX_PAIRS = 250_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -230,13 +231,17 @@ class TrieViterbi:
 
 
 class Codec:
-    """Encodes and decodes batches of texts; remembers words across batches."""
+    """Encodes and decodes batches of texts; remembers words across batches until told to forget."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.trie = pieces, TrieViterbi(pieces)
         self._packed = {p: i.to_bytes(4, "little") for p, i in pieces.ids.items()}
         self._words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self._words.clear()
+        self.pieces._pairs.clear()
+
     def _learn(self, words: set[str]) -> None:
         packed, known = self._packed, self._words
         for word, path in self.trie.encode_sorted(sorted(words)):
@@ -279,11 +284,17 @@ _codecs: dict[int, Codec] = {}
 _SLICE = 200  # texts encoded at a time
 
 
-def _codec_of(var) -> Codec:
+@contextmanager
+def _codec_of(var):
+    """The codec for one task: the worker keeps the vocabulary, not the words, as it goes on to other stages."""
     key = hash(var.value)
     if key not in _codecs:
         _codecs[key] = Codec(load_pieces(var.value))
-    return _codecs[key]
+    try:
+        yield _codecs[key]
+    finally:
+        _codecs[key].forget()
+        give_back()
 
 
 def _int_lists(ids: list[np.ndarray | None]) -> pa.Array:
@@ -295,23 +306,23 @@ def _int_lists(ids: list[np.ndarray | None]) -> pa.Array:
 
 def _encode(var, names: list[str]):
     def run(batches):
-        codec = _codec_of(var)
-        for b in batches:
-            for a in range(0, len(b), _SLICE):
-                s = b.slice(a, _SLICE)
-                ids = codec.encode(s.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([s.column(n) for n in names] + [_int_lists(ids)], names=[*names, "ids"])
+        with _codec_of(var) as codec:
+            for b in batches:
+                for a in range(0, len(b), _SLICE):
+                    s = b.slice(a, _SLICE)
+                    ids = codec.encode(s.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([s.column(n) for n in names] + [_int_lists(ids)], names=[*names, "ids"])
     return run
 
 
 def _decode(var, names: list[str]):
     def run(batches):
-        codec = _codec_of(var)
-        for b in batches:
-            for a in range(0, len(b), _SLICE):
-                s = b.slice(a, _SLICE)
-                ids = [None if x is None else np.array(x, dtype=np.int32) for x in s.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column(n) for n in names] + [pa.array(codec.decode(ids), pa.string())], names=[*names, "decoded"])
+        with _codec_of(var) as codec:
+            for b in batches:
+                for a in range(0, len(b), _SLICE):
+                    s = b.slice(a, _SLICE)
+                    ids = [None if x is None else np.array(x, dtype=np.int32) for x in s.column("ids").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([s.column(n) for n in names] + [pa.array(codec.decode(ids), pa.string())], names=[*names, "decoded"])
     return run
 
 
@@ -342,17 +353,17 @@ _REPORT = "doc_id bigint, ids array<int>, n_pieces bigint, ids_sha256 string, ro
 
 def _report(var):
     def run(batches):
-        codec = _codec_of(var)
-        for b in batches:
-            for a in range(0, len(b), _SLICE):
-                s = b.slice(a, _SLICE)
-                texts = s.column("text").to_pylist()
-                ids = codec.encode(texts)
-                same = [None if t is None else d == t.replace(MARK, " ") for t, d in zip(texts, codec.decode(ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [s.column("doc_id"), _int_lists(ids), pa.array([None if i is None else len(i) for i in ids], pa.int64()),
-                     pa.array([None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-                     pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "ids_sha256", "round_trip"])
+        with _codec_of(var) as codec:
+            for b in batches:
+                for a in range(0, len(b), _SLICE):
+                    s = b.slice(a, _SLICE)
+                    texts = s.column("text").to_pylist()
+                    ids = codec.encode(texts)
+                    same = [None if t is None else d == t.replace(MARK, " ") for t, d in zip(texts, codec.decode(ids))]
+                    yield pa.RecordBatch.from_arrays(
+                        [s.column("doc_id"), _int_lists(ids), pa.array([None if i is None else len(i) for i in ids], pa.int64()),
+                         pa.array([None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
+                         pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "ids_sha256", "round_trip"])
     return run
 
 

@@ -575,3 +575,22 @@ def test_flags_against_all_pairs(spark):
         _, x, y = rows[r["id"]]
         assert r["inside"] == [any(b[0] <= a[0] and a[2] <= b[2] for b in y) for a in x]
         assert r["around"] == [any(a[0] <= b[0] and b[2] <= a[2] for b in y) for a in x]
+
+
+def test_a_worker_forgets_the_words_of_a_task_when_it_ends():
+    import pyarrow as pa
+
+    with open(sentencepiece.MODEL_FILE, "rb") as f:
+        var = type("Var", (), {"value": f.read()})()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words 日本", "zyx wvu"]})
+    for make in (lambda: sentencepiece._encode(var, ["doc_id"]), lambda: sentencepiece._report(var)):
+        run = make()([batch, batch])
+        first = next(run)
+        codec = next(iter(sentencepiece._codecs.values()))
+        assert codec._words  # the second batch finds them
+        assert next(run).column("ids").equals(first.column("ids")) and list(run) == []
+        assert not codec._words and not codec.pieces._pairs
+        run = make()([batch])
+        next(run)
+        run.close()  # a reader that stops early, as a limit does
+        assert not codec._words
