@@ -3,8 +3,9 @@
 Bronze layout = the raw columns plus three derived top-level columns:
 ``topic0`` (so the event-type predicate is a pushed Parquet filter; a predicate
 on ``topics[0]`` is not pushed), ``topic_count`` (so the arity guard is pushed
-too) and ``block_date`` (the partition column, so a time floor prunes whole
-directories). Hex is stored lowercase.
+too) and ``block_date`` (a time floor prunes row groups by its bounds). There is
+no directory per day: their number would grow with the history, not with the
+bytes, and every reader would have to list them. Hex is stored lowercase.
 """
 
 from __future__ import annotations
@@ -42,15 +43,15 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 
 
 def write_bronze(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sink: bronze Parquet partitioned by ``block_date``.
+    """Sink: bronze Parquet, one run of (address, topic0, time) per file.
 
-    Rows are dealt by ranges of (date, address, topic0, time), so that a day
-    spreads over as many tasks as its rows need, and are clustered inside each
-    date so that row-group statistics let the scan skip other contracts and
-    events."""
-    (logs.repartitionByRange("block_date", "address", "topic0", "block_timestamp", "log_index")
-         .sortWithinPartitions("address", "topic0", "block_timestamp")
-         .write.mode(mode).partitionBy("block_date").parquet(path))
+    Rows are dealt by ranges of that order, so that a busy event or day spreads
+    over as many tasks as its rows need. A file holds one stretch of time of one
+    event (or a few small ones), so the bounds of its row groups let a scan skip
+    other contracts, other events and what lies before a time floor. The files
+    are as many as the write's tasks, however many days the logs span."""
+    order = ["address", "topic0", "block_timestamp", "log_index"]
+    logs.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +62,8 @@ def scan_logs(logs: DataFrame, address: str, since: str | None = None,
               min_topics: int = 1, topic0: str | None = None) -> DataFrame:
     """A1 / A2 / B1 / B2: one contract's logs since a floor, optionally one event.
 
-    Every predicate is on a top-level column so Parquet pushdown and
-    partition pruning apply; the array-length guard is evaluated after."""
+    Every predicate is on a top-level column so Parquet pushdown applies;
+    the array-length guard is evaluated after."""
     cond: Column = F.col("address") == F.lit(address.lower())
     if since is not None:
         cond = cond & (F.col("block_timestamp") >= F.lit(since).cast("timestamp"))

@@ -83,3 +83,25 @@ def test_to_bronze_lowercases_and_derives(spark):
     r = to_bronze(raw).select(*BRONZE_COLUMNS).first()
     assert r["address"] == "0xabcdef" and r["topics"] == ["0xaa", "0xbb"] and r["data"] == "0xff"
     assert r["topic0"] == "0xaa" and r["topic_count"] == 2 and str(r["block_date"]) == "2024-01-02"
+
+
+def test_bronze_files_do_not_grow_with_the_days(spark):
+    from pyspark.sql.types import DateType
+
+    from ledgerlens.config import REPUTATION_REGISTRY, TOPIC
+    from ledgerlens.operators.decode import decode_feedback
+    from ledgerlens.sources.logs import BRONZE_COLUMNS, to_bronze
+    raw = spark.range(900).select(
+        F.lit(REPUTATION_REGISTRY).alias("address"),
+        F.array(F.lit(TOPIC["NewFeedback"]), F.lit("0x" + "0" * 63 + "1"), F.lit("0x" + "0" * 64)).alias("topics"),
+        F.lit("0x" + "0" * 192).alias("data"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 86_400).alias("block_timestamp"),
+        F.concat(F.lit("0x"), F.col("id").cast("string")).alias("transaction_hash"), F.lit(0).alias("log_index"))
+    logs = to_bronze(raw).select(*BRONZE_COLUMNS)
+    root = os.path.join(tempfile.mkdtemp(prefix="bronze-", dir="/tmp"), "logs")
+    write_bronze(logs, root)
+    files = [f for _, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 8  # the session's shuffle partitions; 900 days
+    back = read_bronze(spark, root)
+    assert back.schema["block_date"].dataType == DateType()
+    assert sorted(back.select(*BRONZE_COLUMNS).collect()) == sorted(logs.collect())
+    assert decode_feedback(back, "2023-02-01").count() == logs.where("block_timestamp >= '2023-02-01'").count() > 0
