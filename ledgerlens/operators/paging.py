@@ -5,7 +5,9 @@ sorted on the mode's order, so that every file is a run of consecutive
 positions. The index has one row per file: how many rows it holds under each
 filter (rated, x402, both, none) and how many lie before it. A page at any
 offset is then a look at the index and one or two files; the work and the
-memory of a page depend on the file size, not on the offset.
+memory of a page depend on the file size, not on the offset. A table of n rows
+has at most sqrt(n) files per mode, however few rows a file is asked to hold:
+index and files then grow alike, and neither outgrows the other.
 
 Searches use trigram posting lists: for every three characters that occur in
 an agent's id, owner or URI (folded to lower case) the ranks of the agents that
@@ -19,6 +21,8 @@ A version is written aside and named by the pointer last, as all sinks here.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +83,8 @@ def write_paged(summary: DataFrame, root: str, rows_per_file: int = ROWS_PER_FIL
     base = f"{root.rstrip('/')}/{version}"
     summary.write.mode("errorifexists").parquet(f"{base}/rows")
     stored = spark.read.schema(summary.schema).parquet(f"{base}/rows")
-    files = max(1, -(-stored.count() // rows_per_file))
+    n = stored.count()
+    files = max(1, min(-(-n // rows_per_file), math.isqrt(n)))
     index = None
     for mode in SORT_MODES:
         order = sort_columns(mode)
@@ -161,9 +166,16 @@ class PagedSummary:
 
     def candidate_files(self, ranks: DataFrame) -> list[str]:
         """The files of rank order that hold ``ranks``: one row per file reaches the driver."""
-        files = self.index.where("mode = 'rank'").select("path", "rows_before", (F.col("rows_before") + F.col("rows")).alias("until"))
-        # The files are consecutive runs of ranks: every rank meets one file.
-        hit = ranks.join(F.broadcast(files), (F.col("rank") > F.col("rows_before")) & (F.col("rank") <= F.col("until")), "inner")
+        files = self.index.where("mode = 'rank' and rows > 0").select("path", (F.col("rows_before") + 1).alias("first"), (F.col("rows_before") + F.col("rows")).alias("last"))
+        sums = files.agg(F.count(F.lit(1)).alias("files"), F.max("last").alias("rows")).first()
+        if not sums["files"]:
+            return []
+        # The files are consecutive runs of ranks. Cut into blocks of their mean size, every rank meets the few files of its
+        # block: a join by key, not of every rank with every file. At most two blocks per file in the mean.
+        size = -(-sums["rows"] // sums["files"])
+        blocks = files.select("path", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))).alias("block"))
+        hit = (ranks.select("rank", F.floor(F.col("rank") / size).alias("block")).join(F.broadcast(blocks), "block")
+               .where((F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last"))))
         return [r["path"] for r in hit.select("path").distinct().collect()]
 
     def matches(self, q: str) -> DataFrame:
@@ -171,5 +183,8 @@ class PagedSummary:
         ranks = self.candidates(q)
         if ranks is None:
             return filter_agents(self.spark.read.schema(self.schema).parquet(f"{self.base}/rows"), q)
-        rows = self._files(self.candidate_files(ranks))
+        paths = self.candidate_files(ranks)
+        if 2 * len(paths) > self.index.where("mode = 'rank'").count():  # a folder is listed at once, files one by one
+            paths = [f"{self.base}/pages/mode=rank"]
+        rows = self._files(paths)
         return rows.join(ranks, "rank", "left_semi").select(*self.schema.names).where(search_predicate(q))

@@ -94,6 +94,22 @@ def test_search_reads_few_files_and_lists(spark, stored):
     assert wide == 0
 
 
+def test_many_small_files_neither_multiply_nor_meet_every_rank(spark, agents, tmp_path):
+    P.write_paged(agents, str(tmp_path), rows_per_file=1)
+    many = P.PagedSummary(spark, str(tmp_path))
+    files = many.index.where("mode = 'rank'").collect()
+    assert 0.9 * N ** 0.5 < len(files) <= N ** 0.5
+    ranks = [1, 2, 700, N // 2, N]
+    asked = spark.createDataFrame([(r,) for r in ranks], "rank bigint")
+    want = {f["path"] for f in files if any(f["rows_before"] < r <= f["rows_before"] + f["rows"] for r in ranks)}
+    assert sorted(many.candidate_files(asked)) == sorted(want)
+    assert many.candidate_files(asked.where("rank > 10000000")) == []
+    everything = many.candidate_files(spark.range(1, N + 1).select(F.col("id").alias("rank")))
+    assert sorted(everything) == sorted(f["path"] for f in files)
+    for q in ("agent/1234", "0x0", "json"):
+        assert sorted(ids(many.matches(q))) == sorted(ids(S.filter_agents(agents, q)))
+
+
 def test_long_texts_are_cut_into_trigrams_in_linear_time(spark):
     text = "".join(random.Random(1).choices("abcdefghij", k=200_000))
     got = spark.createDataFrame([(text,)], "t string").select(P.grams(F.col("t")).alias("g")).first()["g"]
