@@ -185,6 +185,7 @@ def upsert_cache(spark: SparkSession, root: str, new_rows: DataFrame, key: str)
 # ---------------------------------------------------------------------------
 
 CACHE_BUCKETS = 64
+FEW_KEYS = 100_000  # the bound of a broadcast of new keys
 
 
 def key_bucket(key: str, buckets: int = CACHE_BUCKETS):
@@ -192,37 +193,49 @@ def key_bucket(key: str, buckets: int = CACHE_BUCKETS):
     return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(buckets))
 
 
+def _bucket_folders(spark: SparkSession, path: str) -> list[int]:
+    fs, p = file_system(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len("bucket="):]) for n in names if n.startswith("bucket="))
+
+
 def read_buckets(spark: SparkSession, root: str) -> DataFrame | None:
-    """The cache at ``root``, None before the first run; ``bucket`` is the partition column."""
+    """The cache at ``root``, None before the first run that succeeds with rows; ``bucket`` is the partition column."""
     path = f"{root.rstrip('/')}/rows"
-    fs, p = file_system(spark, path)
-    return spark.read.parquet(path) if fs.exists(p) else None
+    return spark.read.parquet(path) if _bucket_folders(spark, path) else None
 
 
 def upsert_buckets(spark: SparkSession, root: str, new_rows: DataFrame, key: str, fresh=None, buckets: int = CACHE_BUCKETS) -> list[int]:
     """Replace rows by key and rewrite only the buckets that hold a new key.
 
-    ``new_rows`` (one row per key) are staged once; the buckets they fall into are read, rows
-    with the same key and rows that are not ``fresh`` any more (a condition on the cache's
-    columns) are left out, and Spark overwrites just these partitions when all tasks have
-    succeeded. A run that fails before leaves the old rows. Returns the rewritten buckets."""
+    ``new_rows`` (one row per key) are staged once, unless the cache is new; the buckets they fall into
+    are read, rows with the same key and rows that are not ``fresh`` any more (a condition on the cache's
+    columns) are left out, and Spark overwrites just these partitions when all tasks have succeeded. With
+    at most ``FEW_KEYS`` new keys the old rows are written by the tasks that read them, without a shuffle.
+    A run that fails before leaves the old rows. Returns the rewritten buckets."""
     base = root.rstrip("/")
+
+    def put(rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/rows")
+    new, old = new_rows.withColumn("bucket", key_bucket(key, buckets)), read_buckets(spark, base)
+    if old is None:
+        put(new.repartition(buckets, "bucket"))
+        return _bucket_folders(spark, f"{base}/rows")
     incoming = f"{base}/_incoming/{new_run_id()}"
-    new_rows.withColumn("bucket", key_bucket(key, buckets)).write.parquet(incoming)
-    new = spark.read.parquet(incoming)
-    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets`` rows
-    old = read_buckets(spark, base)
-    rows = new
-    if old is not None and touched:
-        kept = old.where(F.col("bucket").isin(touched))  # a partition filter: no other bucket is read
+    new.write.parquet(f"{incoming}/rows")
+    new = spark.read.schema(new.schema).parquet(f"{incoming}/rows")
+    new.select("bucket", key).write.parquet(f"{incoming}/keys")
+    keys = spark.read.parquet(f"{incoming}/keys")
+    touched = {r["bucket"]: r["count"] for r in keys.groupBy("bucket").count().collect()}  # at most ``buckets`` rows
+    if touched:
+        kept = old.where(F.col("bucket").isin(list(touched)))  # a partition filter: no other bucket is read
         kept = kept if fresh is None else kept.where(fresh)
-        rows = kept.join(new.select("bucket", key), ["bucket", key], "left_anti").select(*new.columns).unionByName(new)
-    if touched or old is None:
-        (rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(f"{base}/rows"))
+        few = sum(touched.values()) <= FEW_KEYS
+        rows = kept.join(F.broadcast(keys) if few else keys, ["bucket", key], "left_anti").select(*new.columns)
+        put(rows.unionByName(new.repartition(buckets, "bucket")) if few else rows.unionByName(new).repartition(buckets, "bucket"))
     fs, p = file_system(spark, incoming)
     fs.delete(p, True)
-    return touched
+    return sorted(touched)
 
 
 # ---------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Stored layouts: what they return, and how little of the table they read."""
 
+import os
 import random
 import uuid
 
@@ -193,6 +194,31 @@ def test_an_upsert_rewrites_the_buckets_of_its_keys(spark, tmp_path):
     assert SN.upsert_buckets(spark, root, cache_rows(spark, [], 3), "k") == [] and bucket_files(spark, root) == second
 
 
+@pytest.mark.parametrize("few", [11, 10])
+def test_few_new_keys_move_no_old_row(spark, tmp_path, monkeypatch, few):
+    root, keys, moved = str(tmp_path), [f"key{i}" for i in range(1000)], []
+    monkeypatch.setattr(SN, "FEW_KEYS", few, raising=False)
+    cls = type(spark.range(1))
+    was = cls.repartition
+    monkeypatch.setattr(cls, "repartition", lambda df, *a: (moved.append(df.count()), was(df, *a))[1])
+    first = SN.upsert_buckets(spark, root, cache_rows(spark, keys, 1), "k", buckets=4)
+    assert first == [0, 1, 2, 3] and not os.path.exists(f"{root}/_incoming")  # nothing staged for a new cache
+    SN.upsert_buckets(spark, root, cache_rows(spark, keys[:10] + ["new"], 2), "k", buckets=4)
+    assert moved == [1000, 11 if few == 11 else 1001]
+    rows = SN.read_buckets(spark, root).collect()
+    assert len(rows) == 1001 and {r["k"]: r["v"] for r in rows} == {k: f"{k}@{2 if k in keys[:10] else 1}" for k in keys} | {"new": "new@2"}
+
+
+def test_a_first_run_that_fails_or_has_no_rows_leaves_no_cache(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(Exception):
+        SN.upsert_buckets(spark, root, cache_rows(spark, ["a", "b"], 1).withColumn("v", F.raise_error(F.lit("lost"))), "k")
+    assert SN.read_buckets(spark, root) is None
+    assert SN.upsert_buckets(spark, root, cache_rows(spark, [], 1), "k") == [] and SN.read_buckets(spark, root) is None
+    assert len(SN.upsert_buckets(spark, root, cache_rows(spark, ["a"], 1), "k")) == 1
+    assert [r["v"] for r in SN.read_buckets(spark, root).collect()] == ["a@1"]
+
+
 def test_expired_rows_leave_with_a_rewrite(spark, tmp_path):
     root = str(tmp_path)
     SN.upsert_buckets(spark, root, cache_rows(spark, [f"key{i}" for i in range(64)], 1), "k", buckets=2)
